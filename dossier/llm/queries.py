@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, contamination, html, langid, lines, neighbours, simhash, suffixes
+from dossier.llm import bpe, contamination, html, langid, lines, mixing, neighbours, quality, simhash, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.scores(docs.withColumn("_out", langid.remainder(F.col("doc_id"), 7) == 2), "_out")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,7 +67,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_bpe, op5_langid, op6_lines, op7_contamination, op8_suffixes, op9_neighbours, op10_html)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_mixing, op4_bpe, op5_langid, op6_lines, op7_contamination, op8_suffixes, op9_neighbours, op10_html)}
 
 
 OP6 = r"""
