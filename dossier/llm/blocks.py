@@ -14,10 +14,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Bytes of text in a block, about.
-BLOCK = 3_000_000
+BLOCK = 6_000_000
 Batch = pa.RecordBatch
 
 
@@ -57,14 +56,18 @@ def unpacked(data: bytes) -> Batch:
     return pa.ipc.open_stream(data).read_next_batch()
 
 
-def sharded(block: int, keys: np.ndarray, shards: int, values: np.ndarray | None = None) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """Rows (block, shard, keys, values) of sorted distinct uint64 keys."""
+def dealt(keys: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
+    """(shard, places of its keys) for sorted distinct uint64 keys."""
     shard = (keys >> np.uint64(40)).astype(np.int64) % shards
     order = np.argsort(shard, kind="stable")
     edge = np.searchsorted(shard[order], np.arange(shards + 1))
-    for s in np.flatnonzero(np.diff(edge)):
-        at = order[edge[s] : edge[s + 1]]
-        yield block, int(s), keys[at].tobytes(), b"" if values is None else values[at].tobytes()
+    return [(int(s), order[edge[s] : edge[s + 1]]) for s in np.flatnonzero(np.diff(edge))]
+
+
+def sharded(block: int, keys: np.ndarray, shards: int, values: np.ndarray | None = None) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """Rows (block, shard, keys, vals) of sorted distinct keys."""
+    for s, at in dealt(keys, shards):
+        yield block, s, keys[at].tobytes(), b"" if values is None else values[at].tobytes()
 
 
 ROWS = "block bigint, shard bigint, keys binary, vals binary"
@@ -75,43 +78,48 @@ def as_batch(rows: list[tuple[int, int, bytes, bytes]]) -> Batch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["block", "shard", "keys", "vals"])
 
 
-def answered(asked: DataFrame, known: DataFrame, fill: float) -> DataFrame:
-    """Rows (block, shard, keys, vals): for the keys of asked their values (float64) in known, a table of the same columns whose
-    vals are the values of its keys; `fill` where a key has none."""
+def answered(asked: DataFrame, known: DataFrame, fill: float, kind: type = np.float64) -> DataFrame:
+    """Rows (block, shard, keys, vals): the values in known of the keys that asked has, in their order, and no keys; `fill` where
+    a key has none. known has the same columns, vals being its keys' values."""
 
     def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in right["keys"])])
-        vals = np.concatenate([np.empty(0), *(np.frombuffer(x, np.float64) for x in right["vals"])])
+        vals = np.concatenate([np.empty(0, kind), *(np.frombuffer(x, kind) for x in right["vals"])])
         order = np.argsort(keys)
         keys, vals = keys[order], vals[order]
         out = []
         for b, s, x in zip(left["block"], left["shard"], left["keys"], strict=True):
             k = np.frombuffer(x, np.uint64)
+            v = np.full(len(k), fill, kind)
             if len(keys):
                 i = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-                v = np.where(keys[i] == k, vals[i], fill)
-            else:
-                v = np.full(len(k), fill)
-            out.append((b, s, x, v.tobytes()))
+                v = np.where(keys[i] == k, vals[i], v)
+            out.append((b, s, b"", v.tobytes()))
         return pd.DataFrame(out, columns=["block", "shard", "keys", "vals"])
 
     return asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(look, ROWS)
 
 
-def scored(docs: DataFrame, answers: DataFrame, score: Callable[[Batch, np.ndarray, np.ndarray], Batch], schema: str, size: int = BLOCK) -> DataFrame:
-    """score(rows of a block, its sorted keys, their values) for each block of docs (with column _text), as rows of the schema."""
+def scored(docs: DataFrame, answers: DataFrame, keys_of: Callable[[Batch], tuple[np.ndarray, object]], score: Callable, shards: int, schema: str, kind: type = np.float64, size: int = BLOCK) -> DataFrame:
+    """score(rows, state, keys, values) for each block of docs (with column _text), as rows of the schema.
+
+    keys_of gives a block's sorted distinct keys, those that were asked for, and a state that score gets.
+    """
 
     def pack(batches: Iterator[Batch]) -> Iterator[Batch]:
         for n, b in chunks(batches, size):
             yield as_batch([(n, -1, packed(b), b"")])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf["shard"] < 0
-        keys = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in pdf["keys"][~own])])
-        vals = np.concatenate([np.empty(0), *(np.frombuffer(x, np.float64) for x in pdf["vals"][~own])])
-        order = np.argsort(keys)
-        out = [score(unpacked(x), keys[order], vals[order]) for x in pdf["keys"][own]]
-        return pd.concat([x.to_pandas() for x in out]) if out else pd.DataFrame(columns=[f.split()[0].strip("`") for f in schema.split(", ")])
-
-    both = docs.mapInArrow(pack, ROWS).unionByName(answers)
-    return both.groupBy(F.col("block")).applyInPandas(run, schema)
+        got = {s: np.frombuffer(v, kind) for s, v in zip(pdf["shard"], pdf["vals"], strict=True) if s >= 0}
+        out = []
+        for x in pdf["keys"][pdf["shard"] < 0]:
+            b = unpacked(x)
+            keys, state = keys_of(b)
+            vals = np.empty(len(keys), kind)
+            for s, at in dealt(keys, shards):
+                vals[at] = got[s]
+            out.append(score(b, state, keys, vals).to_pandas())
+        return pd.concat(out) if out else pd.DataFrame(columns=[f.split()[0].strip("`") for f in schema.split(", ")])
+
+    return docs.mapInArrow(pack, ROWS).unionByName(answers).groupBy("block").applyInPandas(run, schema)
