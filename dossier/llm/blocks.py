@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 #: Bytes of text in a block, about.
-BLOCK = 6_000_000
+BLOCK = 3_000_000
 Batch = pa.RecordBatch
 
 

@@ -13,8 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces that one recursive query encodes, and pieces that a worker remembers.
-QUERY_PIECES, REMEMBERED = 20_000, 400_000
+#: Pieces that one recursive query encodes, and pieces that a task remembers.
+QUERY_PIECES, REMEMBERED = 20_000, 250_000
 #: Bytes from which a piece is encoded with all occurrences of its least pair at once.
 LONG = 256
 
@@ -178,6 +178,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("
                     ids.append([int(x) for x in text.split(",")] if text else [])
             own = [pa.array(counts, pa.int64()), *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), pa.array(digests), pa.array(decoded)]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *own], names=[*keep, "n_tokens", *(["ids"] if with_ids else []), "ids_sha256", "decoded_sha256"])
+        c.known.clear()
 
     chosen = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
     kinds = ", ".join(f"`{k}` {chosen.schema[k].dataType.simpleString()}" for k in keep)
