@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from dossier.llm.common import tidy
+
 #: Bytes of text in a block, about.
 BLOCK = 3_000_000
 Batch = pa.RecordBatch
@@ -43,6 +45,7 @@ def chunks(batches: Iterator[Batch], size: int = BLOCK) -> Iterator[tuple[int, B
                 held, total, n = [], 0, n + 1
     if held:
         yield block()
+    tidy()
 
 
 def packed(batch: Batch) -> bytes:
@@ -120,6 +123,8 @@ def scored(docs: DataFrame, answers: DataFrame, keys_of: Callable[[Batch], tuple
             for s, at in dealt(keys, shards):
                 vals[at] = got[s]
             out.append(score(b, state, keys, vals).to_pandas())
+            del b, state, keys, vals
+        tidy()
         return pd.concat(out) if out else pd.DataFrame(columns=[f.split()[0].strip("`") for f in schema.split(", ")])
 
     return docs.mapInArrow(pack, ROWS).unionByName(answers).groupBy("block").applyInPandas(run, schema)

@@ -13,8 +13,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossier.llm.common import tidy
+
 #: Pieces that one recursive query encodes, and pieces that a task remembers.
-QUERY_PIECES, REMEMBERED = 20_000, 250_000
+QUERY_PIECES, REMEMBERED = 20_000, 200_000
 #: Bytes from which a piece is encoded with all occurrences of its least pair at once.
 LONG = 256
 
@@ -74,7 +76,7 @@ class Coder:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.split = regex.compile(pattern).findall
         self.known: dict[str, tuple[str, int, bytes]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         pairs = [(self.ranks[x[:i]], self.ranks[x[i:]], r) for x, r in self.ranks.items() for i in range(1, len(x)) if x[:i] in self.ranks and x[i:] in self.ranks]
         uneasy = {x for a, b, r in pairs for x in (a, b) if r < x}
         # A pair of tokens merges into the token that has their bytes; its rank decides the order.
@@ -179,6 +181,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("
             own = [pa.array(counts, pa.int64()), *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), pa.array(digests), pa.array(decoded)]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *own], names=[*keep, "n_tokens", *(["ids"] if with_ids else []), "ids_sha256", "decoded_sha256"])
         c.known.clear()
+        tidy()
 
     chosen = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
     kinds = ", ".join(f"`{k}` {chosen.schema[k].dataType.simpleString()}" for k in keep)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import blob, components, parts, save, with_row_id
+from dossier.llm.common import blob, components, parts, save, tidy, with_row_id
 
 SEED = 42
 #: A block's fingerprints are compared pair by pair in one task up to this many; larger blocks are split by further bits.
@@ -40,6 +40,7 @@ def fingerprints(docs: DataFrame, width: int = 3, keep: tuple[str, ...] = ("doc_
         for b in batches:
             found = [fingerprint(x, width) for x in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(found, pa.int64())], names=[*keep, "fp"])
+        tidy()
 
     chosen = docs.select(*keep, blob().alias("_text"))
     return chosen.mapInArrow(run, with_fp(chosen, keep))

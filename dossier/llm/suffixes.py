@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import Window as W
 
-from dossier.llm.common import blob, save, with_row_id
+from dossier.llm.common import blob, save, tidy, with_row_id
 
 LENGTH = 400
 #: Suffixes that a task sorts before it writes a run.
@@ -270,6 +270,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, run: int = RUN, range_size: i
                 [b.column("_rid"), b.column("key"), pa.array([len(x) for x in data], pa.int64()), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(flat(off, np.int64), pa.int64())), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(flat(h, np.uint64).view(np.int64), pa.int64()))],
                 names=["_rid", "key", "n", "off", "h"],
             )
+        tidy()
 
     found = save(texts.mapInArrow(find, "_rid bigint, key binary, n bigint, off array<bigint>, h array<bigint>"), "anchors")
     own = found.groupBy("key").agg(F.min("n").alias("n"), F.count("*").alias("copies"), F.min("_rid").alias("_rid"))
@@ -307,6 +308,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, run: int = RUN, range_size: i
                             held = []
         if held:
             yield write(held)
+        tidy()
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []
