@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dossier.functions.text import extract
 
-REGISTRY = T.StructType.fromDDL(
+REGISTRY = (
     "coleta_id string, incidente bigint, aba string, url string, url_final string, fetched_at timestamp, http_status int, "
     "sha256 string, bytes bigint, raw_path string, content_type string, user_agent string, erro string, redirects array<array<string>>, "
     "classe string, numero bigint, profundidade int, incidente_resolvido bigint, endpoint string, id_portal string, "
@@ -29,7 +28,7 @@ def with_sid(rows: DataFrame, line: list[str]) -> DataFrame:
     runs = rows.select("coleta_id").distinct()
     rank = runs.withColumn("_run", F.row_number().over(W.orderBy("coleta_id")))  # one row a run
     own = F.row_number().over(W.partitionBy("coleta_id").orderBy(*line))
-    return rows.join(F.broadcast(rank), "coleta_id").withColumn("sid", F.col("_run").cast("bigint") * F.lit(1 << 32) + own).drop("_run")
+    return rows.join(rank, "coleta_id").withColumn("sid", F.col("_run").cast("bigint") * F.lit(1 << 32) + own).drop("_run")
 
 
 def run_kind(coleta_id) -> F.col:
