@@ -64,5 +64,5 @@ def nulls_last(column: str, ascending: bool = True) -> Column:
 
 def snippet(text: Column, query: str, before: int = 120, length: int = 320) -> Column:
     """A piece of the text around the query's first word."""
-    at = F.locate(normalize_name(F.lit(query.split()[0] if query.split() else "")), normalize_name(text))
+    at = F.instr(normalize_name(text), normalize_name(F.lit(query.split()[0] if query.split() else "")))
     return clean_ws(F.substring(text, F.greatest(at - before, F.lit(1)), F.lit(length)))
