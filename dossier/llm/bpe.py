@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from dossier.llm.common import tidy
 
-#: Pieces that one recursive query encodes, and pieces that a task remembers.
-QUERY_PIECES, REMEMBERED = 20_000, 200_000
+#: Pieces that one recursive query encodes, pieces that texts wait with until their new ones are encoded together, and pieces that
+#: a task remembers.
+QUERY_PIECES, WAITING, REMEMBERED = 20_000, 150_000, 250_000
 #: Bytes from which a piece is encoded with all occurrences of its least pair at once.
 LONG = 256
 
@@ -140,7 +141,7 @@ class Coder:
         for t in texts:
             held.append(self.split(t))
             size += len(held[-1])
-            if size > REMEMBERED // 4:
+            if size > WAITING:
                 yield from self.ready(held)
                 held, size = [], 0
         yield from self.ready(held)
