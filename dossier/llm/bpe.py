@@ -62,7 +62,7 @@ SELECT round, key, token FROM step
 """
 # Ordered aggregation puts the tokens' bytes together.
 DECODE = """
-SELECT piece, string_agg(hex(t.bytes), '' ORDER BY i.at) AS bytes
+SELECT piece, unhex(string_agg(hex(t.bytes), '' ORDER BY i.at)) AS bytes
 FROM ids i JOIN tokens t ON t.token = i.token GROUP BY piece
 """
 
@@ -107,10 +107,11 @@ class Coder:
 
     def learn(self, pieces: list[str]) -> None:
         """Encodes and decodes pieces. One that is a token itself needs no merge; the others go through the queries."""
-        data = [(p, p.encode()) for p in pieces]
-        whole = [(p, b) for p, b in data if b in self.ranks]
-        rest = [(p, b) for p, b in data if b not in self.ranks]
-        self.keep([p for p, _ in whole], np.ones(len(whole), np.int64), np.array([self.ranks[b] for _, b in whole], np.int32))
+        data = list(map(str.encode, pieces))
+        rank = list(map(self.ranks.get, data))
+        whole = [(p, r) for p, r in zip(pieces, rank, strict=True) if r is not None]
+        rest = [(p, b) for p, b, r in zip(pieces, data, rank, strict=True) if r is None]
+        self.keep([p for p, _ in whole], np.ones(len(whole), np.int64), np.array([r for _, r in whole], np.int32))
         for query, some in ((ENCODE, [x for x in rest if len(x[1]) < LONG]), (ENCODE_LONG, [x for x in rest if len(x[1]) >= LONG])):
             for lo in range(0, len(some), QUERY_PIECES):
                 part = some[lo : lo + QUERY_PIECES]
@@ -120,8 +121,8 @@ class Coder:
         data = self.decode(size, token)
         text = list(map(str, token.tolist()))
         edge = [0, *np.cumsum(size).tolist()]
-        for p, a, b, d in zip(pieces, edge[:-1], edge[1:], data, strict=True):
-            self.known[p] = (",".join(text[a:b]), b - a, d)
+        ids = map(",".join, [text[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)])
+        self.known.update(zip(pieces, zip(ids, size.tolist(), data, strict=True), strict=True))
 
     def decode(self, size: np.ndarray, token: np.ndarray) -> list[bytes]:
         """The bytes of each of len(size) runs of tokens."""
@@ -130,8 +131,8 @@ class Coder:
         self.db.register("ids", pa.table({"piece": row, "at": (np.arange(len(row)) - start).astype(np.int32), "token": token.astype(np.int32)}))
         out = [b""] * len(size)
         got = self.db.sql(DECODE).to_arrow_table()
-        for i, x in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
-            out[i] = bytes.fromhex(x)
+        for i, x in zip(got.column(0).to_numpy().tolist(), got.column(1).to_numpy().tolist(), strict=True):
+            out[i] = x
         return out
 
     def encode(self, texts: list[str]) -> Iterator[list[str]]:
@@ -147,11 +148,12 @@ class Coder:
         yield from self.ready(held)
 
     def ready(self, held: list[list[str]]) -> Iterator[list[str]]:
-        new = list({p for pieces in held for p in pieces} - self.known.keys())
+        pieces = set().union(*held)
+        new = pieces.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = list({p for pieces in held for p in pieces})
-        self.learn(new)
+            new = pieces
+        self.learn(list(new))
         yield from held
 
 
@@ -172,11 +174,11 @@ def encoded(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("
         for b in batches:
             counts, ids, digests, decoded = [], [], [], []
             for pieces in c.encode(b.column("_text").to_pylist()):
-                got = [c.known[p] for p in pieces]
-                text = ",".join([x[0] for x in got])
-                counts.append(sum([x[1] for x in got]))
+                own_ids, sizes, data = zip(*map(c.known.__getitem__, pieces), strict=True) if pieces else ((), (), ())
+                text = ",".join(own_ids)
+                counts.append(sum(sizes))
                 digests.append(hashlib.sha256(text.encode()).hexdigest())
-                decoded.append(hashlib.sha256(b"".join([x[2] for x in got])).hexdigest())
+                decoded.append(hashlib.sha256(b"".join(data)).hexdigest())
                 if with_ids:
                     ids.append([int(x) for x in text.split(",")] if text else [])
             own = [pa.array(counts, pa.int64()), *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), pa.array(digests), pa.array(decoded)]
