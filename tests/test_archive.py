@@ -1,0 +1,172 @@
+"""Operators without a registered query, each on a few rows whose result is known."""
+
+import csv
+import glob
+import json
+
+from pyspark.sql import functions as F
+
+from dossier.operators import assertions, entities, graph
+from dossier.plans import chronology
+from dossier.sources import sinks, tabs
+
+MENTIONS = [("nome:ACME SA", 1, 1, "requerente", 1), ("oab:1/SP", 2, 1, "advogado", 2), ("nome:BETA LTDA", 3, 1, "requerido", 3), ("oab:1/SP", 4, 2, "advogado", 2), ("nome:ACME SA", 5, 2, "requerido", 1)]
+CASES = [(1, "Pet", 100, "MIN. ANA LIMA"), (2, "Inq", 200, None)]
+
+
+def rows(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
+
+
+def cases(spark):
+    return spark.createDataFrame(CASES, "incidente bigint, classe string, numero bigint, relator string")
+
+
+def mentions(spark):
+    return spark.createDataFrame(MENTIONS, "chave string, parte_id bigint, incidente bigint, papel string, bloco int")
+
+
+def named(spark):
+    return spark.createDataFrame([("nome:ACME SA", "parte", "ACME SA"), ("nome:BETA LTDA", "parte", "BETA LTDA"), ("oab:1/SP", "advogado", "JOSE REIS"), ("ministro:ANA LIMA", "ministro", "ANA LIMA")], "chave string, tipo string, nome string")
+
+
+def captures(spark, tab, html):
+    return spark.createDataFrame([(1, 7, tab, html.encode()), (2, 7, tab, None)], "sid bigint, incidente bigint, aba string, content binary")
+
+
+def test_events(spark):
+    item = '<div class="andamento-item"><div class="andamento-data">{}</div><h5 class="andamento-nome">{}</h5><div class="col-md-9">{}</div></div>'
+    html = item.format("02/03/2026", "Decisão", "a  b") + item.format("01/03/2026", "Autuado", "")
+    got = tabs.parse_events(captures(spark, "andamentos", html))
+    assert [(p, str(d), t, x) for p, d, t, x in rows(got, "posicao", "data", "tipo", "descricao")] == [(0, "2026-03-02", "Decisão", "a b"), (1, "2026-03-01", "Autuado", "")]
+
+
+def test_event_links(spark):
+    html = '<div class="andamento-item"><div class="andamento-data">02/03/2026</div><h5 class="andamento-nome">X</h5><div class="andamento-docs"><a href="downloadPeca.asp?id=15&ext=.pdf">Inteiro teor</a></div></div>'
+    (docs,) = tabs.parse_events(captures(spark, "andamentos", html)).first().documentos
+    assert (docs["rotulo"], docs["id_portal"], docs["url"].startswith("https://portal.example/")) == ("Inteiro teor", "15", True)
+
+
+def test_parties(spark):
+    one = '<div class="processo-partes"><div class="detalhe-parte">{}</div><div class="nome-parte">{}</div></div>'
+    html = f'<div id="todas-partes">{one.format("REQTE.(S)", "ACME")}{one.format("ADV.(A/S)", "ANA (1/SP)")}</div>{one.format("X", "fora")}'
+    got = rows(tabs.parse_parties(captures(spark, "partes", html)), "bloco", "papel_portal", "nome", "oab")
+    assert got == [(0, "REQTE.(S)", "ACME", []), (1, "ADV.(A/S)", "ANA", ["1/SP"])]
+
+
+def test_details(spark):
+    html = '<div class="lista-dados"><span class="processo-detalhes-bold">12/2026</span><span class="processo-detalhes">Peticionado em 01/02/2026</span></div>'
+    assert rows(tabs.parse_details(captures(spark, "peticoes", html), "peticoes"), "posicao", "numero", "detalhe") == [(0, "12/2026", "Peticionado em 01/02/2026")]
+
+
+def test_sessions(spark):
+    votes = [{"numeroOrdemVotoSessao": 1, "ministro": {"descricao": "A"}, "dataVoto": "01/02/2026", "tipoVoto": "Relator"}, {"numeroOrdemVotoSessao": "x", "ministro": "B", "dataVoto": "99/99/2026"}]
+    value = json.dumps([{"objetoIncidente": {"id": 5, "identificacao": "Pet 1", "tipoObjetoIncidente": {"descricao": "P"}, "pai": {"id": 4}}, "listasJulgamento": [{"id": 9, "nomeLista": "L", "ministroRelator": {"descricao": "A"}, "sessao": {"numero": 3, "ano": 2026, "dataInicio": "01/02/2026", "colegiado": "Turma"}, "votos": votes}]}])
+    df = spark.createDataFrame([(1, value), (2, "[]"), (3, None)], "sid bigint, value string")
+    assert rows(tabs.parse_session_objects(df), "sid", "objeto_id", "tipo", "pai_id", "principal_id") == [(1, 5, "P", 4, None)]
+    (got,) = tabs.parse_session_lists(df).collect()
+    assert (got.objeto_id, got.lista_id, got.relator, got.sessao_numero, str(got.inicio), got.colegiado) == (5, 9, "A", 3, "2026-02-01", "Turma")
+    assert [(v["ordem"], v["ministro"], v["data"] and str(v["data"]), v["tipo"]) for v in got.votos] == [(1, "A", "2026-02-01", "Relator"), (None, "B", None, None)]
+
+
+def test_bills(spark):
+    wrap = lambda m: json.dumps({"PesquisaBasicaMateria": {"Materias": {"Materia": m}}})
+    first = {"Codigo": "1", "Sigla": "PL", "Numero": "10", "Ano": "2026", "Ementa": "a  b", "Data": "2026-01-02T00:00"}
+    data = [(1, "senado", wrap(first)), (2, "senado", wrap([first | {"Codigo": "2", "Numero": "1x"}, first | {"Codigo": "3"}])), (3, "camara", json.dumps({"dados": [{"id": 4, "siglaTipo": "PEC", "numero": 7, "ano": 2025, "ementa": "c"}]}))]
+    got = tabs.parse_bills(spark.createDataFrame(data, "sid bigint, casa string, value string"))
+    assert rows(got, "sid", "codigo", "sigla", "numero", "ementa") == [(1, "1", "PL", 10, "a b"), (2, "2", "PL", None, "a b"), (2, "3", "PL", 10, "a b"), (3, "4", "PEC", 7, "c")]
+
+
+def test_prose(spark):
+    page = "1. Conversas do aparelho\nJoão Silva envia para Ana Lima “bom dia”. Nada mais foi achado."
+    df = spark.createDataFrame([(1, 1, page), (1, 2, "Sem conversa."), (1, 3, None)], "documento_id bigint, pagina int, texto string")
+    got = rows(tabs.conversation_items(df, ("João Silva",)), "pagina", "ordem", "tipo", "de", "para", "texto", "lado")
+    assert got[:2] == [(1, 0, "secao", None, None, "1. Conversas do aparelho", None), (1, 1, "mensagem", "João Silva", "Ana Lima", "bom dia", "enviada")]
+    assert {g[0] for g in got} == {1}
+
+
+def test_entities(spark):
+    parties = spark.createDataFrame([(1, 1, "Acme S.A.", "requerente", [], False, 1), (2, 1, "ACME SA", "requerente", [], False, 1), (3, 1, "ACME SA", "requerido", [], False, 2), (4, 1, "JOSE", "advogado", ["1/SP"], False, 3), (5, 1, "SEM PARTE", "requerido", [], True, 4)], "id bigint, incidente bigint, nome string, papel string, oab array<string>, e_placeholder boolean, bloco int")
+    court = spark.createDataFrame([("MIN. ANA LIMA", 1), ("Ministra Ana Lima (relatora)", 2), (None, 3)], "nome string, ordem bigint")
+    got = entities.build_entities(parties, court, [])
+    assert {(r.chave, r.tipo) for r in got.collect()} == {("nome:ACME SA", "parte"), ("oab:1/SP", "advogado"), ("ministro:ANA LIMA", "ministro")}
+    assert {r.nome for r in got.where("tipo = 'parte'").collect()} == {"ACME SA"}
+    assert len(rows(entities.entity_mentions(parties, got), "chave", "parte_id")) == 4
+    cited = spark.createDataFrame([(1, "Ministra Ana Lima", "pessoa"), (1, "Acme SA", "empresa"), (2, "Jose", "pessoa"), (3, "Nova Gente", "pessoa")], "assercao_id bigint, nome string, tipo string")
+    links, fresh = entities.resolve_cited_entities(cited, got)
+    assert rows(links, "assercao_id", "chave") == [(1, "ministro:ANA LIMA"), (1, "nome:ACME SA"), (2, "oab:1/SP"), (3, "nome:NOVA GENTE")]
+    assert rows(fresh, "chave", "nome") == [("nome:NOVA GENTE", "Nova Gente")]
+
+
+def test_alias_proposals(spark):
+    names = ["MARIA APARECIDA SOUZA", "MARIA APARECIDA SOUSA", "MARIA DE SOUZA", "MARIA CLARA DE SOUZA", "PEDRO ALVARES CABRAL"]
+    df = spark.createDataFrame([(i, "parte", f"nome:{n}", n) for i, n in enumerate(names)], "id bigint, tipo string, chave string, nome string")
+    assert rows(entities.propose_aliases(df), "a", "b", "contido") == [(0, 1, False), (2, 3, True)]
+
+
+def test_edges(spark):
+    m, c = mentions(spark), cases(spark)
+    assert rows(graph.party_edges(m).where("destino = 'caso:2'"), "origem", "n") == [("entidade:nome:ACME SA", 1), ("entidade:oab:1/SP", 1)]
+    assert rows(graph.represents(m), "incidente", "advogado", "representado") == [(1, "oab:1/SP", "nome:ACME SA"), (2, "oab:1/SP", "nome:ACME SA")]
+    assert rows(graph.representation_edges(m), "n") == [(2,)]
+    rel = spark.createDataFrame([(1, "Inq", 200, "relacionado"), (1, "HC", 9, "relacionado")], "incidente_origem bigint, classe_destino string, numero_destino bigint, tipo string")
+    assert rows(graph.relation_edges(rel, c), "origem", "destino") == [("caso:1", "caso:2"), ("caso:1", "externo:HC 9")]
+    cites = spark.createDataFrame([(5, 1, "Inq", 200), (5, 2, "Inq", 200), (5, 1, "Pet", 100), (6, 1, "Inq", 200)], "documento_id bigint, pagina int, classe string, numero bigint")
+    docs = spark.createDataFrame([(5, 1), (6, 1)], "documento_id bigint, incidente bigint")
+    assert rows(graph.citation_edges(cites, docs, c), "origem", "destino", "n", "fontes") == [("caso:1", "caso:2", 2, ["5:1", "5:2", "6:1"])]
+    votes = spark.createDataFrame([(2, "Ana Lima"), (2, "Ministra Ana Lima")], "incidente bigint, ministro string")
+    assert rows(graph.minister_edges(c, votes), "origem", "destino", "tipo", "n") == [("entidade:ministro:ANA LIMA", "caso:1", "relator_de", 1), ("entidade:ministro:ANA LIMA", "caso:2", "votou_em", 2)]
+    nodes = graph.case_nodes(c, rel, cites)
+    assert rows(nodes, "id", "externo") == [("caso:1", False), ("caso:2", False), ("externo:HC 9", True)]
+    reached, edge, pending = graph.expand_frontier(c.where("incidente = 1"), rel, c, 0)
+    assert (rows(reached, "id"), rows(edge, "id"), rows(pending, "classe", "numero")) == ([("caso:1",)], [("caso:2",)], [("HC", 9)])
+
+
+def test_speakers(spark):
+    said = spark.createDataFrame([(1, 1, "alegacao", "ACME SA"), (2, 1, "alegacao", "Acme S.A."), (3, 2, "conclusao", "Min. Ana Lima"), (4, 2, "conclusao", None)], "assercao_id bigint, incidente bigint, tipo_epistemico string, atribuida_a string")
+    got = rows(graph.speaker_edges(said, named(spark)), "origem", "destino", "tipo", "n")
+    assert got == [("entidade:ministro:ANA LIMA", "caso:2", "afirma_em:conclusao", 1), ("entidade:nome:ACME SA", "caso:1", "afirma_em:alegacao", 2)]
+    links = spark.createDataFrame([(1, "nome:ACME SA"), (1, "nome:BETA LTDA"), (2, "nome:BETA LTDA"), (1, "ministro:ANA LIMA")], "assercao_id bigint, chave string")
+    assert rows(graph.cited_in_edges(links, said).where("origem = 'entidade:nome:BETA LTDA'"), "n", "fontes") == [(2, ["1", "2"])]
+    assert rows(graph.cocitation_edges(links, named(spark)), "origem", "destino", "n") == [("entidade:nome:ACME SA", "entidade:nome:BETA LTDA", 1)]
+
+
+def test_decisions(spark):
+    item = {"pedido": "soltar o réu", "resultado": "deferido", "decisao": "defiro o pedido", "pagina": 1, "trecho_fonte": "Defiro  o pedido"}
+    data = [(1, json.dumps({"itens": [item, item | {"pagina": 2}, item | {"trecho_fonte": "outro trecho"}]})), (2, json.dumps({"itens": [item | {"resultado": "talvez"}]})), (3, "nada"), (4, None)]
+    pages = spark.createDataFrame([(1, 1, "Pelo exposto, DEFIRO o\npedido.")], "documento_id bigint, pagina int, texto string")
+    items, status = assertions.validate_decisions(spark.createDataFrame(data, "documento_id bigint, resposta string"), pages)
+    assert rows(items, "k", "motivo") == [(0, None), (1, "pagina inexistente"), (2, "trecho fora da pagina")]
+    assert rows(status, "documento_id", "status", "validas", "descartadas") == [(1, "ok", 1, 2), (2, "rejeitada:schema", 0, 0), (3, "rejeitada:json", 0, 0), (4, "rejeitada:json", 0, 0)]
+
+
+def test_chronology(spark):
+    events = spark.createDataFrame([("2026-01-01", 1, "decisao", "d"), ("2026-01-02", 1, "outros", "o")], "data string, incidente bigint, categoria string, descricao string").withColumn("data", F.to_date("data"))
+    dates = spark.createDataFrame([(1, "2025-05-05", 1), (2, "2026-05-05", 2)], "assercao_id bigint, data string, n_datas bigint").withColumn("data", F.to_date("data"))
+    said = spark.createDataFrame([(1, 1, "alegacao", "a"), (2, 1, "alegacao", "b")], "assercao_id bigint, incidente bigint, tipo_epistemico string, texto string")
+    decided = spark.createDataFrame([("2026-02-02", 2, "deferido", "c"), (None, 2, "deferido", "n")], "data string, incidente bigint, resultado string, decisao string").withColumn("data", F.to_date("data"))
+    got, totals = chronology.chronology(events, dates, said, decided, cases(spark), ["decisao"], "2026-01-01")
+    assert rows(got, "fonte", "processo", "texto", "contexto") == [("assercao", "Pet 100", "a", "referencia"), ("decisao", "Inq 200", "c", "caso"), ("portal", "Pet 100", "d", "caso")]
+    assert rows(totals, "fonte", "n") == [("assercao", 1), ("decisao", 1), ("portal", 1)]
+
+
+def test_event_payload(spark):
+    events = spark.createDataFrame([(1,), (2,)], "andamento_id bigint")
+    docs = spark.createDataFrame([(1, 5, "t"), (1, 4, "s")], "andamento_id bigint, documento_id bigint, titulo string")
+    petitions = spark.createDataFrame([(2, "9/2026")], "andamento_id bigint, peticao string")
+    said = spark.createDataFrame([(5,), (5,)], "documento_id bigint")
+    got = {r.andamento_id: ([d["documento_id"] for d in r.documentos], r.peticao, r.assercoes) for r in chronology.event_payload(events, docs, petitions, said).collect()}
+    assert got == {1: ([4, 5], None, 2), 2: ([], "9/2026", 0)}
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a;b", ["x", "y"], 123456, "secret")], "id bigint, t string, l array<string>, valor_centavos bigint, identificacao string")
+    sinks.write_csv_semicolon(df.select("id", "t", "l").coalesce(1), f"{tmp_path}/sheet")
+    (part,) = glob.glob(f"{tmp_path}/sheet/*.csv")
+    with open(part) as f:
+        assert list(csv.reader(f, delimiter=";")) == [["id", "t", "l"], ["1", "a;b", "x | y"]]
+    sinks.write_flow_csvs({"ativos": df}, str(tmp_path))
+    got = spark.read.option("header", "true").csv(f"{tmp_path}/ativos").first().asDict()
+    assert got["valor_centavos"] == "1234.56" and "identificacao" not in got
+    sinks.write_nested_json(df, f"{tmp_path}/json", "id")
+    assert spark.read.json(f"{tmp_path}/json").first().l == ["x", "y"]
