@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import blob, components, parts, save, tidy, with_row_id
+from dossier.llm.common import blob, components, parts, save, tidy
 
 SEED = 42
 #: A block's fingerprints are compared pair by pair in one task up to this many; larger blocks are split by further bits.
@@ -166,14 +166,3 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, largest:
 
 def hexadecimal(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def drop_near_duplicates(docs: DataFrame, width: int = 5, distance: int = 6) -> DataFrame:
-    """docs with one row of each component: the one with the smallest doc_id, then the first in the table. Columns stay as they are.
-
-    Five-word shingles; six bits is the distance at which measured pairs have a Jaccard similarity of about 0.8.
-    """
-    rows = with_row_id(docs)
-    found = near_duplicates(rows, width, distance, keep=("doc_id", "_rid"))
-    first = found.groupBy("root").agg(F.min_by("_rid", F.struct(F.col("doc_id").isNull(), "doc_id", "_rid")).alias("_rid"))
-    return rows.join(first.select("_rid"), "_rid", "left_semi").drop("_rid")
