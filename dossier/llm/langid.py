@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm import kneser_ney as kn
+from dossier.llm.blocks import Batch
 from dossier.llm.common import save
 
 ORDER = 3
@@ -18,8 +19,9 @@ ORDER = 3
 MOST_ROWS = 4_000_000
 #: Words whose scores a worker remembers.
 REMEMBERED = 300_000
-#: How much of its training documents a language accepts.
-ACCEPTED = 0.999
+#: How much of its calibration documents a language accepts: one in CALIBRATION training texts, which are not counted. A language
+#: with fewer than LEAST of them counts all of its training documents and is calibrated on them.
+ACCEPTED, CALIBRATION, LEAST = 0.999, 8, 20
 _words = regex.compile(r"\p{L}+").findall
 
 
@@ -84,6 +86,49 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def verdict(ids: list[int], table: np.ndarray, size: np.ndarray, langs: list[str]) -> tuple[str, float, float | None]:
+    """(language, score, cross entropy) of a text, from its words' rows in table (log10 probabilities) and size (characters)."""
+    if not ids or not langs:
+        return "und", 0.0, None
+    h = -table[ids].sum(axis=0) / size[ids].sum()
+    best = int(h.argmin())
+    return langs[best], float(1 / np.power(10.0, h[best] - h).sum()), float(h[best])
+
+
+def verdict_batch(b: Batch, keep: tuple[str, ...], found: list[tuple[str, float, float | None]]) -> Batch:
+    pred, score, cost = zip(*found, strict=True) if found else ((), (), ())
+    return pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(cost, pa.float64())], names=[*keep, "lang_pred", "score", "cross_entropy"])
+
+
+def numbered(texts: list[str | None], number: dict[str, int]) -> list[list[int]]:
+    return [[number.setdefault(w, len(number)) for w in words_of(t)] if t else [] for t in texts]
+
+
+def by_broadcast(rows: DataFrame, keep: tuple[str, ...], model, schema: str) -> DataFrame:
+    """Verdicts on rows (keep, _text) under a model that each worker holds."""
+
+    def run(batches: Iterator[Batch]) -> Iterator[Batch]:
+        m = model.value
+        number: dict[str, int] = {}
+        table = np.empty((0, len(m.langs) if m else 0))
+        size = np.empty(0)
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                if len(number) > REMEMBERED:
+                    number.clear()
+                    table, size = table[:0], size[:0]
+                known = len(number)
+                ids = numbered(part.column("_text").to_pylist(), number)
+                if m and len(number) > known:
+                    new = list(number)[known:]
+                    table = np.concatenate([table, m.scores(new)])
+                    size = np.concatenate([size, np.fromiter(map(len, new), float, len(new)) + 1])
+                yield verdict_batch(part, keep, [verdict(i, table, size, m.langs if m else []) for i in ids])
+
+    return rows.mapInArrow(run, schema)
+
+
 def identified(docs: DataFrame, training: DataFrame, keep: tuple[str, ...] = ("doc_id",), order: int = ORDER) -> DataFrame:
     """For each row of docs the columns in keep, lang_pred, score, cross_entropy and accepted.
 
@@ -91,49 +136,26 @@ def identified(docs: DataFrame, training: DataFrame, keep: tuple[str, ...] = ("d
     negative log10 probability a character (cross_entropy) over the text's words, ties to the first name in order; it is
     `und`, with score 0, if the text is null or has no letter, or nothing was learned. score is the share of the best
     language's likelihood a character among all. accepted tells whether cross_entropy is within what all but a thousandth of
-    the training documents of that language have; it is the rejection rule for callers that want one.
+    the language's calibration documents have that the models give to it; it is the rejection rule for callers that want one.
+    Calibration documents are those of training whose text's hash says so, and docs have no part in the limits.
     """
     spark = docs.sparkSession
-    counts = gram_rows(training, order)
-    model_rows = save(kn.estimated(counts, order), "model")
+    learned = training.where("lang is not null and text is not null").select("lang", "text", (F.pmod(F.xxhash64("text"), F.lit(CALIBRATION)) == 0).alias("_apart"))
+    few = save(learned.groupBy("lang").agg((F.count_if("_apart") < LEAST).alias("_few")), "few")
+    learned = learned.join(F.broadcast(few), "lang")  # one row for each language
+    model_rows = save(kn.estimated(gram_rows(learned.where("_few or not _apart"), order), order), "model")
     n = model_rows.count()
     if n > MOST_ROWS:
         raise ValueError(f"the model has {n} rows; at most {MOST_ROWS} are broadcast")
     model = spark.sparkContext.broadcast(Model(model_rows.collect(), order) if n else None)
-    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        number: dict[str, int] = {}
-        table = np.empty((0, len(m.langs) if m else 0))
-        size = np.empty(0)
-        for b in batches:
-            texts = b.column("_text").to_pylist()
-            for lo in range(0, len(texts), 1000):
-                some = [words_of(t) if t else [] for t in texts[lo : lo + 1000]]
-                pred, score, cost = [], [], []
-                if m:
-                    if len(number) > REMEMBERED:
-                        number.clear()
-                        table, size = table[:0], size[:0]
-                    new = list({w for ws in some for w in ws if w not in number})
-                    if new:
-                        number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
-                        table = np.concatenate([table, m.scores(new)])
-                        size = np.concatenate([size, np.fromiter(map(len, new), float, len(new)) + 1])
-                for ws in some:
-                    if not m or not ws:
-                        pred.append("und"), score.append(0.0), cost.append(None)
-                        continue
-                    ids = [number[w] for w in ws]
-                    h = -table[ids].sum(axis=0) / size[ids].sum()
-                    best = int(h.argmin())
-                    pred.append(m.langs[best])
-                    cost.append(float(h[best]))
-                    score.append(float(1 / np.power(10.0, h[best] - h).sum()))
-                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(lo, len(some)) for k in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(cost, pa.float64())], names=[*keep, "lang_pred", "score", "cross_entropy"])
-
-    scored = docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{kinds}, lang_pred string, score double, cross_entropy double")
-    scored = save(scored, "languages")
-    limits = scored.groupBy("lang_pred").agg(F.percentile_approx("cross_entropy", ACCEPTED, 10_000).alias("limit"))
-    return scored.join(F.broadcast(limits), "lang_pred").select(*keep, "lang_pred", "score", "cross_entropy", F.coalesce(F.col("cross_entropy") <= F.col("limit"), F.lit(False)).alias("accepted"))
+    def judged(df: DataFrame, cols: tuple[str, ...], name: str) -> DataFrame:
+        kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in cols)
+        schema = f"{kinds}, lang_pred string, score double, cross_entropy double"
+        rows = df.select(*cols, F.col("text").alias("_text"))
+        return save(by_broadcast(rows, cols, model, schema), name)
+
+    found = judged(docs, keep, "languages")
+    own = judged(learned.where("_few or _apart"), ("lang",), "calibration").where("lang = lang_pred")
+    limits = own.groupBy("lang_pred").agg(F.percentile_approx("cross_entropy", ACCEPTED, 10_000).alias("limit"))
+    return found.join(F.broadcast(limits), "lang_pred", "left").select(*keep, "lang_pred", "score", "cross_entropy", F.coalesce(F.col("cross_entropy") <= F.col("limit"), F.lit(False)).alias("accepted"))
