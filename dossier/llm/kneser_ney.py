@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossier.llm.blocks import ROWS, as_batch, sharded
 from dossier.llm.common import save
 
 #: The probability below single characters is uniform over this many.
@@ -86,6 +90,24 @@ def key_of(gram: str, level: int, backs: bool, salt: int = 0) -> int:
     return int(mixed(h)[0])
 
 
+def salt_of(lang: str) -> int:
+    return key_of(lang, 0, False)
+
+
+def dealt_model(model: DataFrame, n: int) -> DataFrame:
+    """Rows (block, shard, keys, vals) of what estimated() gives, each language under keys of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [b.column(c).to_pylist() for c in ("lang", "level", "backs", "gram", "value")]
+            salts = {x: salt_of(x) for x in set(rows[0])}
+            keys = np.array([key_of(g, k, back, salts[x]) for x, k, back, g, _ in zip(*rows, strict=True)], np.uint64)
+            keys, first = np.unique(keys, return_index=True)
+            yield as_batch(list(sharded(-1, keys, n, np.array(rows[4], np.float32)[first])))
+
+    return model.mapInArrow(run, ROWS)
+
+
 def window_keys(points: np.ndarray, ends: np.ndarray, order: int, salt: int = 0) -> dict[tuple[int, bool], np.ndarray]:
     """For each predicted place (index into points) the keys of its grams and their contexts, by (level, backs)."""
     out = {}

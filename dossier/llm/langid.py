@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm import kneser_ney as kn
-from dossier.llm.blocks import Batch
-from dossier.llm.common import save
+from dossier.llm.blocks import BLOCK, ROWS, Batch, answered, as_batch, chunks, scored, sharded
+from dossier.llm.common import parts, save
 
 ORDER = 3
-#: A model of more rows than this is not broadcast; the job stops instead.
+#: A model of more rows than this is not broadcast: blocks of documents ask its shards for what they need, with the same result.
 MOST_ROWS = 4_000_000
 #: Words whose scores a worker remembers.
 REMEMBERED = 300_000
@@ -129,6 +129,40 @@ def by_broadcast(rows: DataFrame, keep: tuple[str, ...], model, schema: str) ->
     return rows.mapInArrow(run, schema)
 
 
+def by_shards(rows: DataFrame, keep: tuple[str, ...], model: DataFrame, langs: list[str], order: int, schema: str) -> DataFrame:
+    """The same under a model (rows of dealt_model) that no worker holds whole. A block's keys grow with the languages, so blocks are smaller the more there are."""
+    n, block = parts(rows.sparkSession), max(BLOCK // len(langs), 100_000)
+    salts = [kn.salt_of(x) for x in langs]
+
+    def keys_of(b: Batch) -> tuple[np.ndarray, tuple]:
+        number: dict[str, int] = {}
+        ids = numbered(b.column("_text").to_pylist(), number)
+        words = list(number)
+        if not words:
+            return np.empty(0, np.uint64), (ids, words, [], None)
+        points, ends, places = kn.word_places(words, order)
+        grams = [kn.window_keys(points, ends, order, x) for x in salts]
+        return np.unique(np.concatenate([np.unique(x) for own in grams for x in own.values()])), (ids, words, grams, np.cumsum(places) - places)
+
+    def ask(batches: Iterator[Batch]) -> Iterator[Batch]:
+        for at, b in chunks(batches, block):
+            keys = keys_of(b)[0]
+            if len(keys):
+                yield as_batch(list(sharded(at, keys, n)))
+
+    def score(b: Batch, state: tuple, keys: np.ndarray, vals: np.ndarray) -> Batch:
+        ids, words, grams, edge = state
+        table = np.empty((len(words), len(langs)))
+        look = lambda k: vals[np.searchsorted(keys, k)]  # noqa: E731  every key was asked for
+        for lang, own in enumerate(grams):
+            table[:, lang] = np.add.reduceat(kn.backed_off(look, own, order), edge)
+        size = np.fromiter(map(len, words), float, len(words)) + 1
+        return verdict_batch(b, keep, [verdict(i, table, size, langs) for i in ids])
+
+    answers = answered(rows.mapInArrow(ask, ROWS), model, np.nan, np.float32)
+    return scored(rows, answers, keys_of, score, n, schema, np.float32, block)
+
+
 def identified(docs: DataFrame, training: DataFrame, keep: tuple[str, ...] = ("doc_id",), order: int = ORDER) -> DataFrame:
     """For each row of docs the columns in keep, lang_pred, score, cross_entropy and accepted.
 
@@ -146,14 +180,16 @@ def identified(docs: DataFrame, training: DataFrame, keep: tuple[str, ...] = ("d
     model_rows = save(kn.estimated(gram_rows(learned.where("_few or not _apart"), order), order), "model")
     n = model_rows.count()
     if n > MOST_ROWS:
-        raise ValueError(f"the model has {n} rows; at most {MOST_ROWS} are broadcast")
-    model = spark.sparkContext.broadcast(Model(model_rows.collect(), order) if n else None)
+        langs = sorted(r["lang"] for r in model_rows.select("lang").distinct().collect())
+        model = save(kn.dealt_model(model_rows, parts(spark)), "shards")
+    else:
+        model = spark.sparkContext.broadcast(Model(model_rows.collect(), order) if n else None)
 
     def judged(df: DataFrame, cols: tuple[str, ...], name: str) -> DataFrame:
         kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in cols)
         schema = f"{kinds}, lang_pred string, score double, cross_entropy double"
         rows = df.select(*cols, F.col("text").alias("_text"))
-        return save(by_broadcast(rows, cols, model, schema), name)
+        return save(by_shards(rows, cols, model, langs, order, schema) if n > MOST_ROWS else by_broadcast(rows, cols, model, schema), name)
 
     found = judged(docs, keep, "languages")
     own = judged(learned.where("_few or _apart"), ("lang",), "calibration").where("lang = lang_pred")

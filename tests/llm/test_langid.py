@@ -1,4 +1,4 @@
-"""Rejection limits of op5_langid."""
+"""Rejection limits of op5_langid, and models of more rows than are broadcast."""
 
 import numpy as np
 import pytest
@@ -33,3 +33,10 @@ def test_limits_do_not_depend_on_what_is_scored(docs):
     alone = langid.identified(docs.where("doc_id < 50"), training).collect()
     among = {r["doc_id"]: r for r in langid.identified(docs, training).collect()}
     assert all(among[r["doc_id"]] == r for r in alone)
+
+
+def test_a_large_model_gives_the_same(docs, monkeypatch):
+    training = docs.where("lang <> 'yy' and doc_id % 4 <> 2")
+    want = sorted(langid.identified(docs, training).collect(), key=lambda r: r["doc_id"])
+    monkeypatch.setattr(langid, "MOST_ROWS", 10)
+    assert sorted(langid.identified(docs, training).collect(), key=lambda r: r["doc_id"]) == want
