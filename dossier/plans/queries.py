@@ -84,6 +84,11 @@ def n1_normalize(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").where("lang = 'fr'").select("doc_id", text.normalize_name(F.substring("text", 1, 60)).alias("nome"))
 
 
+def n1_texts(spark: SparkSession, d: str) -> DataFrame:
+    """n1_normalize on the whole texts of all documents."""
+    return t(spark, d, "documents").select("doc_id", text.normalize_name(F.col("text")).alias("nome"))
+
+
 def n7_rules(spark: SparkSession, d: str) -> DataFrame:
     kind = text.classify_first_match(text.normalize_name(F.col("p_type")), [("metal", ["STEEL", "BRASS"]), ("outro_metal", ["COPPER|TIN|NICKEL"])], "outro")
     return t(spark, d, "part").groupBy(kind.alias("grupo")).agg(F.count("*").alias("n"))
@@ -157,7 +162,7 @@ def g6_cocitation(spark: SparkSession, d: str) -> DataFrame:
 def g9_distance(spark: SparkSession, d: str) -> DataFrame:
     l = t(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("s")).distinct()
     edges = l.select(F.concat(F.lit("s"), F.col("s").cast("string")).alias("origem"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("destino"))
-    return graph.seed_distance(edges, spark.createDataFrame([("s1",)], "id string"), most=4)
+    return graph.seed_distance(edges, spark.createDataFrame([("s1",)], "id string"))
 
 
 def x7_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -170,7 +175,7 @@ def f2_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (timeline, k1_hash, k2_ordinal, k3_seen, k5_snapshots, k6_headers, k7_versions, k16_content, d1_diff, d6_integrity, n1_normalize, n7_rules, n12_phones, a9_values, a7_cases, w5_counterparties, m4_totals, m5_edges, t2_pairs, f5_flows, g6_cocitation, g9_distance, x7_pages, f2_terms)
+    own = (timeline, k1_hash, k2_ordinal, k3_seen, k5_snapshots, k6_headers, k7_versions, k16_content, d1_diff, d6_integrity, n1_normalize, n1_texts, n7_rules, n12_phones, a9_values, a7_cases, w5_counterparties, m4_totals, m5_edges, t2_pairs, f5_flows, g6_cocitation, g9_distance, x7_pages, f2_terms)
     return {f.__name__: f for f in own}
 
 
