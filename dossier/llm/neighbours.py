@@ -157,13 +157,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = TR
             x, y = np.stack(left["embedding"]), np.stack(right["embedding"])
             ids = list(left["ids"])
             first = np.array([i[0] for i in ids])
-            square = (x**2).sum(axis=1)
             for q, v in zip(right["vec_id"], y, strict=True):
-                rough = square - 2 * (x @ v)
-                at = np.argpartition(rough, 3 * k)[: 3 * k + 1] if len(rough) > 3 * k + 1 else np.arange(len(rough))
-                exact = np.sqrt(((x[at] - v) ** 2).sum(axis=1))
-                for j in np.lexsort((first[at], exact))[: k + 1]:
-                    out.append((q, ids[at[j]], exact[j]))
+                exact = np.sqrt(((x - v) ** 2).sum(axis=1))
+                # All rows up to the k + 1st distance, equal ones included, are ordered by distance and id.
+                at = np.flatnonzero(exact <= np.partition(exact, k)[k]) if len(exact) > k + 1 else np.arange(len(exact))
+                for j in at[np.lexsort((first[at], exact[at]))][: k + 1]:
+                    out.append((q, ids[j], exact[j]))
         return pd.DataFrame(out, columns=["query_id", "ids", "score"])
 
     n = parts(spark)
