@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from dossier.llm.common import tidy
 
 #: Pieces that one recursive query encodes, pieces that texts wait with until their new ones are encoded together, and pieces that
-#: a task remembers.
-QUERY_PIECES, WAITING, REMEMBERED = 20_000, 150_000, 250_000
+#: a worker remembers, within a task and from task to task.
+QUERY_PIECES, WAITING, REMEMBERED, KEPT = 20_000, 150_000, 250_000, 100_000
 #: Bytes from which a piece is encoded with all occurrences of its least pair at once.
 LONG = 256
 
@@ -77,7 +78,8 @@ class Coder:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.split = regex.compile(pattern).findall
         self.known: dict[str, tuple[str, int, bytes]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        self.recent: set[str] = set()
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         pairs = [(self.ranks[x[:i]], self.ranks[x[i:]], r) for x, r in self.ranks.items() for i in range(1, len(x)) if x[:i] in self.ranks and x[i:] in self.ranks]
         uneasy = {x for a, b, r in pairs for x in (a, b) if r < x}
         # A pair of tokens merges into the token that has their bytes; its rank decides the order.
@@ -148,14 +150,20 @@ class Coder:
         yield from self.ready(held)
 
     def ready(self, held: list[list[str]]) -> Iterator[list[str]]:
-        pieces = set().union(*held)
+        self.recent = pieces = set().union(*held)
         new = pieces.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = pieces
+        if len(self.known) + len(new) > REMEMBERED:  # frequent pieces are among those just met
+            self.known = {p: self.known[p] for p in pieces.difference(new)}
         self.learn(list(new))
         yield from held
 
+    def rest(self) -> None:
+        """Between tasks a worker remembers some of the pieces met last."""
+        if len(self.known) > KEPT:
+            some = itertools.islice(self.recent & self.known.keys(), KEPT)
+            self.known = {p: self.known[p] for p in some}
+        self.recent = set()
+
 
 @functools.lru_cache(maxsize=1)
 def coder(path: str, pattern: str) -> Coder:
@@ -183,7 +191,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("
                     ids.append([int(x) for x in text.split(",")] if text else [])
             own = [pa.array(counts, pa.int64()), *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), pa.array(digests), pa.array(decoded)]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *own], names=[*keep, "n_tokens", *(["ids"] if with_ids else []), "ids_sha256", "decoded_sha256"])
-        c.known.clear()
+        c.rest()
         tidy()
 
     chosen = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a local one only where none is set (tests)."""
+    """The folder that all executors see, from spark.checkpoint.dir; a temporary one only in local mode, where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -33,6 +35,34 @@ def with_row_id(docs: DataFrame, name: str = "_rid") -> DataFrame:
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 
+def numbered(docs: DataFrame, stable: bool = False) -> DataFrame:
+    """Rows (_rid, row): each row of docs as a struct, so that no column of docs can clash with one of ours, under a number that
+    rises with its place in the table.
+
+    The rows are written to the shared folder with their numbers, which later reads then repeat. stable says that docs comes
+    straight from files (no shuffle, sample or non-deterministic column), so that reading it again gives the same order, and no
+    copy is made.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct(*docs.columns).alias("row"))
+    return rows if stable else save(rows, "rows")
+
+
+#: Tasks that rows of one key are spread over.
+SALTS = 64
+
+
+def with_first(rows: DataFrame, key: str, place: Column, spread: Column) -> DataFrame:
+    """Those of rows whose key others share, with copies (how many do) and first (the least place among them).
+
+    Rows of a key are dealt to SALTS tasks by the hash of spread, both when they are counted and when they meet the result, so a
+    key that a third of all rows have is never gathered.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    some = dealt.groupBy(key, "_salt").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
+    whole = some.groupBy(key).agg(F.min("first").alias("first"), F.sum("copies").alias("copies")).where("copies > 1")
+    return dealt.join(some.select(key, "_salt").join(whole, key), [key, "_salt"]).drop("_salt")
+
+
 def blob(column: str = "text") -> Column:
     """A text's UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))

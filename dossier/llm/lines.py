@@ -1,4 +1,4 @@
-"""Substring deduplication by hashes of lines."""
+"""Substring deduplication by hashes of lines and the sentences in them."""
 
 from __future__ import annotations
 
@@ -6,48 +6,62 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from dossier.llm.common import with_row_id
+from dossier.llm.common import numbered, save, with_first
+
+#: Where a unit ends: behind a line feed, or behind the white space after a full stop, exclamation or question mark.
+ENDS = r"(?<=[.!?]\s)|(?<=\n)"
+#: Words that a run of repeated units needs to be removed: single short lines that many texts share stay.
+LEAST = 20
+
+
+def units(text: Column) -> Column:
+    """The text's units, which joined give the text again."""
+    return F.split(text, ENDS, -1)
 
 
 def normalised(unit: Column) -> Column:
     """The form that is compared: ASCII white space collapsed and trimmed, lower case."""
-    return F.lower(F.trim(F.regexp_replace(unit, r"[ \t\x0B\f\r]+", " ")))
+    return F.lower(F.trim(F.regexp_replace(unit, r"[ \t\n\x0B\f\r]+", " ")))
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """For each row of docs (doc_id, text): _rid, n_units and units, an array of the lines' struct (start, end, removed).
+def repeated_units(rows: DataFrame, least: int = LEAST) -> DataFrame:
+    """For those of rows (_rid, doc_id, text) that lose something: _rid, runs and n_removed.
 
-    A unit is a line; start and end are offsets into the original text in code points, the line feed left out. A line goes if an
-    equal one (in normalised form) comes earlier by (doc_id, row, line number); lines of white space only always stay. Null
-    text has no units. Null doc_ids rank first. Digests are grouped with a map-side minimum, so a line that a third of all
-    documents hold costs one row a task.
+    runs are the runs of units that go, as sorted array of struct (first, last) of unit numbers; n_removed is how many units,
+    those of white space left out, they hold. A unit is repeated if one of the same normalised form comes earlier by
+    (doc_id, row, number). Repeated units that follow each other form a run, over units of white space too; it goes if it has
+    `least` words or more.
     """
-    lines = with_row_id(docs).select("_rid", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    units = lines.select("_rid", "doc_id", "at", F.length("line").alias("n"), F.when(normalised(F.col("line")) != "", F.unhex(F.sha2(normalised(F.col("line")), 256))).alias("digest"))
-    rank = F.struct("doc_id", "_rid", "at")
-    first = units.where("digest is not null").groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    gone = units.join(first, "digest").where(rank != F.col("first")).select("_rid", "at")
-    ahead = W.partitionBy("_rid").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
-    placed = units.select("_rid", "at", "n").withColumn("start", F.coalesce(F.sum(F.col("n") + 1).over(ahead), F.lit(0)))
-    flagged = placed.join(gone.withColumn("removed", F.lit(True)), ["_rid", "at"], "left")
-    unit = F.struct("at", "start", (F.col("start") + F.col("n")).alias("end"), F.coalesce("removed", F.lit(False)).alias("removed"))
-    return flagged.groupBy("_rid").agg(F.sort_array(F.collect_list(unit)).alias("units"))
-
-
-def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """docs with text replaced by its remaining lines, and n_units, n_removed and spans, the removed lines' offsets in the original.
-
-    The spans are an array of struct (start, end). Null text stays null. See repeated_lines for the rules.
+    every = rows.select("_rid", "doc_id", F.transform(units(F.col("text")), lambda u, i: F.struct(i.alias("at"), normalised(u).alias("form"))).alias("u"))
+    each = every.select("_rid", "doc_id", F.posexplode(F.filter("u", lambda u: u["form"] != "")).alias("k", "u"))
+    each = save(each.select("_rid", "doc_id", "k", "u.at", F.size(F.split("u.form", " ")).alias("words"), F.unhex(F.md5(F.col("u.form"))).alias("digest")), "units")
+    place = F.struct("doc_id", "_rid", "at")
+    gone = with_first(each, "digest", place, F.col("_rid")).where(place != F.col("first")).select("_rid", "k", "at", "words")
+    row = F.row_number().over(W.partitionBy("_rid").orderBy("k"))
+    runs = gone.withColumn("run", F.col("k") - row).groupBy("_rid", "run").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n"), F.sum("words").alias("words"))
+    return runs.where(F.col("words") >= least).groupBy("_rid").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"), F.sum("n").alias("n_removed"))
+
+
+def drop_repeated_lines(docs: DataFrame, least: int = LEAST, stable: bool = False) -> DataFrame:
+    """docs (doc_id, text) with text replaced by what stays, and n_units, n_removed and spans.
+
+    spans are the removed runs' offsets in the original text in code points, as sorted array of struct (start, end); n_units
+    counts the units that aren't white space only. Null text stays null and has no units, null doc_ids rank first. Columns of docs
+    with one of the three names are replaced. A long line is cut into sentences, since repeated passages stand inside lines as
+    well. See repeated_units for the rules and numbered for stable.
     """
-    found = repeated_lines(docs)
-    joined = with_row_id(docs).join(found, "_rid", "left")
-    # Lines are taken by number from the text itself, which the shuffle of units did not carry.
-    kept = F.transform(F.filter("units", lambda u: ~u["removed"]), lambda u: F.substring(F.col("text"), (u["start"] + 1).cast("int"), (u["end"] - u["start"]).cast("int")))
-    cut = F.filter("units", lambda u: u["removed"])
-    return joined.select(
-        *[c for c in docs.columns if c != "text"],
-        F.array_join(kept, "\n").alias("text"),
-        F.coalesce(F.size("units"), F.lit(0)).cast("long").alias("n_units"),
-        F.coalesce(F.size(cut), F.lit(0)).cast("long").alias("n_removed"),
-        F.transform(cut, lambda u: F.struct(u["start"].alias("start"), u["end"].alias("end"))).alias("spans"),
-    )
+    rows = numbered(docs, stable)
+    found = repeated_units(rows.select("_rid", "row.doc_id", "row.text"), least)
+    joined = rows.join(found, "_rid", "left").withColumn("u", units(F.col("row.text")))
+    kept = F.filter("u", lambda u, i: ~F.exists("runs", lambda r: i.between(r["first"], r["last"])))
+    upto = lambda n: F.aggregate(F.slice("u", 1, n), F.lit(0).cast("long"), lambda acc, u: acc + F.length(u))
+    spans = F.transform("runs", lambda r: F.struct(upto(r["first"]).alias("start"), upto(r["last"] + 1).alias("end")))
+    count = F.size(F.filter("u", lambda u: normalised(u) != ""))
+    own = {
+        "text": F.when(F.col("runs").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "")),
+        "n_units": F.when(F.col("u").isNull(), 0).otherwise(count).cast("long"),
+        "n_removed": F.coalesce("n_removed", F.lit(0)).cast("long"),
+        "spans": F.coalesce(spans, F.array().cast("array<struct<start:bigint,end:bigint>>")),
+    }
+    same = {k: None for k in own} | {c: None for c in docs.columns if c.lower() in own}
+    return joined.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in same], *[x.alias(k) for k, x in own.items()])

@@ -43,9 +43,9 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    found = lines.drop_repeated_lines(table(spark, sf_dir, "documents"), stable=True)
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
-    return found.select("doc_id", "n_units", "n_removed", F.coalesce(spans, F.lit("")).alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_units", "n_removed", spans.alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op7_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def op7_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.digests(table(spark, sf_dir, "documents"))
+    return suffixes.digests(table(spark, sf_dir, "documents"), stable=True)
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,22 +72,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP6 = r"""
 WITH units AS (
-  SELECT doc_id, u.i - 1 AS k, u.line,
-    lower(trim(regexp_replace(u.line, '[ \t\x0B\f\r]+', ' ', 'g'))) AS form
-  FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'line': x, 'i': i})) AS u FROM documents)
+  SELECT doc_id, u.i - 1 AS pos, u.unit, lower(trim(regexp_replace(u.unit, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS form
+  FROM (SELECT doc_id, unnest(list_transform(string_split(regexp_replace(text, '([.!?]\s|\n)', '\1' || chr(57344), 'g'), chr(57344)), lambda x, i: {'unit': x, 'i': i})) AS u FROM documents)
 ), placed AS (
-  SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins,
-    form <> '' AND row_number() OVER (PARTITION BY form ORDER BY doc_id, k) > 1 AS gone
+  SELECT *, coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins,
+    row_number() OVER (PARTITION BY doc_id, form = '' ORDER BY pos) AS k, form <> '' AND row_number() OVER (PARTITION BY form ORDER BY doc_id, pos) > 1 AS again
   FROM units
-), found AS (
-  SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
-    coalesce(string_agg(begins::BIGINT || '-' || (begins + length(line))::BIGINT, ',' ORDER BY k) FILTER (gone), '') AS removed,
-    coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS kept
-  FROM placed GROUP BY doc_id
+), runs AS (
+  SELECT doc_id, min(pos) AS lo, max(pos) AS hi, count(*) AS n, min(begins) AS s, max(begins + length(unit)) AS e
+  FROM (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run FROM placed WHERE again)
+  GROUP BY doc_id, run HAVING sum(len(string_split(form, ' '))) >= 20
+), gone AS (
+  SELECT doc_id, sum(n)::BIGINT AS n_removed, string_agg(s || '-' || e, ',' ORDER BY lo) AS removed FROM runs GROUP BY 1
+), kept AS (
+  SELECT p.doc_id, count(*) FILTER (form <> '') AS n_units,
+    string_agg(unit, '' ORDER BY pos) FILTER (r.lo IS NULL) AS text
+  FROM placed p LEFT JOIN runs r ON r.doc_id = p.doc_id AND p.pos BETWEEN r.lo AND r.hi GROUP BY 1
 )
-SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed,
-  sha256(coalesce(kept, '')) AS kept_sha256
-FROM documents d LEFT JOIN found f ON f.doc_id = d.doc_id
+SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN gone g ON g.doc_id = d.doc_id
 """
 
 

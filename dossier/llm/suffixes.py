@@ -16,12 +16,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from dossier.llm.common import blob, save, tidy, with_row_id
+from dossier.llm.common import blob, numbered, save, tidy, with_first
 
 LENGTH = 400
 #: Suffixes that a task sorts before it writes a run.
@@ -179,10 +179,10 @@ def merged(runs: list[bytes]) -> Iterator[tuple[int, Entry]]:
         top = w
 
 
-def spans_of(group: list[tuple[int, Entry]], length: int) -> Iterator[tuple[int, int, int]]:
-    """(text number, start, end) of what repeated strings cover around each suffix of a group with half the length in common.
+def extents(group: list[tuple[int, Entry]], length: int) -> tuple[list[int], list[int]]:
+    """How far to the left of each suffix of a group, with half the length in common, its first and its last repeated string start.
 
-    group: (common prefix with the one before, entry), in order. Neighbours are united by falling common prefix r; each set
+    -1 and the length for a suffix in no repeated string. group: (common prefix with the one before, entry), in order. Neighbours are united by falling common prefix r; each set
     is kept in order of what stands before its suffixes. When the smaller set goes into the larger, every pair across has r
     in common to the right, and the longest they share to the left stands with a neighbour in that order. A pair counts if both
     add up to the length.
@@ -218,29 +218,64 @@ def spans_of(group: list[tuple[int, Entry]], length: int) -> Iterator[tuple[int,
             for x in small:
                 bisect.insort(large, x)
         sets[b], owner[b] = [], a
+    return reach, low
+
+
+def spans_of(group: list[tuple[int, Entry]], length: int) -> Iterator[tuple[int, int, int]]:
+    """(text number, start, end) of what repeated strings cover around each suffix of a group with half the length in common."""
+    reach, low = extents(group, length)
     for i, (_, (_, _, t, o)) in enumerate(group):
         if reach[i] >= 0:
             yield t, o - reach[i], o - low[i] + length
 
 
+def later_spans(group: list[tuple[int, Entry]], length: int) -> Iterator[tuple[int, int, int]]:
+    """The same without each string's first occurrence, by text number and offset."""
+    reach, low = extents(group, length)
+    first: dict[int, tuple[int, int]] = {}
+    for i in sorted((i for i, x in enumerate(reach) if x >= 0), key=lambda i: group[i][1][2:]):
+        s, p, t, o = group[i][1]
+        around, mid = p[::-1] + s, len(p)
+        run: list[int] = []
+        for a in range(reach[i], low[i] - 1, -1):
+            place = (t, o - a)
+            if first.setdefault(xxhash.xxh3_128_intdigest(around[mid - a : mid - a + length]), place) != place:
+                run = [run[0], o - a] if run else [o - a, o - a]
+            elif run:
+                yield t, run[0], run[1] + length
+                run = []
+        if run:
+            yield t, run[0], run[1] + length
+
+
 def kept_bytes(data: bytes, spans: list[dict]) -> bytes:
     edge = [0, *(x for s in spans for x in (s["start"], s["end"])), len(data)]
     return b"".join(data[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, run: int = RUN, range_size: int = RANGE, hot: int = HOT) -> DataFrame:
-    """Rows (key, n, copies, spans, kept) for each distinct text of docs: spans are the bytes that repeated strings cover.
+def with_key(rows: DataFrame) -> DataFrame:
+    """Rows (_rid, key, data) of rows (_rid, row): the bytes of row.text and their MD5 digest."""
+    return rows.select("_rid", blob("row.text").alias("data")).select("_rid", F.unhex(F.md5("data")).alias("key"), "data")
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, run: int = RUN, range_size: int = RANGE, hot: int = HOT, keep_first: bool = False, stable: bool = False) -> DataFrame:
+    """Rows (_rid, key, n, copies, spans, kept) for each row of docs (text): spans are the bytes that repeated strings cover.
 
     key: the text's MD5 digest; n: its bytes; copies: how many rows have it; spans: sorted, disjoint and not touching,
-    array of struct (start, end), empty if nothing repeats; kept: the other bytes, null if nothing repeats. A text of
-    `length` bytes or more that several rows have is covered whole. Strings are judged on the texts as given, and never
-    cross documents. Null counts as an empty text; columns besides text are ignored.
+    array of struct (start, end), empty if nothing goes; kept: the other bytes, null if nothing goes. A text of `length` bytes
+    or more that several rows have is covered whole. With keep_first a string's first occurrence, by row and offset, is not
+    covered by it. Strings are judged on the texts as given, and never cross documents. Null counts as an empty text; columns
+    besides text are ignored.
 
     Equal texts are worked on once. A window that more than `hot` places share is not merged in one task: its strings are
-    hashed and counted by a grouped aggregate, with the same result.
+    hashed and counted by a grouped aggregate, with the same result. stable: see common.numbered.
     """
+    return repeated(with_key(numbered(docs.select("text"), stable)), length, run, range_size, hot, keep_first)
+
+
+def repeated(texts: DataFrame, length: int, run: int = RUN, range_size: int = RANGE, hot: int = HOT, keep_first: bool = False) -> DataFrame:
+    """What repeats() gives, for rows of with_key()."""
     half = length // 2
-    texts = with_row_id(with_key(docs)).select("_rid", "key", "data")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -273,14 +308,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, run: int = RUN, range_size: i
         tidy()
 
     found = save(texts.mapInArrow(find, "_rid bigint, key binary, n bigint, off array<bigint>, h array<bigint>"), "anchors")
-    own = found.groupBy("key").agg(F.min("n").alias("n"), F.count("*").alias("copies"), F.min("_rid").alias("_rid"))
-    own = save(own, "texts")
-    placed = found.join(own.select("_rid"), "_rid", "left_semi").select("_rid", F.explode(F.arrays_zip("off", "h")).alias("x")).select("_rid", "x.off", "x.h").distinct()
-    placed = save(placed, "places")
+    shared = save(with_first(found.select("_rid", "key"), "key", F.col("_rid"), F.col("_rid")).select("_rid", "first", "copies"), "copies")
+    once = found.join(shared.where(F.col("first") != F.col("_rid")), "_rid", "left_anti")
+    placed = save(once.select("_rid", F.explode(F.arrays_zip("off", "h")).alias("x")).select("_rid", "x.off", "x.h").distinct(), "places")
     often = placed.groupBy("h").agg(F.count("*").alias("often")).where("often > 1")
     again = placed.join(often, "h").select("_rid", F.struct("off", "h", (F.col("often") > hot).alias("hot")).alias("x"))
     again = again.groupBy("_rid").agg(F.collect_list("x").alias("at"))
-    chosen = save(texts.join(again, "_rid").select("_rid", "key", "data", "at"), "chosen")
+    chosen = save(texts.join(again, "_rid").select("_rid", "data", "at"), "chosen")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def write(held: list[tuple[int, Entry]]) -> pa.RecordBatch:
@@ -311,23 +345,24 @@ def repeats(docs: DataFrame, length: int = LENGTH, run: int = RUN, range_size: i
         tidy()
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        covered = later_spans if keep_first else spans_of
         out: list[tuple[int, int, int]] = []
         group: list[tuple[int, Entry]] = []
         for k, e in merged(list(pdf["run"])):
             if k < half:
                 if len(group) > 1:
-                    out += spans_of(group, length)
+                    out += covered(group, length)
                 group = []
             group.append((k, e))
         if len(group) > 1:
-            out += spans_of(group, length)
+            out += covered(group, length)
         return pd.DataFrame(out, columns=["_rid", "start", "end"])
 
     n = chosen.select(F.sum(F.size("at"))).first()[0] or 0
     ranges = max(1, -(-n // range_size))
     spans = chosen.mapInArrow(sort, "r bigint, run binary").groupBy("r").applyInPandas(merge, "_rid bigint, start bigint, end bigint")
     if chosen.where(F.exists("at", lambda x: x["hot"])).limit(1).count():
-        spans = spans.unionByName(counted(chosen, length))
+        spans = spans.unionByName(counted(chosen, length, keep_first))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -336,14 +371,17 @@ def repeats(docs: DataFrame, length: int = LENGTH, run: int = RUN, range_size: i
 
     done = chosen.select("_rid", "data").join(united(spans), "_rid")
     done = done.mapInArrow(cut, "_rid bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
-    whole = (F.col("copies") > 1) & (F.col("n") >= length)
+    copy = F.col("first") != F.col("_rid") if keep_first else F.col("copies") > 1
+    whole = copy & (F.col("n") >= length)
     all_of = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return own.join(done, "_rid", "left").select("key", "n", "copies", F.when(whole, all_of).otherwise(F.coalesce("spans", none)).alias("spans"), F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept"))
+    rows = found.select("_rid", "key", "n").join(shared, "_rid", "left").join(done, "_rid", "left")
+    return rows.select("_rid", "key", "n", F.coalesce("copies", F.lit(1)).alias("copies"), F.when(whole, all_of).otherwise(F.coalesce("spans", none)).alias("spans"), F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept"))
 
 
-def counted(chosen: DataFrame, length: int) -> DataFrame:
-    """Spans around the anchors marked hot: every string of the length that holds such a window, kept if its digest occurs twice."""
+def counted(chosen: DataFrame, length: int, keep_first: bool) -> DataFrame:
+    """Spans around the anchors marked hot: every string of the length that holds such a window, kept if its digest occurs twice
+    (with keep_first, earlier)."""
     half = length // 2
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,8 +394,9 @@ def counted(chosen: DataFrame, length: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([t] * len(starts), pa.int64()), pa.array(starts, pa.int64()), pa.array(digests, pa.binary())], names=["_rid", "start", "digest"])
 
     every = save(chosen.mapInArrow(strings, "_rid bigint, start bigint, digest binary"), "strings")
-    twice = every.groupBy("digest").agg(F.count("*").alias("often")).where("often > 1")
-    return every.join(twice, "digest").select("_rid", "start", (F.col("start") + length).alias("end"))
+    place = F.struct("_rid", "start")
+    twice = with_first(every, "digest", place, F.col("_rid"))
+    return (twice.where(place != F.col("first")) if keep_first else twice).select("_rid", "start", (F.col("start") + length).alias("end"))
 
 
 def united(spans: DataFrame) -> DataFrame:
@@ -370,33 +409,30 @@ def united(spans: DataFrame) -> DataFrame:
     return one.groupBy("_rid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
-def with_key(docs: DataFrame) -> DataFrame:
-    """docs with data, the text's bytes, and key, their MD5 digest."""
-    return docs.withColumn("data", blob()).withColumn("key", F.unhex(F.md5("data")))
-
-
-def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def digests(docs: DataFrame, length: int = LENGTH, stable: bool = False) -> DataFrame:
     """For each row of docs: doc_id, n_bytes, n_removed, n_spans and kept_sha256."""
-    found = repeats(docs, length)
+    rows = numbered(docs.select("doc_id", "text"), stable)
+    found = repeated(with_key(rows), length)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
-    found = found.select("key", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("cut_sha256"))
-    rows = with_key(docs).select("doc_id", "key", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("whole_sha256"))
-    return rows.join(found, "key").select("doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce("cut_sha256", "whole_sha256").alias("kept_sha256"))
+    found = found.select("_rid", F.col("n").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("cut_sha256"))
+    whole = rows.select("_rid", "row.doc_id", F.sha2(blob("row.text"), 256).alias("whole_sha256"))
+    return whole.join(found, "_rid").select("doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce("cut_sha256", "whole_sha256").alias("kept_sha256"))
 
 
-def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with what repeats cut out of text. Bytes of a character that a span cuts through go as well; other columns stay.
+def drop_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, stable: bool = False) -> DataFrame:
+    """docs with what repeats cut out of text, but for each string's first occurrence (by row and offset) if keep_first.
 
-    n_chars is set anew where docs has it; null text stays null.
+    Bytes of a character that a span cuts through go as well; other columns stay. n_chars is set anew where docs has it; null
+    text stays null.
     """
 
     @F.pandas_udf("string")
     def valid(data: pd.Series) -> pd.Series:
         return data.map(lambda x: None if x is None else x.decode("utf-8", "ignore"))
 
-    found = repeats(docs, length).where("kept is not null").select(F.col("key").alias("_key"), F.col("kept").alias("_kept"))
-    keyed = docs.withColumn("_key", F.unhex(F.md5(blob())))
-    whole = keyed.join(found, "_key", "left").withColumn("text", F.when(F.col("_kept").isNull(), F.col("text")).otherwise(valid("_kept")))
+    rows = numbered(docs, stable)
+    found = repeated(with_key(rows), length, keep_first=keep_first).where("kept is not null").select("_rid", "kept")
+    own = {"text": F.when(F.col("kept").isNull(), F.col("row.text")).otherwise(valid("kept"))}
     if "n_chars" in docs.columns:
-        whole = whole.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.select(docs.columns)
+        own["n_chars"] = F.when(F.col("kept").isNull(), F.col("row.n_chars")).otherwise(F.length(valid("kept")).cast(docs.schema["n_chars"].dataType))
+    return rows.join(found, "_rid", "left").select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
