@@ -49,7 +49,7 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), stable=True)
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
@@ -72,11 +72,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP6 = r"""
 WITH units AS (
-  SELECT doc_id, u.i - 1 AS pos, u.unit, lower(trim(regexp_replace(u.unit, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS form
-  FROM (SELECT doc_id, unnest(list_transform(string_split(regexp_replace(text, '([.!?]\s|\n)', '\1' || chr(57344), 'g'), chr(57344)), lambda x, i: {'unit': x, 'i': i})) AS u FROM documents)
+  SELECT *, CASE WHEN form = '' THEN 0 ELSE len(string_split(form, ' ')) END >= 4 AS counts FROM (SELECT doc_id, u.i - 1 AS pos, u.unit, lower(trim(regexp_replace(u.unit, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS form
+  FROM (SELECT doc_id, unnest(list_transform(string_split(regexp_replace(text, '([.!?]\s|\n)', '\1' || chr(57344), 'g'), chr(57344)), lambda x, i: {'unit': x, 'i': i})) AS u FROM documents))
 ), placed AS (
   SELECT *, coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins,
-    row_number() OVER (PARTITION BY doc_id, form = '' ORDER BY pos) AS k, form <> '' AND row_number() OVER (PARTITION BY form ORDER BY doc_id, pos) > 1 AS again
+    row_number() OVER (PARTITION BY doc_id, counts ORDER BY pos) AS k, counts AND row_number() OVER (PARTITION BY form ORDER BY doc_id, pos) > 1 AS again
   FROM units
 ), runs AS (
   SELECT doc_id, min(pos) AS lo, max(pos) AS hi, count(*) AS n, min(begins) AS s, max(begins + length(unit)) AS e
@@ -85,7 +85,7 @@ WITH units AS (
 ), gone AS (
   SELECT doc_id, sum(n)::BIGINT AS n_removed, string_agg(s || '-' || e, ',' ORDER BY lo) AS removed FROM runs GROUP BY 1
 ), kept AS (
-  SELECT p.doc_id, count(*) FILTER (form <> '') AS n_units,
+  SELECT p.doc_id, count(*) FILTER (counts) AS n_units,
     string_agg(unit, '' ORDER BY pos) FILTER (r.lo IS NULL) AS text
   FROM placed p LEFT JOIN runs r ON r.doc_id = p.doc_id AND p.pos BETWEEN r.lo AND r.hi GROUP BY 1
 )

@@ -132,7 +132,7 @@ def test_bpe(docs, texts, empty):
 def test_lines(spark, empty):
     rows = [(2, "x\nA  b\n\n"), (1, "a B\nx"), (3, None), (4, ""), (2, "x")]
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
-    got = {(r["doc_id"], r["text"], r["n_removed"]) for r in lines.drop_repeated_lines(docs, least=1).collect()}
+    got = {(r["doc_id"], r["text"], r["n_removed"]) for r in lines.drop_repeated_lines(docs, least=1, short=1).collect()}
     assert got == {(1, "a B\nx", 0), (2, "\n", 2), (2, "", 1), (3, None, 0), (4, "", 0)}
     assert lines.drop_repeated_lines(empty).count() == 0
 

@@ -66,7 +66,7 @@ def test_all_occurrences_go(rows):
     assert suffixes.drop_repeats(rows.limit(0)).columns == rows.columns and suffixes.drop_repeats(rows.limit(0)).count() == 0
 
 
-def line_brute(texts, least):
+def line_brute(texts, least, short):
     first, out = {}, {}
     for i, t in enumerate(texts):
         if t is None:
@@ -74,7 +74,8 @@ def line_brute(texts, least):
             continue
         units = re.split(r"(?<=[.!?]\s)|(?<=\n)", t)
         forms = [" ".join(re.split(r"[ \t\n\x0b\f\r]+", u)).strip(" ").lower() for u in units]
-        known = [f != "" and first.setdefault(f, (i, k)) != (i, k) for k, f in enumerate(forms)]
+        words = [len(f.split(" ")) if f else 0 for f in forms]
+        known = [words[k] >= short and first.setdefault(f, (i, k)) != (i, k) for k, f in enumerate(forms)]
         spans, kept, k = [], "", 0
         where = [0]
         for u in units:
@@ -84,10 +85,10 @@ def line_brute(texts, least):
                 kept, k = kept + units[k], k + 1
                 continue
             e = last = k
-            while e < len(units) and (known[e] or not forms[e]):
+            while e < len(units) and (known[e] or words[e] < short):
                 last = e if known[e] else last
                 e += 1
-            if sum(len(forms[j].split(" ")) for j in range(k, last + 1) if forms[j]) >= least:
+            if sum(words[j] for j in range(k, last + 1) if known[j]) >= least:
                 spans.append((where[k], where[last + 1]))
             else:
                 kept += "".join(units[k : last + 1])
@@ -96,12 +97,12 @@ def line_brute(texts, least):
     return out
 
 
-@pytest.mark.parametrize("least", [1, 12, 20])
-def test_lines(spark, rows, least):
+@pytest.mark.parametrize(("least", "short"), [(1, 1), (12, 1), (20, 4), (8, 3)])
+def test_lines(spark, rows, least, short):
     texts = [*TEXTS, "A line of five words\n\n  a LINE of five  words\nnew one\n", "a line of five words\nnew one\nand more. And more. Yet! And more.", "\n\n", "a. b\tc? d"]
     docs = spark.createDataFrame([(i, t, "u", 1) for i, t in enumerate(texts)], "doc_id bigint, text string, `_rid` string, n_units int").repartition(3)
-    got = {r["doc_id"]: r for r in lines.drop_repeated_lines(docs, least).collect()}
-    want = line_brute(texts, least)
+    got = {r["doc_id"]: r for r in lines.drop_repeated_lines(docs, least, short).collect()}
+    want = line_brute(texts, least, short)
     assert {i: (r["text"], [tuple(s) for s in r["spans"]]) for i, r in got.items()} == want
     assert all(r["_rid"] == "u" for r in got.values())
     assert lines.drop_repeated_lines(docs.limit(0)).count() == 0
