@@ -30,8 +30,12 @@ BITS, CONTEXTS = 22, 3
 SLOTS = 1 << BITS
 #: Parts that a context's table travels in; tables of so many tasks are added up in one go.
 PARTS, FAN = 64, 64
-#: Bytes of stream that are scored at once and that are counted at once, steps before the first refinement (then twice as many each time), words of at most this many bytes as phrase context.
-PIECE, COUNTED, STRETCH, SHORT = 200_000, 2_000_000, 2048, 3
+#: Bytes of stream that are scored at once and that are counted at once, words of at most this many bytes as phrase context.
+PIECE, COUNTED, SHORT = 200_000, 2_000_000, 3
+#: Steps before a text's first refinement, and the most between two: stretches double from one to the other.
+STRETCH, LONGEST = 256, 8192
+#: Tasks that fill tables: one for so many of the input's, each with tables of its own to send.
+FILLERS = 4
 #: Weight sets: each context's share of counts seen falls into one of four levels.
 GATES = 4**CONTEXTS
 #: Bytes of text in a block.
@@ -203,7 +207,7 @@ def mixed(steps: Steps, tables: np.ndarray, weights: np.ndarray, rate: float = R
     own = np.ascontiguousarray(weights.T)
     done = r = 0
     while done < size.max():
-        span = STRETCH << r
+        span = min(STRETCH << r, LONGEST)
         live = np.flatnonzero(size > done)
         lo = begin[live] + done
         m = np.minimum(size[live] - done, span)
@@ -366,7 +370,9 @@ def scores(docs: DataFrame, held_out: str, keep: tuple[str, ...] = ("doc_id",))
             out[r["shard"]] = predictors(both[::2], both[1::2])
         return out.reshape(CONTEXTS, SLOTS)
 
-    slots_ = save(chosen.where("_train").select("_text", apart.cast("int").alias("_apart")).mapInArrow(fill, ROWS), "slots")
+    training = chosen.where("_train").select("_text", apart.cast("int").alias("_apart"))
+    tasks = counted.select(F.shiftright("block", 32)).distinct().count()  # tasks that had rows
+    slots_ = save(training.coalesce(max(min(tasks, FILLERS), tasks // FILLERS, 1)).mapInArrow(fill, ROWS), "slots")
     second = F.col("shard") - CONTEXTS * PARTS
     most, rest = merged(slots_.where(second < 0)), slots_.where(second >= 0).withColumn("shard", second)
     first = spark.sparkContext.broadcast(gathered(most))
