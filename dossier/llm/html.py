@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -19,7 +20,9 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 CLOSES_P = BLOCKS - frozenset("body caption html tbody td tfoot th thead title tr".split())
+LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 blockquote pre".split())
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
+RAW_END = {x: re.compile(rf"</{x}\s*>", re.I) for x in RAW}
 OUTSIDE = frozenset("nav footer aside form head menu dialog button select option label input".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar tablist form".split())
 WORDS = frozenset(
@@ -29,21 +32,131 @@ WORDS = frozenset(
     "recommendations widget toolbar pagination pager skip search copyright paywall".split()
 )
 PUNCTUATION = re.compile(r"[.,;:!?…。、！？；：，]")
-TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[a-zA-Z/!?][^<>]*\Z", re.S)
+#: A tag up to its end; a quoted value may hold `>`. Possessive: what was read once isn't tried again.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
-#: Share of the mean fused ratio that a path needs, and the width of the smoothing in blocks.
-THRESHOLD, WIDTH = 0.5, 1.0
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Share of the mean fused ratio that a path needs, width of the smoothing in blocks, share of a path's text in links from which its
+#: blocks are lists of links.
+THRESHOLD, WIDTH, LINKS = 0.5, 1.0, 0.5
 
 
 class Block(NamedTuple):
-    path: tuple[str, ...]  # tags from the root to the block
-    holders: tuple[int, ...]  # the elements themselves, by number
+    path: int  # tags from the root to the block, by number
+    element: int  # the block element it stands in
     text: str
     linked: int  # characters inside links
     out: bool  # in an element that is named as no part of an article
 
 
+class Page:
+    """A page's blocks in order, with its block elements: tag, parent and path of each (element 0 is the root)."""
+
+    def __init__(self, page: str):
+        self.blocks: list[Block] = []
+        self.tags, self.parents, self.paths = [""], [0], [0]
+        numbers: dict[tuple[int, str], int] = {}  # (path of the parent, tag): path
+        stack: list[tuple[str, int, bool]] = []  # tag, block element, in something outside
+        opened: Counter[str] = Counter()
+        text: list[str] = []
+        linked = at = 0
+        quotes = True  # until a quote is found that never ends
+
+        def flush() -> None:
+            nonlocal linked
+            words = entities.unescape("".join(text)).split()
+            if words:
+                element, out = (stack[-1][1], stack[-1][2]) if stack else (0, False)
+                self.blocks.append(Block(self.paths[element], element, " ".join(words), linked, out))
+            text.clear()
+            linked = 0
+
+        def close(tag: str) -> None:
+            while True:
+                gone = stack.pop()[0]
+                opened[gone] -= 1
+                if gone == tag:
+                    return
+
+        while True:
+            lt = page.find("<", at)
+            piece = page[at:] if lt < 0 else page[at:lt]
+            if piece:
+                text.append(piece)
+                if opened["a"]:
+                    linked += len(piece)
+            if lt < 0:
+                break
+            kind = page[lt + 1 : lt + 2]
+            if kind in ("!", "?"):
+                end = page.find("-->", lt + 4) + 3 if page.startswith("<!--", lt) else page.find(">", lt) + 1
+                at = end if end > 2 or end and not page.startswith("<!--", lt) else len(page)
+                continue
+            name = page[lt + 2 : lt + 3] if kind == "/" else kind
+            if not (name.isascii() and name.isalpha()):
+                if kind == "/":
+                    at = page.find(">", lt) + 1 or len(page)
+                else:
+                    text.append("<")
+                    at = lt + 1
+                continue
+            m = TAG.match(page, lt) if quotes else None
+            if m:
+                closing, tag, attributes, at = m[1], m[2].lower(), m[3], m.end()
+            else:
+                quotes = False
+                at = page.find(">", lt) + 1 or len(page)
+                if page[at - 1] != ">":
+                    break
+                closing, (tag, _, attributes) = "/" * (kind == "/"), page[lt + 1 + (kind == "/") : at - 1].replace("/", " ").partition(" ")
+                tag = (tag.split() or [""])[0].lower()
+            if closing:
+                if opened[tag]:
+                    if tag in BLOCKS:
+                        flush()
+                    close(tag)
+                continue
+            if tag in RAW:  # what it holds isn't markup or isn't text
+                end = RAW_END[tag].search(page, at)
+                at = end.end() if end else len(page)
+                continue
+            if tag in BLOCKS:
+                flush()
+                if tag in CLOSES_P and opened["p"]:
+                    close("p")
+                if tag in ("li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == tag:
+                    close(tag)
+            if tag == "br":
+                text.append(" ")
+            if tag in VOID or attributes.endswith("/"):
+                continue
+            element, out = (stack[-1][1], stack[-1][2]) if stack else (0, False)
+            out = out or outside(tag, attributes, bool(opened["article"] or opened["main"]))
+            if tag in BLOCKS:
+                self.tags.append(tag)
+                self.parents.append(element)
+                self.paths.append(numbers.setdefault((self.paths[element], tag), len(numbers) + 1))
+                element = len(self.tags) - 1
+            stack.append((tag, element, out))
+            opened[tag] += 1
+        flush()
+
+    def summed(self, values: list[int]) -> list[int]:
+        """For each element the sum of its own value and those of all elements in it."""
+        out = list(values)
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parents[e]] += out[e]
+        return out
+
+    def inside(self, root: int) -> list[bool]:
+        """For each element whether it is root or stands in it."""
+        out = [root == 0]
+        for e in range(1, len(self.tags)):
+            out.append(e == root or out[self.parents[e]])
+        return out
+
+
 def outside(tag: str, attributes: str, inner: bool) -> bool:
     """Whether an element is named as a menu, footer, advert or the like. inner: it stands in an article."""
     if tag in OUTSIDE or tag == "header" and not inner:
@@ -59,111 +172,64 @@ def outside(tag: str, attributes: str, inner: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks in order. A start tag that can't stand in a paragraph ends it, as browsers do; br counts as white space."""
-    stack: list[tuple[str, int, bool]] = []  # tag, number, outside
-    out: list[Block] = []
-    text: list[str] = []
-    linked = at = number = 0
-
-    def flush() -> None:
-        nonlocal linked
-        words = entities.unescape("".join(text)).split()
-        if words:
-            own = [x for x in stack if x[0] in BLOCKS]
-            out.append(Block(tuple(x[0] for x in own), tuple(x[1] for x in own), " ".join(words), linked, any(x[2] for x in stack)))
-        text.clear()
-        linked = 0
-
-    while True:
-        m = TAG.search(page, at)
-        piece = page[at : m.start() if m else len(page)]
-        if piece:
-            text.append(piece)
-            if any(x[0] == "a" for x in stack):
-                linked += len(piece)
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if m[1]:
-            if any(x[0] == tag for x in stack):
-                if tag in BLOCKS:
-                    flush()
-                while stack.pop()[0] != tag:
-                    pass
-            continue
-        if tag in RAW:  # what it holds isn't markup or isn't text
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if tag in BLOCKS:
-            flush()
-            if tag in CLOSES_P and any(x[0] == "p" for x in stack):
-                while stack.pop()[0] != "p":
-                    pass
-            if tag in ("li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == tag:
-                stack.pop()
-        if tag == "br":
-            text.append(" ")
-        if tag in VOID or m[3].endswith("/"):
-            continue
-        number += 1
-        inner = any(x[0] in ("article", "main") for x in stack)
-        stack.append((tag, number, outside(tag, m[3], inner)))
-    flush()
-    return out
-
-
-def content(found: list[Block]) -> list[Block]:
-    """The blocks of the article.
+def scores(blocks: list[Block]) -> tuple[dict[int, float], dict[int, float]]:
+    """(fused ratio, share of text in links) of each path.
 
     A path's ratio is its mean text a block, raised by punctuation and lowered by links; blocks take their path's ratio,
-    smoothed with their neighbours'. The paths over the threshold are content. The element that holds most of their text
-    is the article, and all its blocks that aren't named otherwise belong to it, headings and short paragraphs included.
+    smoothed with their neighbours', and a path's fused ratio is the mean of both over its blocks.
     """
-    left = [b for b in found if not b.out]
-    if not left:
-        return []
-    sums: dict[tuple[str, ...], list[float]] = {}
-    for b in left:
+    sums: dict[int, list[float]] = {}
+    for b in blocks:
         s = sums.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
         for i, x in enumerate((len(b.text), len(PUNCTUATION.findall(b.text)), b.linked, 1)):
             s[i] += x
-    ratio = {p: s[0] / s[3] * (1 + s[1] / s[3]) * max(0.05, 1 - s[2] / max(s[0], 1)) for p, s in sums.items()}
-    row = [ratio[b.path] for b in left]
+    links = {p: s[2] / max(s[0], 1) for p, s in sums.items()}
+    ratio = {p: s[0] / s[3] * (1 + s[1] / s[3]) * max(0.05, 1 - links[p]) for p, s in sums.items()}
+    row = [ratio[b.path] for b in blocks]
     weight = [math.exp(-(k**2) / (2 * WIDTH**2)) for k in (-2, -1, 0, 1, 2)]
-    smooth = []
-    for i in range(len(row)):
+    fused: dict[int, list[float]] = {}
+    for i, b in enumerate(blocks):
         near = [(weight[k + 2], row[i + k]) for k in (-2, -1, 0, 1, 2) if 0 <= i + k < len(row)]
-        smooth.append(sum(w * x for w, x in near) / sum(w for w, _ in near))
-    fused: dict[tuple[str, ...], list[float]] = {}
-    for b, x, y in zip(left, row, smooth, strict=True):
-        fused.setdefault(b.path, []).append((x + y) / 2)
-    score = {p: sum(x) / len(x) for p, x in fused.items()}
+        fused.setdefault(b.path, []).append((row[i] + sum(w * x for w, x in near) / sum(w for w, _ in near)) / 2)
+    return {p: sum(x) / len(x) for p, x in fused.items()}, links
+
+
+def content(page: Page) -> list[Block]:
+    """The blocks of the article.
+
+    The paths whose fused ratio is over the threshold are content; the element that holds most of their text is the article.
+    Where the page doesn't mark it as one (article or main), it goes from the first block of a content path, with the headings
+    right before it, to the last, so that what stands before and behind falls away without any name. Inside, short blocks
+    belong to it, but for those of paths that are mostly links. Blocks in elements named as no part of an article (by tag, role, class
+    or id) take no part at all.
+    """
+    left = [b for b in page.blocks if not b.out]
+    if not left:
+        return []
+    score, links = scores(left)
     limit = THRESHOLD * sum(score[b.path] for b in left) / len(left)
-    chosen = [b for b in left if score[b.path] >= limit]
-    total = sum(len(b.text) for b in chosen)
-    held: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    named: dict[int, str] = {}
-    for b in chosen:
-        for d, (tag, h) in enumerate(zip(b.path, b.holders, strict=True)):
-            held[h] = held.get(h, 0) + len(b.text)
-            depth[h], named[h] = d, tag
-    # The deepest article or main element with most of the text, else the deepest element with nearly all of it.
-    best = [h for h, n in held.items() if named[h] in ("article", "main") and n > 0.5 * total]
-    best = best or [h for h, n in held.items() if n >= 0.9 * total and named[h] not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre")]
-    if not best:
-        return chosen
-    article = max(best, key=lambda h: depth[h])
-    return [b for b in left if article in b.holders]
+    own = [0] * len(page.tags)
+    for b in left:
+        if score[b.path] >= limit:
+            own[b.element] += len(b.text)
+    total, held = sum(own), page.summed(own)
+    # The deepest article or main element with most of the text, else the deepest element with nearly all of it: elements that
+    # hold most of the text lie in each other, so the last is the deepest.
+    marked = [e for e, n in enumerate(held) if page.tags[e] in ("article", "main") and n > 0.5 * total]
+    guessed = [e for e, n in enumerate(held) if n >= 0.9 * total and page.tags[e] not in LEAVES]
+    within = page.inside((marked or guessed)[-1])
+    found = [b for b in left if within[b.element]]
+    if not marked:
+        at = [i for i, b in enumerate(found) if score[b.path] >= limit]
+        lo, hi = at[0], at[-1] + 1
+        while lo and page.tags[found[lo - 1].element] in HEADINGS:
+            lo -= 1
+        found = found[lo:hi]
+    return [b for b in found if links[b.path] < LINKS or score[b.path] >= limit]
 
 
 def main_text(page: str) -> str:
-    return "\n".join(b.text for b in content(blocks(page)))
+    return "\n".join(b.text for b in content(Page(page)))
 
 
 def extracted(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
