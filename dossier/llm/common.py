@@ -30,11 +30,6 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_row_id(docs: DataFrame, name: str = "_rid") -> DataFrame:
-    """A number for each row. It depends on the input's partitions only, so a second read of the same files gives it again."""
-    return docs.withColumn(name, F.monotonically_increasing_id())
-
-
 def numbered(docs: DataFrame, stable: bool = False) -> DataFrame:
     """Rows (_rid, row): each row of docs as a struct, so that no column of docs can clash with one of ours, under a number that
     rises with its place in the table.
