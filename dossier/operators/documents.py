@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dossier.functions.text import Rules, document_function
+from dossier.functions.text import Rules, document_function, extract
 
 # An authentication code with password; headings, numbered paragraphs and footers of a ruling.
 CODE = r"[0-9A-F]{4}-[0-9A-F]{4}-[0-9A-F]{4}-[0-9A-F]{4}"
@@ -47,44 +45,40 @@ def assemble_input(pages: DataFrame) -> DataFrame:
     return pages.groupBy("documento_id").agg(joined_pages(mark, "\n\n").alias("entrada"))
 
 
+def text_lines(pages: DataFrame) -> DataFrame:
+    """Rows (documento_id, pagina, at, linha, cru, titulo, abre) of the lines that carry text, footers left out.
+
+    cru is the length before trailing space went, titulo the heading that a line is, abre whether a chunk begins with it.
+    """
+    rows = pages.select("documento_id", "pagina", F.posexplode(F.split("texto", r"\R")).alias("at", "l")).where(~F.col("l").rlike(rf"(?is){FOOTER}") & F.col("l").rlike(r"(?U)\S"))
+    title = F.upper(extract(F.col("l"), f"(?isuU){HEADING}"))
+    return rows.select("documento_id", "pagina", "at", F.regexp_replace("l", r"(?U)\s+$", "").alias("linha"), F.length("l").alias("cru"), title.alias("titulo"), (title.isNotNull() | F.col("l").rlike(f"(?U){PARAGRAPH}")).alias("abre"))
+
+
 def chunk_pages(pages: DataFrame, max_chars: int = 1800) -> DataFrame:
     """(documento_id, ordem, pagina_inicio, pagina_fim, secao, texto, chars): greedy chunks of whole lines.
 
-    A chunk ends before a heading, before a numbered paragraph and before it would grow too long; footers are skipped. One
-    document is one group, its pages in order.
+    A chunk ends before a heading, before a numbered paragraph and before it would grow too long; footers are skipped. First every
+    line gets the number of its chunk, by one walk over the document's line lengths; chunks are then plain groups of lines.
     """
-    heading, paragraph, footer = (re.compile(p, re.I | re.S) for p in (HEADING, PARAGRAPH, FOOTER))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        lines: list[str] = []
-        first = last = size = 0
-        section = None
-
-        def close() -> None:
-            text = "\n".join(lines).strip()
-            if text:
-                out.append((pdf["documento_id"].iloc[0], len(out), first, last, section, text, len(text)))
-            lines.clear()
-
-        for page, text in pdf.sort_values("pagina")[["pagina", "texto"]].itertuples(index=False):
-            for line in (text or "").splitlines():
-                if not line.strip() or footer.search(line):
-                    continue
-                title = heading.match(line)
-                if lines and (title or paragraph.match(line) or size + len(line) > max_chars):
-                    close()
-                if not lines:
-                    first, size = page, 0
-                if title:
-                    section = title[1].upper()
-                lines.append(line.rstrip())
-                size += len(lines[-1]) + 1
-                last = page
-        close()
-        return pd.DataFrame(out, columns=["documento_id", "ordem", "pagina_inicio", "pagina_fim", "secao", "texto", "chars"])
-
-    return pages.select("documento_id", "pagina", "texto").groupBy("documento_id").applyInPandas(fold, "documento_id bigint, ordem int, pagina_inicio int, pagina_fim int, secao string, texto string, chars int")
+    lines = text_lines(pages)
+    walk = F.struct(F.lit(0).alias("n"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("of"))
+
+    def step(acc: Column, x: Column) -> Column:
+        size = F.length(x["linha"]) + 1
+        opens = (acc["size"] > 0) & (x["abre"] | (acc["size"] + x["cru"] > max_chars))
+        n = acc["n"] + opens.cast("int")
+        return F.struct(n.alias("n"), F.when(opens, size).otherwise(acc["size"] + size).alias("size"), F.concat(acc["of"], F.array(n)).alias("of"))
+
+    docs = lines.groupBy("documento_id").agg(F.sort_array(F.collect_list(F.struct("pagina", "at", "linha", "cru", "titulo", "abre"))).alias("l"))
+    dealt = docs.select("documento_id", F.inline(F.arrays_zip("l", F.aggregate("l", walk, step, lambda acc: acc["of"]).alias("ordem"))))
+    rows = dealt.select("documento_id", "ordem", "l.*")
+    place = F.struct("pagina", "at")
+    ahead = W.partitionBy("documento_id").orderBy("pagina", "at")
+    named = rows.withColumn("secao", F.last("titulo", ignorenulls=True).over(ahead))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pagina", "at", "linha"))), lambda x: x["linha"]), "\n")
+    out = named.groupBy("documento_id", "ordem").agg(F.min("pagina").alias("pagina_inicio"), F.max("pagina").alias("pagina_fim"), F.min_by("secao", place).alias("secao"), F.regexp_replace(text, r"(?U)^\s+", "").alias("texto"))
+    return out.withColumn("chars", F.length("texto"))
 
 
 def pending_downloads(docs: DataFrame) -> DataFrame:

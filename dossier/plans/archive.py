@@ -104,7 +104,24 @@ def o9_tokens(spark, d):
     return documents.token_estimate(turns(spark, d), 500)
 
 
-@registered()
+#: Greedy chunks of lines without headings, in rounds of a line.
+CHUNKS = r"""
+WITH RECURSIVE l AS (
+  SELECT documento_id, row_number() OVER (PARTITION BY documento_id ORDER BY pagina, i) AS n, pagina, linha, regexp_matches(linha, '^\s*(\d{{1,3}})\.\s+\S') AS abre
+  FROM (SELECT conv_id AS documento_id, turn AS pagina, u.i AS i, u.l AS linha FROM (SELECT conv_id, turn, unnest(list_transform(string_split_regex(text, '\r\n|\n'), lambda x, i: {{'i': i, 'l': x}})) AS u FROM conversations))
+  WHERE regexp_matches(linha, '\S')
+), f AS (
+  SELECT documento_id, n, pagina, rtrim(linha) AS linha, 0 AS ordem, length(rtrim(linha)) + 1 AS size FROM l WHERE n = 1
+  UNION ALL
+  SELECT l.documento_id, l.n, l.pagina, rtrim(l.linha), f.ordem + (l.abre OR f.size + length(l.linha) > {most})::INT,
+    length(rtrim(l.linha)) + 1 + CASE WHEN l.abre OR f.size + length(l.linha) > {most} THEN 0 ELSE f.size END
+  FROM f JOIN l ON l.documento_id = f.documento_id AND l.n = f.n + 1
+)
+SELECT documento_id, ordem, min(pagina)::INT AS pagina_inicio, max(pagina)::INT AS pagina_fim, ltrim(string_agg(linha, chr(10) ORDER BY n)) AS texto FROM f GROUP BY ALL
+"""
+
+
+@registered(f"SELECT *, NULL AS secao, length(texto)::INT AS chars FROM ({CHUNKS.format(most=1800)})")
 def o6_chunks(spark, d):
     return documents.chunk_pages(turns(spark, d))
 
@@ -189,12 +206,12 @@ def k15_sources(spark, d):
     return seen.source_history(t(spark, d, "customer").select(c("c_custkey", "fonte_id")), captures).select("fonte_id", "conteudos", "mudou")
 
 
-RUNS = "WITH h AS (SELECT user_id AS incidente, strftime(ts, '%Y-%m') AS c, {} AS x FROM events GROUP BY ALL), r AS (SELECT incidente, c, lag(c) OVER (PARTITION BY incidente ORDER BY c) AS a FROM (SELECT DISTINCT incidente, c FROM h)), p AS (FROM r WHERE a IS NOT NULL) "
+RUNS = "WITH h AS (SELECT user_id AS incidente, strftime(ts, '%Y-%m-%d') AS c, {} AS x FROM events GROUP BY ALL), r AS (SELECT incidente, c, lag(c) OVER (PARTITION BY incidente ORDER BY c) AS a FROM (SELECT DISTINCT incidente, c FROM h)), p AS (FROM r WHERE a IS NOT NULL) "
 
 
 def runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(pairs of a user's months, events by user and month)."""
-    e = t(spark, d, "events").select(c("user_id", "incidente"), F.date_format("ts", "yyyy-MM").alias("coleta_id"), "event_type", "props")
+    """(pairs of a user's days, events by user and day)."""
+    e = t(spark, d, "events").select(c("user_id", "incidente"), F.date_format("ts", "yyyy-MM-dd").alias("coleta_id"), "event_type", "props")
     return diff.previous_run(e.select("incidente", "coleta_id").distinct()), e
 
 
@@ -281,9 +298,10 @@ def a6_tables(spark, d):
     return reports.projection_counts({n: t(spark, d, n) for n in ("orders", "lineitem", "events")})
 
 
-def queries() -> dict[str, Query]:
+def queries(*_modules: object) -> dict[str, Query]:
+    """The queries entered so far, by this module and by those given."""
     return {n: f for n, (f, _) in FOUND.items()}
 
 
-def oracle_sql() -> dict[str, str]:
+def oracle_sql(*_modules: object) -> dict[str, str]:
     return {n: sql for n, (_, sql) in FOUND.items() if sql}

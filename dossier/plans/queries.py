@@ -68,7 +68,7 @@ def k16_content(spark: SparkSession, d: str) -> DataFrame:
 
 
 def d1_diff(spark: SparkSession, d: str) -> DataFrame:
-    e = t(spark, d, "events").select(F.col("user_id").alias("incidente"), F.date_format("ts", "yyyy-MM").alias("coleta_id"), F.lit("andamentos").alias("lista"), F.concat_ws("|", "event_type", "props").alias("hash_natural")).distinct()
+    e = t(spark, d, "events").select(F.col("user_id").alias("incidente"), F.date_format("ts", "yyyy-MM-dd").alias("coleta_id"), F.lit("andamentos").alias("lista"), F.concat_ws("|", "event_type", "props").alias("hash_natural")).distinct()
     items = e.withColumn("item", F.col("hash_natural")).withColumn("posicao", F.lit(0))
     pairs = diff.previous_run(e.select("incidente", "coleta_id").distinct())
     return diff.diff_runs(pairs, items).select("incidente", "anterior", "coleta_id", "efeito", "item")
@@ -182,7 +182,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     ends = f"SELECT origem AS ator, 0 AS e, centavos AS s FROM m WHERE {COUNTED} UNION ALL SELECT destino, centavos, 0 FROM m WHERE {COUNTED}"
     pairs = f"SELECT origem, destino, sum(centavos)::BIGINT AS centavos, count(*) AS n FROM m WHERE {COUNTED} GROUP BY ALL"
-    month = "SELECT DISTINCT user_id AS incidente, strftime(ts, '%Y-%m') AS c, event_type || '|' || props AS item FROM events"
+    day = "SELECT DISTINCT user_id AS incidente, strftime(ts, '%Y-%m-%d') AS c, event_type || '|' || props AS item FROM events"
     return {
         "timeline": f"WITH o AS ({OBS}) SELECT incidente, arg_min(data, (sid, posicao)) AS data, tipo, descricao, {RULES_SQL.replace('event_type', 'tipo')} AS categoria, arg_max(posicao, (sid, posicao))::INT AS posicao, min(sid) AS snapshot_first_seen, max(sid) AS snapshot_last_seen FROM o GROUP BY incidente, tipo, descricao",
         "k1_hash": """SELECT n_nationkey, sha256('["nation","' || n_name || '",' || n_regionkey || ']') AS hash_natural FROM nation""",
@@ -192,7 +192,7 @@ def oracle_sql() -> dict[str, str]:
         "k6_headers": "SELECT o_custkey AS incidente, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus, arg_max(o_orderpriority, o_orderkey) AS o_orderpriority, min(o_orderkey) AS snapshot_first_seen, max(o_orderkey) AS snapshot_last_seen, min(o_orderdate)::DATE AS primeira_coleta, max(o_orderdate)::DATE AS ultima_coleta FROM orders GROUP BY 1",
         "k7_versions": "SELECT o_custkey AS incidente, min(o_orderkey) AS snapshot_id, o_orderstatus, o_orderpriority FROM orders GROUP BY o_custkey, o_orderstatus, o_orderpriority",
         "k16_content": "SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS copias FROM documents GROUP BY 1",
-        "d1_diff": f"WITH e AS ({month}), r AS (SELECT incidente, c, lag(c) OVER (PARTITION BY incidente ORDER BY c) AS a FROM (SELECT DISTINCT incidente, c FROM e)) "
+        "d1_diff": f"WITH e AS ({day}), r AS (SELECT incidente, c, lag(c) OVER (PARTITION BY incidente ORDER BY c) AS a FROM (SELECT DISTINCT incidente, c FROM e)) "
         "SELECT incidente, a AS anterior, c AS coleta_id, 'apareceu' AS efeito, item FROM r JOIN e USING (incidente, c) WHERE a IS NOT NULL AND NOT EXISTS (SELECT 1 FROM e f WHERE f.incidente = r.incidente AND f.c = r.a AND f.item = e.item) "
         "UNION ALL SELECT r.incidente, r.a, r.c, 'sumiu', e.item FROM r JOIN e ON e.incidente = r.incidente AND e.c = r.a WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.incidente = r.incidente AND f.c = r.c AND f.item = e.item)",
         "d6_integrity": "SELECT CASE WHEN doc_id % 7 = 0 THEN 'ausente' WHEN doc_id % 10 = 0 THEN 'divergente' ELSE 'ok' END AS estado, count(*) AS n FROM documents GROUP BY 1",
@@ -206,5 +206,8 @@ def oracle_sql() -> dict[str, str]:
         "m5_edges": f"WITH m AS ({MONEY}) {pairs}",
         "t2_pairs": f"WITH m AS ({MONEY}) SELECT origem, destino, sum(centavos)::BIGINT AS centavos, count(*) AS n FROM m WHERE natureza <> 'resumo_tipo' GROUP BY ALL ORDER BY centavos DESC, origem, destino LIMIT 15",
         "f5_flows": f"WITH m AS ({MONEY}) SELECT origem, count(*) AS n, sum(centavos)::BIGINT AS centavos FROM m WHERE natureza <> 'resumo_tipo' AND ano = '1996' AND status = 'pago' GROUP BY 1",
+        "f2_terms": "SELECT doc_id FROM documents WHERE contains(upper(strip_accents(text)), 'THE') AND contains(upper(strip_accents(text)), 'RERE')",
+        "g9_distance": "WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'o' || l_orderkey AS b FROM lineitem), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), s AS (SELECT 's1' AS id, 0 AS k UNION SELECT u.b, s.k + 1 FROM s JOIN u ON u.a = s.id WHERE s.k < 6) SELECT id, min(k) AS distancia FROM s GROUP BY 1",
+        "x7_pages": r"WITH t AS (SELECT doc_id, list_filter(string_split_regex(upper(strip_accents(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents), n AS (SELECT count(*) AS pages, avg(len(t)) AS mean FROM t), q AS (SELECT unnest(['QUEEN', 'POUR', 'ELLE']) AS q), f AS (SELECT doc_id, len(t) AS n, q, len(list_filter(t, lambda x: x = q)) AS tf FROM t, q), h AS (SELECT * FROM f WHERE tf > 0), d AS (SELECT q, count(*) AS df FROM h GROUP BY 1) SELECT doc_id AS documento_id, round(sum(ln(1 + (pages - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS relevancia FROM h JOIN d USING (q), n GROUP BY 1 ORDER BY sum(ln(1 + (pages - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) DESC, 1 LIMIT 20",
         "g6_cocitation": "WITH l AS (SELECT DISTINCT l_orderkey AS o, 's' || l_suppkey AS k FROM lineitem) SELECT 'entidade:' || a.k AS origem, 'entidade:' || b.k AS destino, count(*) AS n FROM l a JOIN l b ON a.o = b.o AND a.k < b.k GROUP BY ALL",
     }

@@ -1,8 +1,10 @@
-"""Registries that grow: each new file's observations are folded into the tables; a file that comes again changes nothing."""
+"""Registries that grow: each new file's observations are folded into the tables; a file that comes again changes nothing.
 
-from __future__ import annotations
+A batch writes a folder of its own (lote=N) and never rewrites another's: a batch that is run again writes the same folder. What
+readers see is put together from the folders when they read.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,69 +14,95 @@ from dossier.operators.diff import diff_runs
 
 OBSERVATIONS = "coleta_id string, incidente bigint, aba string, sid bigint, posicao int, tipo string, descricao string, hash_natural string"
 ITEMS = "incidente bigint, coleta_id string, lista string, posicao int, hash_natural string, item string"
-STATE = "hash_natural string, snapshot_first_seen bigint, snapshot_last_seen bigint, first_at struct<sid:bigint,posicao:int>, last_at struct<sid:bigint,posicao:int>, tipo string, descricao string"
+PLACE = "struct<sid:bigint,posicao:int>"
+PARTIAL = f"hash_natural string, first_at {PLACE}, whole_at {PLACE}, tipo string, descricao string"
+#: The tab that is a whole list; others hold a part of it and don't move the last sight.
+FULL_TAB = "andamentos"
 
 
-def fold(observations: DataFrame) -> DataFrame:
-    """Partial result of the seen-fold; see merge."""
-    at = F.struct("sid", "posicao")
-    return observations.groupBy("hash_natural").agg(F.min("sid").alias("snapshot_first_seen"), F.max("sid").alias("snapshot_last_seen"), F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.min_by("tipo", at).alias("tipo"), F.min_by("descricao", at).alias("descricao"))
+def parts(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """All batches' rows in a folder, with lote; none if no batch has come yet."""
+    try:
+        return spark.read.schema(f"{schema}, lote bigint").parquet(folder)
+    except Exception as e:  # noqa: BLE001  the first batch finds no folder
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], f"{schema}, lote bigint")
 
 
-def merge(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two partial results as one: minima and maxima, so order, splits and repetition don't matter."""
-    return a.unionByName(b).groupBy("hash_natural").agg(F.min("snapshot_first_seen").alias("snapshot_first_seen"), F.max("snapshot_last_seen").alias("snapshot_last_seen"), F.min_by("tipo", "first_at").alias("tipo"), F.min_by("descricao", "first_at").alias("descricao"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at")).select("hash_natural", "snapshot_first_seen", "snapshot_last_seen", "first_at", "last_at", "tipo", "descricao")
+def put(df: DataFrame, folder: str, batch: int) -> None:
+    df.write.mode("overwrite").parquet(f"{folder}/lote={batch}")
 
 
-class Versions:
-    """A table kept as folders of one parent; a small table of names tells which one counts. A batch that is run again makes the same table."""
+def fold(observations: DataFrame) -> DataFrame:
+    """Partial result of the seen-fold; see merged."""
+    at = F.struct("sid", "posicao")
+    whole = F.max(F.when(F.col("aba") == FULL_TAB, at))
+    return observations.groupBy("hash_natural").agg(F.min(at).alias("first_at"), whole.alias("whole_at"), F.min_by("tipo", at).alias("tipo"), F.min_by("descricao", at).alias("descricao"))
 
-    def __init__(self, spark: SparkSession, target: str, schema: str):
-        self.spark, self.target, self.schema = spark, target.rstrip("/"), schema
 
-    def current(self) -> DataFrame:
-        try:
-            names = self.spark.read.schema("batch bigint, name string").json(f"{self.target}/names").orderBy(F.desc("batch")).limit(1).collect()
-        except Exception as e:  # noqa: BLE001  the first batch finds no folder
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            names = []
-        if not names:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.target}/{names[0]['name']}")
+def merged(partial: DataFrame) -> DataFrame:
+    """Partial results as one row a hash, as seen.upsert_seen gives it: minima and maxima, so order, splits and repetition don't matter."""
+    out = partial.groupBy("hash_natural").agg(F.min("first_at").alias("f"), F.max("whole_at").alias("w"), F.min_by("tipo", "first_at").alias("tipo"), F.min_by("descricao", "first_at").alias("descricao"))
+    last = F.coalesce("w", "f")
+    return out.select("hash_natural", F.col("f.sid").alias("snapshot_first_seen"), last["sid"].alias("snapshot_last_seen"), last["posicao"].alias("posicao"), "tipo", "descricao")
 
-    def put(self, df: DataFrame, batch: int) -> None:
-        name = f"v{batch}-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.target}/{name}")
-        self.spark.createDataFrame([(batch, name)], "batch bigint, name string").coalesce(1).write.mode("append").json(f"{self.target}/names")
+
+def facts(spark: SparkSession, target: str) -> DataFrame:
+    """The table of facts that stream_ingest has gathered so far."""
+    return merged(parts(spark, target, PARTIAL))
 
 
 def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Starts a query that folds new files of observations (JSON lines) into the table of facts at target, then stops."""
-    table = Versions(spark, target, STATE)
+    """Starts a query that folds new files of observations (JSON lines) into partial tables under target, then stops. See facts."""
 
     def each(batch: DataFrame, n: int) -> None:
-        table.put(merge(table.current(), fold(batch)), n)
+        put(fold(batch), target, n)
 
     rows = spark.readStream.schema(OBSERVATIONS).option("maxFilesPerTrigger", 1).json(source)
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def neighbours(new: DataFrame, runs: DataFrame) -> DataFrame:
+    """Pairs (incidente, anterior, coleta_id) of consecutive runs of which one is new: a run that comes late parts its
+    neighbours, so it meets the one before it and the one behind it meets it. Only cases with a new run are looked at."""
+    own = runs.join(new.select("incidente").distinct(), "incidente", "left_semi").unionByName(new).distinct()
+    fresh = new.select("incidente", F.col("coleta_id").alias("nova"))
+    met = fresh.join(own, "incidente")
+    before = met.where("coleta_id < nova").groupBy("incidente", "nova").agg(F.max("coleta_id").alias("anterior")).select("incidente", "anterior", F.col("nova").alias("coleta_id"))
+    behind = met.where("coleta_id > nova").groupBy("incidente", "nova").agg(F.min("coleta_id").alias("coleta_id")).select("incidente", F.col("nova").alias("anterior"), "coleta_id")
+    # Of two new runs side by side both name the pair; between two of them none is skipped, since own holds them all.
+    return before.unionByName(behind).distinct()
+
+
+def changes(spark: SparkSession, target: str) -> DataFrame:
+    """The change rows of each run against the one before it, as far as the runs have come: of a run that was compared twice,
+    since another came between, the later comparison counts."""
+    pairs = parts(spark, f"{target}/pares", "incidente bigint, anterior string, coleta_id string")
+    last = pairs.groupBy("incidente", "coleta_id").agg(F.max("lote").alias("lote"))
+    rows = parts(spark, f"{target}/changes", "incidente bigint, anterior string, coleta_id string, lista string, efeito string, hash_natural string, item string, posicao int")
+    return rows.join(last, ["incidente", "coleta_id", "lote"], "left_semi")
+
+
 def stream_changes(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Starts a query that compares each new run (a file of list items) with the latest before it of the same case and appends the changes.
+    """Starts a query that compares each new run (a file of list items) with its neighbours in time of the same case.
 
-    The items seen so far are kept under target/items, changes under target/changes.
+    Under target: itens, each batch's items; runs, which batch has a run's items; pares, the pairs compared; changes, their rows.
+    A batch reads only the items of batches that hold a run it compares. Read the result with changes().
     """
-    seen = Versions(spark, f"{target}/items", ITEMS)
+    runs = "incidente bigint, coleta_id string"
 
     def each(batch: DataFrame, n: int) -> None:
-        before = seen.current()
-        runs = batch.select("incidente", "coleta_id").distinct()
-        earlier = before.select("incidente", F.col("coleta_id").alias("anterior")).distinct()
-        pairs = runs.join(earlier, "incidente").where("anterior < coleta_id").groupBy("incidente", "coleta_id").agg(F.max("anterior").alias("anterior"))
-        every = before.unionByName(batch.select(before.columns)).distinct()
-        diff_runs(pairs, every).withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{target}/changes/lote={n}")
-        seen.put(every, n)
+        put(batch, f"{target}/itens", n)
+        put(batch.select("incidente", "coleta_id").distinct(), f"{target}/runs", n)
+        known = parts(spark, f"{target}/runs", runs).where(F.col("lote") <= n)
+        new = known.where(F.col("lote") == n).select("incidente", "coleta_id")
+        put(neighbours(new, known.select("incidente", "coleta_id").distinct()), f"{target}/pares", n)
+        pairs = parts(spark, f"{target}/pares", f"{runs}, anterior string").where(F.col("lote") == n).drop("lote")
+        wanted = pairs.select("incidente", "coleta_id").union(pairs.select("incidente", "anterior")).distinct()
+        held = [r["lote"] for r in known.join(wanted, ["incidente", "coleta_id"], "left_semi").select("lote").distinct().collect()]  # batches
+        items = parts(spark, f"{target}/itens", ITEMS).where(F.col("lote").isin(held)).drop("lote").join(wanted, ["incidente", "coleta_id"], "left_semi").distinct()
+        put(diff_runs(pairs, items), f"{target}/changes", n)
 
     rows = spark.readStream.schema(ITEMS).option("maxFilesPerTrigger", 1).json(source)
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-from dossier.plans import archive, queries
+from dossier.plans import archive, network, queries, records
 
 DIR = "/root/testdata/sf0.001"
-QUERIES = queries.queries() | archive.queries()
-SQL = queries.oracle_sql() | archive.oracle_sql()
+QUERIES = queries.queries() | archive.queries(records, network)
+SQL = queries.oracle_sql() | archive.oracle_sql(records, network)
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

@@ -1,19 +1,43 @@
-"""The streamed fold equals the batch fold, and a replay changes nothing."""
+"""The streamed fold equals the batch fold, changes don't depend on the order of files, and a replay changes nothing."""
 
 import json
+import os
 
+import pytest
+from pyspark.sql import functions as F
+
+from dossier.operators.diff import diff_runs, previous_run
 from dossier.operators.seen import upsert_seen
-from dossier.streaming.ingest import OBSERVATIONS, STATE, Versions, stream_ingest
+from dossier.streaming.ingest import ITEMS, OBSERVATIONS, changes, facts, stream_changes, stream_ingest
 
 
 def test_stream_equals_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    rows = [{"coleta_id": f"r{s}", "incidente": 1, "aba": "andamentos", "sid": s, "posicao": p, "tipo": "t", "descricao": f"d{h}", "hash_natural": f"h{h}"} for s in range(4) for p, h in enumerate(range(s, s + 3))]
+    rows = [{"coleta_id": f"r{s}", "incidente": 1, "aba": "decisoes" if s == 3 else "andamentos", "sid": s, "posicao": p, "tipo": "t", "descricao": f"d{h}", "hash_natural": f"h{h}"} for s in range(4) for p, h in enumerate(range(s, s + 3))]
     for k in range(2):  # the second file comes twice
         for i in range(4):
             (tmp_path / "in" / f"{k}{i}.json").write_text("\n".join(json.dumps(r) for r in rows if r["sid"] == i))
     stream_ingest(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/t", f"file://{tmp_path}/c").awaitTermination()
-    got = Versions(spark, f"file://{tmp_path}/t", STATE).current()
-    got = {(r["hash_natural"], r["snapshot_first_seen"], r["snapshot_last_seen"], r["last_at"]["posicao"]) for r in got.collect()}
-    batch = upsert_seen(spark.createDataFrame([tuple(r.values()) for r in rows], OBSERVATIONS))
-    assert got == {(r["hash_natural"], r["snapshot_first_seen"], r["snapshot_last_seen"], r["posicao"]) for r in batch.collect()}
+    names = "hash_natural", "snapshot_first_seen", "snapshot_last_seen", "posicao"
+    got = {tuple(r) for r in facts(spark, f"file://{tmp_path}/t").select(*names).collect()}
+    batch = upsert_seen(spark.createDataFrame([tuple(r.values()) for r in rows], OBSERVATIONS), full=F.col("aba") == "andamentos")
+    assert got == {tuple(r) for r in batch.select(*names).collect()}
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (3, 2, 1, 0), (2, 0, 3, 1)])
+def test_changes_in_any_order_of_files(spark, tmp_path, order):
+    (tmp_path / "in").mkdir()
+    held = {"r0": "ab", "r1": "bc", "r2": "c", "r3": "cde"}
+    rows = [{"incidente": i, "coleta_id": r, "lista": "andamentos", "posicao": p, "hash_natural": h, "item": h * 2} for i in (1, 2) for r, own in held.items() for p, h in enumerate(own) if i == 1 or r != "r1"]
+    for n, k in enumerate(order):
+        path = tmp_path / "in" / f"{k}.json"
+        path.write_text("\n".join(json.dumps(r) for r in rows if r["coleta_id"] == f"r{k}"))
+        os.utime(path, (1_700_000_000 + 60 * n,) * 2)
+    for _ in range(2):  # started again, it finds nothing new
+        stream_changes(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/t", f"file://{tmp_path}/c").awaitTermination()
+    names = "incidente", "anterior", "coleta_id", "efeito", "hash_natural", "posicao"
+    got = sorted(tuple(r) for r in changes(spark, f"file://{tmp_path}/t").select(*names).collect())
+    items = spark.createDataFrame([tuple(r.values()) for r in rows], ITEMS)
+    want = diff_runs(previous_run(items.select("incidente", "coleta_id").distinct()), items)
+    assert got == sorted(tuple(r) for r in want.select(*names).collect())
+    assert len(got) == 10
