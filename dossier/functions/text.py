@@ -94,10 +94,14 @@ _FROM, _TO, _SEVERAL = _folding()
 
 
 def without_marks(c: Column) -> Column:
-    """Compatibility letters in their plain form, combining marks gone."""
-    out = F.translate(c, _FROM, _TO)
-    out = reduce(lambda a, x: F.replace(a, F.lit(x[0]), F.lit(x[1])), _SEVERAL, out)
-    return F.regexp_replace(out, r"\p{Mn}", "")
+    """Compatibility letters in their plain form, combining marks gone.
+
+    ASCII is left as it is; most other texts only have letters that one other stands for.
+    """
+    single = F.translate(c, _FROM, _TO)
+    every = F.regexp_replace(reduce(lambda a, x: F.replace(a, F.lit(x[0]), F.lit(x[1])), _SEVERAL, single), r"\p{Mn}", "")
+    rare = f"[\\p{{Mn}}{''.join(x for x, _ in _SEVERAL)}]"
+    return F.when(~c.rlike(r"[^\x00-\x7F]"), c).when(~c.rlike(rare), single).otherwise(every)
 
 
 def normalize_name(c: Column) -> Column:

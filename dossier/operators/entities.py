@@ -78,8 +78,13 @@ def propose_aliases(entities: DataFrame, threshold: float = 0.9, least: int = 12
     prefix = ranked.where(F.col("r") <= F.greatest(F.lit(1), F.col("len") - 1 - shared + 1)).select("id", "len", "g", "k")
     near = prefix.alias("x").join(prefix.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id")))
     near = near.where(F.least("x.len", "y.len") >= F.greatest("x.len", "y.len") * (threshold / (2 - threshold))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    # A name inside another has all its words there: its rarest one, with the first and last, meets only names that may hold it.
     words = one.withColumn("w", F.split("norm", " ")).where("size(w) >= 2").select("id", "w", F.get("w", F.lit(0)).alias("f"), F.element_at("w", -1).alias("l"))
-    inside = words.alias("x").join(words.alias("y"), (F.col("x.f") == F.col("y.f")) & (F.col("x.l") == F.col("y.l")) & (F.col("x.id") < F.col("y.id"))).where("size(array_except(x.w, y.w)) = 0 or size(array_except(y.w, x.w)) = 0").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(True).alias("contido"))
+    each = words.select("id", "f", "l", F.explode(F.array_distinct("w")).alias("t"))
+    rare = each.join(each.groupBy("f", "l", "t").agg(F.count("*").alias("n")), ["f", "l", "t"]).groupBy("id").agg(F.min_by("t", F.struct("n", "t")).alias("t"))
+    held = each.withColumnRenamed("id", "b").join(words.join(rare, "id").select(F.col("id").alias("a"), "f", "l", "t", F.col("w").alias("wa")), ["f", "l", "t"]).where("a <> b")
+    held = held.join(words.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b").where("size(array_except(wa, wb)) = 0")
+    inside = held.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("contido")).distinct()
     pairs = near.join(inside, ["a", "b"], "full_outer").join(one.select(F.col("id").alias("a"), F.col("norm").alias("nome_a")), "a").join(one.select(F.col("id").alias("b"), F.col("norm").alias("nome_b")), "b")
 
     @F.pandas_udf("double")
