@@ -18,7 +18,7 @@ from dossier.llm.common import tidy
 
 #: Pieces that one recursive query encodes, pieces that texts wait with until their new ones are encoded together, and pieces that
 #: a worker remembers, within a task and from task to task.
-QUERY_PIECES, WAITING, REMEMBERED, KEPT = 20_000, 150_000, 250_000, 100_000
+QUERY_PIECES, WAITING, REMEMBERED, KEPT = 20_000, 150_000, 220_000, 40_000
 #: Bytes from which a piece is encoded with all occurrences of its least pair at once.
 LONG = 256
 
