@@ -311,7 +311,7 @@ def repeated(texts: DataFrame, length: int, run: int = RUN, range_size: int = RA
     shared = save(with_first(found.select("_rid", "key"), "key", F.col("_rid"), F.col("_rid")).select("_rid", "first", "copies"), "copies")
     once = found.join(shared.where(F.col("first") != F.col("_rid")), "_rid", "left_anti")
     placed = save(once.select("_rid", F.explode(F.arrays_zip("off", "h")).alias("x")).select("_rid", "x.off", "x.h").distinct(), "places")
-    often = placed.groupBy("h").agg(F.count("*").alias("often")).where("often > 1")
+    often = save(placed.groupBy("h").agg(F.count("*").alias("often")).where("often > 1"), "often")  # so that Spark can split the join
     again = placed.join(often, "h").select("_rid", F.struct("off", "h", (F.col("often") > hot).alias("hot")).alias("x"))
     again = again.groupBy("_rid").agg(F.collect_list("x").alias("at"))
     chosen = save(texts.join(again, "_rid").select("_rid", "data", "at"), "chosen")
