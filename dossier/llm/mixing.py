@@ -335,13 +335,21 @@ def scores(docs: DataFrame, held_out: str, keep: tuple[str, ...] = ("doc_id",))
 
     def fill(batches: Iterator[Batch]) -> Iterator[Batch]:
         tables = np.zeros((2, CONTEXTS, 2 * SLOTS), np.uint32)
+        held: tuple[list, list] = ([], [])
+        size = [0, 0]
         for b in batches:
-            texts_, aside = [tokens(d) for d in b.column("_text").to_pylist()], b.column("_apart").to_pylist()
-            for k in (0, 1):
-                some = [t for t, a in zip(texts_, aside, strict=True) if a == k]
-                for lo, hi in pieces(some, COUNTED):
-                    count_steps(some[lo:hi], coder, tables[k])
+            for d, k in zip(b.column("_text"), b.column("_apart").to_pylist(), strict=True):
+                d = d.as_py()
+                held[k].append(tokens(d))  # only as many texts as are counted at once are words at a time
+                size[k] += len(d)
+                if size[k] >= COUNTED:
+                    count_steps(held[k], coder, tables[k])
+                    held[k].clear()
+                    size[k] = 0
         for k in (0, 1):
+            if held[k]:
+                count_steps(held[k], coder, tables[k])
+                held[k].clear()
             for i, own in enumerate(tables[k].reshape(CONTEXTS * PARTS, -1)):
                 if own.any():
                     yield as_batch([(TaskContext.get().partitionId(), k * CONTEXTS * PARTS + i, squeezed(own), b"")])
