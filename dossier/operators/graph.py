@@ -2,24 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dossier.functions.text import minister_key, name_key
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the folder that all executors share and reads it back; without such a folder, checkpoints where the session does."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.checkpoint()
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from dossier.sources.shared import save
 
 
 def case_id(incidente: str = "incidente") -> F.col:
@@ -152,13 +140,13 @@ def seed_distance(edges: DataFrame, seeds: DataFrame, most: int | None = None) -
 
     A frontier is joined with the edges until nothing new is met, each round written to the shared folder.
     """
-    both = cut(edges.select(F.col("origem").alias("id"), F.col("destino").alias("next")).union(edges.select("destino", "origem")).distinct(), "edges")
-    reached = cut(seeds.select("id").distinct().withColumn("distancia", F.lit(0)), "reached")
+    both = save(edges.select(F.col("origem").alias("id"), F.col("destino").alias("next")).union(edges.select("destino", "origem")).distinct(), "edges")
+    reached = save(seeds.select("id").distinct().withColumn("distancia", F.lit(0)), "reached")
     frontier, d = reached.select("id"), 0
     while most is None or d < most:
         d += 1
         step = frontier.join(both, "id").select(F.col("next").alias("id")).distinct().join(reached.select("id"), "id", "left_anti").withColumn("distancia", F.lit(d))
-        step = cut(step, "frontier")
+        step = save(step, "frontier")
         if step.isEmpty():
             break
         reached, frontier = reached.unionByName(step), step.select("id")

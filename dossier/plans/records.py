@@ -6,8 +6,6 @@ states what each shape must give.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +15,7 @@ from dossier.plans import chronology
 from dossier.plans.archive import CHUNKS, c, registered
 from dossier.plans.queries import t
 from dossier.sources import registry, sinks, tabs
+from dossier.sources.shared import folder
 
 E = F.expr
 
@@ -25,11 +24,6 @@ def x(spark: SparkSession, d: str, name: str, *exprs: str) -> DataFrame:
     return t(spark, d, name).selectExpr(*exprs)
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see."""
-    return f"{spark.conf.get('spark.checkpoint.dir')}/{name}-{uuid.uuid4().hex}"
-
-
 def br(column: str) -> str:
     return f"date_format({column}, 'dd/MM/yyyy')"
 
@@ -58,7 +52,7 @@ def s2_runs(spark, d):
 def s3_blobs(spark, d):
     """The nations' names written as a file each, read as blobs."""
     path = folder(spark, "blobs")
-    x(spark, d, "nation", "n_nationkey", "n_name").repartition(1).write.partitionBy("n_nationkey").text(path)
+    x(spark, d, "nation", "n_nationkey", "n_name").repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
     return registry.read_blobs(spark, path).where("path like '%.txt'").select("sha256", "length")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dossier.functions.text import extract
+from dossier.operators.order import placed
 
 REGISTRY = (
     "coleta_id string, incidente bigint, aba string, url string, url_final string, fetched_at timestamp, http_status int, "
@@ -24,11 +25,10 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_sid(rows: DataFrame, line: list[str]) -> DataFrame:
-    """sid: the run's rank among runs in the upper half, the line's rank in its run in the lower, so no sort is global."""
-    runs = rows.select("coleta_id").distinct()
-    rank = runs.withColumn("_run", F.row_number().over(W.orderBy("coleta_id")))  # one row a run
-    own = F.row_number().over(W.partitionBy("coleta_id").orderBy(*line))
-    return rows.join(rank, "coleta_id").withColumn("sid", F.col("_run").cast("bigint") * F.lit(1 << 32) + own).drop("_run")
+    """sid: the run's rank among runs in the upper half, the line's rank in its run in the lower; neither is a sort in one task."""
+    rank = placed(rows.select("coleta_id").distinct(), [], ["coleta_id"], "_run")
+    own = placed(rows, ["coleta_id"], line, "_line")
+    return own.join(rank, "coleta_id").withColumn("sid", (F.col("_run") + 1) * F.lit(1 << 32) + F.col("_line") + 1).drop("_run", "_line")
 
 
 def run_kind(coleta_id) -> F.col:
