@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from dossier.sources.shared import save
 
 
-def placed(rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "place", weight: Column | None = None) -> DataFrame:
-    """rows with `name`: how many rows of the same `by` come before in `order` (nulls first), or the sum of their weight.
+def placed(rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "place", weight: Column | None = None, total: str = "") -> DataFrame:
+    """rows with `name`: how many rows of the same `by` come before in `order` (nulls first), or the sum of their weight; and, if `total` names
+    a column, with the whole number or sum.
 
     Rows are range-partitioned by both, so one value of `by` is spread over tasks, sorted and saved with their place in the task.
     What lies before a task's rows is the sum over the tasks before it: one row for each task and value of `by` that meets it. Rows
@@ -23,13 +24,13 @@ def placed(rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str =
     at = save(dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_at", 33)), name)
     least = at.groupBy("_task", *by).agg(F.min("_at").alias("_least"), (F.count("*") if weight is None else F.sum(weight)).alias("_sum"))
     keys = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))  # one row a task
-    before = least.withColumn("_before", F.coalesce(F.sum("_sum").over(keys.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    before = least.withColumn("_before", F.coalesce(F.sum("_sum").over(keys.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("_total", F.sum("_sum").over(keys))
     same = F.lit(True)
-    side = before.select(F.col("_task").alias("_t"), *[F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)], "_least", "_before")
+    side = before.select(F.col("_task").alias("_t"), *[F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)], "_least", "_before", "_total")
     for i, c in enumerate(by):
         same = same & at[c].eqNullSafe(F.col(f"_by_{i}"))
     met = at.join(side, (at["_task"] == F.col("_t")) & same)
     own = F.col("_at") - F.col("_least")
     if weight is not None:
         own = F.coalesce(F.sum(weight).over(W.partitionBy("_task", *by).orderBy("_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return met.select(*rows.columns, (F.col("_before") + own).alias(name))
+    return met.select(*rows.columns, (F.col("_before") + own).alias(name), *([F.col("_total").alias(total)] if total else []))
