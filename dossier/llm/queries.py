@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, contamination, html, langid, lines, mixing, neighbours, quality, simhash, suffixes
+from dossier.llm import bpe, contamination, html, langid, lines, merkle, mixing, neighbours, quality, simhash, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +66,12 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.documents_manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_mixing, op4_bpe, op5_langid, op6_lines, op7_contamination, op8_suffixes, op9_neighbours, op10_html)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_mixing, op4_bpe, op5_langid, op6_lines, op7_contamination, op8_suffixes, op9_neighbours, op10_html, op11_merkle)}
 
 
 OP6 = r"""
@@ -94,5 +98,43 @@ FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN gone g ON g.d
 """
 
 
+#: A document's fields as its digest takes them, and CRC-32 of the decimal id, bit by bit.
+_FIELD = "coalesce(strlen({0}) || ':' || {0}, '-')"
+_TEXTS = [f"{c}::VARCHAR" for c in ("doc_id", "source", "lang", "n_chars", "text")]
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in _TEXTS) + ")"
+_RAISED = _LEAF.replace("n_chars::VARCHAR", "(n_chars + 1)::VARCHAR")
+_CRC = "xor(list_reduce([4294967295::UBIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT), lambda r, b: list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)), 4294967295::UBIGINT)"
+
+OP11 = f"""
+WITH RECURSIVE leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+  FROM (SELECT doc_id, lang, {_LEAF} AS leaf, CASE WHEN {_CRC} % 7 = 0 THEN {_RAISED} END AS other FROM documents)
+), own AS (
+  SELECT lang, 0 AS lev, pos, n, leaf AS h FROM leaves
+  UNION ALL SELECT lang, lev + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM own WHERE n > 1 GROUP BY lang, lev, n, pos // 2
+), subroots AS (
+  SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM own WHERE n = 1
+), upper AS (
+  SELECT 0 AS lev, pos, n, h FROM subroots
+  UNION ALL SELECT lev + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM upper WHERE n > 1 GROUP BY lev, n, pos // 2
+), steps AS (
+  SELECT l.lang, l.pos, m.lev, CASE WHEN k.h IS NULL THEN '=' WHEN k.pos < m.pos THEN '<' ELSE '>' END AS turn, coalesce(k.h, '') AS kin
+  FROM leaves l JOIN own m ON m.lang IS NOT DISTINCT FROM l.lang AND m.pos = l.pos >> m.lev AND m.n > 1
+  LEFT JOIN own k ON k.lang IS NOT DISTINCT FROM m.lang AND k.lev = m.lev AND k.pos = xor(m.pos, 1)
+  UNION ALL
+  SELECT l.lang, l.pos, 100 + m.lev, CASE WHEN k.h IS NULL THEN '=' WHEN k.pos < m.pos THEN '<' ELSE '>' END, coalesce(k.h, '')
+  FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang JOIN upper m ON m.pos = s.pos >> m.lev AND m.n > 1
+  LEFT JOIN upper k ON k.lev = m.lev AND k.pos = xor(m.pos, 1)
+), paths AS (
+  SELECT lang, pos, string_agg(kin, '' ORDER BY lev) AS kin, list(turn || kin ORDER BY lev) AS turns FROM steps GROUP BY 1, 2
+)
+SELECT l.doc_id, l.leaf, s.h AS subroot, r.h AS root, sha256(coalesce(p.kin, '')) AS proof_sha256,
+  list_reduce([coalesce(l.other, l.leaf)] || coalesce(p.turns, []), lambda a, x: CASE x[1] WHEN '<' THEN sha256(x[2:] || a) WHEN '>' THEN sha256(a || x[2:]) ELSE sha256(a) END) AS folded_root,
+  folded_root = r.h AS verified
+FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang JOIN upper r ON r.n = 1
+LEFT JOIN paths p ON p.lang IS NOT DISTINCT FROM l.lang AND p.pos = l.pos
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_lines": OP6}
+    return {"op6_lines": OP6, "op11_merkle": OP11}
