@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, contamination, html, langid, lines, merkle, mixing, neighbours, quality, simhash, suffixes
+from dossier.llm import bpe, contamination, html, langid, lines, merkle, mixing, neighbours, quality, ranking, simhash, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,8 +70,12 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.documents_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(ranking.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_mixing, op4_bpe, op5_langid, op6_lines, op7_contamination, op8_suffixes, op9_neighbours, op10_html, op11_merkle)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_mixing, op4_bpe, op5_langid, op6_lines, op7_contamination, op8_suffixes, op9_neighbours, op10_html, op11_merkle, op12_search)}
 
 
 OP6 = r"""
@@ -136,5 +140,22 @@ LEFT JOIN paths p ON p.lang IS NOT DISTINCT FROM l.lang AND p.pos = l.pos
 """
 
 
+_WORDS = r"""list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+
+OP12 = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+g AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM p, g GROUP BY term, n_docs),
+q AS (SELECT r AS q, item_id, term, count(*) AS n FROM (SELECT item_id, row_number() OVER () AS r, unnest({_WORDS}) AS term FROM benchmark) GROUP BY ALL),
+s AS (
+  SELECT q, item_id, r, doc_id, sum(n * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(w) * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN p USING (term) JOIN f USING (term) JOIN d USING (r), g GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_lines": OP6, "op11_merkle": OP11}
+    return {"op6_lines": OP6, "op11_merkle": OP11, "op12_search": OP12}
