@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, contamination, html, langid, lines, merkle, mixing, neighbours, quality, ranking, simhash, suffixes
+from dossier.llm import bpe, contamination, html, langid, lines, merkle, mixing, neighbours, pii, quality, ranking, simhash, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,8 +74,12 @@ def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.search(ranking.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_mixing, op4_bpe, op5_langid, op6_lines, op7_contamination, op8_suffixes, op9_neighbours, op10_html, op11_merkle, op12_search)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_mixing, op4_bpe, op5_langid, op6_lines, op7_contamination, op8_suffixes, op9_neighbours, op10_html, op11_merkle, op12_search, op13_pii)}
 
 
 OP6 = r"""
