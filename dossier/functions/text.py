@@ -292,19 +292,28 @@ def _digits(c: Column) -> Column:
     return F.regexp_replace(c, r"\D", "")
 
 
-def actor_key(c: Column) -> Column:
-    """struct(chave, tipo) of an actor's document: companies whole, persons by the six middle digits, others by name."""
+def _actor_forms(c: Column) -> list[tuple[Column, Column, str]]:
+    """(test, key, kind) of each form that names an actor."""
     d = _digits(c)
-    known = [
+    return [
         (F.startswith(c, F.lit("nome:")), F.concat(F.lit("nome:"), normalize_name(F.substring(c, 6, 10_000))), "desconhecido"),
         (c.rlike(r"^cpf:\d{6}$"), c, "pessoa_fisica"),
         (c.rlike(r"^cnpj:\d{14}$"), c, "pessoa_juridica"),
         (F.length(d) == 14, F.concat(F.lit("cnpj:"), d), "pessoa_juridica"),
         (F.length(d) == 11, F.concat(F.lit("cpf:"), F.substring(d, 4, 6)), "pessoa_fisica"),
     ]
+
+
+def is_actor(c: Column) -> Column:
+    """Whether actor_key takes the document; null stays null."""
+    return reduce(lambda a, x: a | x[0], _actor_forms(c), F.lit(False))
+
+
+def actor_key(c: Column) -> Column:
+    """struct(chave, tipo) of an actor's document: companies whole, persons by the six middle digits, others by name."""
     bad = F.raise_error(F.concat(F.lit("document not recognised: "), c)).cast("struct<chave:string,tipo:string>")
     out = F.when(c.isNull(), F.lit(None).cast("struct<chave:string,tipo:string>"))
-    for test, key, kind in known:
+    for test, key, kind in _actor_forms(c):
         out = out.when(test, F.struct(key.alias("chave"), F.lit(kind).alias("tipo")))
     return out.otherwise(bad)
 

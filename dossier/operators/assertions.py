@@ -12,49 +12,44 @@ from pyspark.sql import functions as F
 
 from dossier.functions.text import judgement_terms, quote_norm
 
-# Kinds of statements and results of requests.
-KINDS = ("fato_processual", "alegacao", "conclusao")
-RESULTS = ("deferido", "deferido_em_parte", "indeferido", "prejudicado", "nao_conhecido", "determinado", "homologado", "recebido", "arquivado", "outro")
+# Kinds of statements and of the entities in them, results of requests.
+KINDS = ("fato_processual", "alegacao_parte", "fundamento_decisorio")
+ENTITIES = ("pessoa", "organizacao", "orgao_publico", "ministro", "advogado", "desconhecido")
+RESULTS = ("deferido", "indeferido", "parcialmente_deferido", "homologado", "referendado", "negado_seguimento", "nao_conhecido", "prejudicado", "determinado_de_oficio", "outro")
 ITEM = "struct<k:int,tipo:string,texto:string,pagina:int,trecho_fonte:string,atribuida_a:string,entidades:array<struct<nome:string,tipo:string>>,pedido:string,quem_pediu:string,resultado:string,decisao:string,quem_decidiu:string,data:string,condicoes:array<string>>"
 
 
 def _page(x: object) -> int | None:
-    """A page number as JSON may give it: an integer, a whole float or digits in a string, never a boolean."""
-    if isinstance(x, bool):
-        return None
+    """A page number of one or more as JSON may give it: an integer, a whole float or digits in a string, never a boolean."""
     if isinstance(x, float) and x.is_integer():
-        return int(x)
-    if isinstance(x, str) and x.strip().lstrip("+-").isdigit():
-        return int(x)
-    return x if isinstance(x, int) else None
+        x = int(x)
+    elif isinstance(x, str) and x.strip().lstrip("+-").isdigit():
+        x = int(x)
+    return x if isinstance(x, int) and not isinstance(x, bool) and x >= 1 else None
 
 
-def _texts(item: dict, names: Sequence[str], optional: Sequence[str] = (), least: int = 1) -> dict | None:
-    out = {}
-    for n in names:
-        if not isinstance(item.get(n), str) or len(item[n]) < least:
-            return None
-        out[n] = item[n]
-    for n in optional:
-        if item.get(n) is not None and not isinstance(item[n], str):
-            return None
-        out[n] = item.get(n)
-    return out
+def _texts(item: dict, least: dict[str, int], optional: Sequence[str] = ()) -> dict | None:
+    """The item's texts; none if one isn't a text or has fewer characters than least asks."""
+    if any(not isinstance(item.get(n), str) or len(item[n]) < k for n, k in least.items()):
+        return None
+    if any(item.get(n) is not None and not isinstance(item[n], str) for n in optional):
+        return None
+    return {n: item.get(n) for n in [*least, *optional]}
 
 
 def _assertion(item: dict) -> dict | None:
-    got = _texts(item, ("tipo_epistemico", "texto", "trecho_fonte"), ("atribuida_a",), 0)
+    got = _texts(item, {"tipo_epistemico": 1, "texto": 1, "trecho_fonte": 1}, ("atribuida_a",))
     names = item.get("entidades", [])
     if got is None or got["tipo_epistemico"] not in KINDS or (page := _page(item.get("pagina"))) is None or not isinstance(names, list):
         return None
-    if not all(isinstance(e, dict) and isinstance(e.get("nome"), str) and isinstance(e.get("tipo"), str) for e in names):
+    if not all(isinstance(e, dict) and (t := _texts(e, {"nome": 1, "tipo": 1})) and t["tipo"] in ENTITIES for e in names):
         return None
     return {"tipo": got.pop("tipo_epistemico"), **got, "pagina": page, "entidades": [{"nome": e["nome"], "tipo": e["tipo"]} for e in names]}
 
 
 def _decision(item: dict) -> dict | None:
-    got = _texts(item, ("pedido", "resultado", "decisao", "trecho_fonte"), ("quem_pediu", "quem_decidiu", "data"), 3)
-    terms = item.get("condicoes") or []
+    got = _texts(item, {"pedido": 3, "resultado": 1, "decisao": 3, "quem_decidiu": 2, "trecho_fonte": 3}, ("quem_pediu", "data"))
+    terms = item.get("condicoes", [])
     if got is None or got["resultado"] not in RESULTS or (page := _page(item.get("pagina"))) is None or not isinstance(terms, list) or not all(isinstance(x, str) for x in terms):
         return None
     return {**got, "pagina": page, "condicoes": terms}
@@ -75,7 +70,7 @@ def _checked(responses: DataFrame, field: str, one: Callable[[dict], dict | None
                 continue
             items = data.get(field) if isinstance(data, dict) else None
             got = [one(x) if isinstance(x, dict) else None for x in items] if isinstance(items, list) else [None]
-            if any(x is None for x in got):
+            if any(x is None for x in got) or not isinstance(data.get("observacoes"), (str, type(None))):
                 why.append("schema"), found.append([])
             else:
                 why.append(None), found.append([{n: k if n == "k" else x.get(n) for n in names} for k, x in enumerate(got)])

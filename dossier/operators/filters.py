@@ -53,7 +53,7 @@ def filter_entities(df: DataFrame, situacao: str | None = None, tipo: str | None
 def filter_flows(df: DataFrame, natureza: str | None = None, tipo: str | None = None, ano: str | None = None, status: str | None = None, query: str = "", columns: Sequence[str] = ("origem", "destino")) -> DataFrame:
     """Flows by nature (no type summaries unless asked for), type, year of the date or else of the period, status and words."""
     df = df.where(F.col("natureza") == natureza) if natureza else df.where("natureza <> 'resumo_tipo'")
-    df = df.where(either(F.col("tipo") == tipo if tipo else None)).where(either(F.col("status") == status if status else None))
+    df = df.where(either(F.col("tipo") == tipo if tipo else None)).where(either(F.col("situacao") == status if status else None))
     df = df.where(either(F.substring(F.coalesce("data", "periodo_inicio"), 1, 4) == ano if ano else None))
     return matches_all_terms(df, query, columns) if query.strip() else df
 

@@ -1,82 +1,16 @@
-"""Money flows in integer cents: validation, actors, totals, edges, reports and evidence."""
+"""Money flows in integer cents: actors, totals, edges, reports and evidence. Datasets and their tables: see datasets."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dossier.functions.text import actor_key, mask_document, mask_text, name_key, strip_all_ws
 
 SUMMARY = "resumo_tipo"
-COUNTED = f"status = 'pago' and natureza <> '{SUMMARY}'"
-# What a dataset may say.
-NATURES = ("transacao_identificada", "agregado_contraparte", SUMMARY, "outro")
-STATUSES = ("pago", "previsto", "cancelado")
-TRANSACTIONS = "array<struct<origem:string,destino:string,valor:string,data:string,natureza:string,tipo:string,status:string,quantidade:int,bem:string,pagina:int,trecho:string>>"
-COMMUNICATIONS = f"array<struct<secao:string,numero:string,titular:string,valor:string,creditos:string,debitos:string,periodo_inicio:string,periodo_fim:string,participacoes:array<struct<documento:string,nome:string,papel:string>>,bens:array<struct<id:string,tipo:string,descricao:string>>,transacoes:{TRANSACTIONS}>>"
-
-
-def flow_datasets(text: DataFrame) -> DataFrame:
-    """Datasets (conjunto, value: JSON) as (conjunto, fonte, comunicacoes)."""
-    schema = f"fonte struct<tipo:string,identificador:string,documento_id:bigint,titulo:string>, comunicacoes {COMMUNICATIONS}"
-    return text.select("conjunto", F.from_json("value", schema).alias("d")).select("conjunto", "d.*")
-
-
-def communications(datasets: DataFrame) -> DataFrame:
-    """One row a communication, com_id its place in the dataset."""
-    return datasets.select("conjunto", "fonte", F.posexplode("comunicacoes").alias("ordem", "c")).select("conjunto", "fonte", F.concat_ws("/", "conjunto", F.col("ordem").cast("string")).alias("com_id"), "ordem", "c.*")
-
-
-def transactions(coms: DataFrame) -> DataFrame:
-    return coms.select("conjunto", "com_id", F.col("fonte.documento_id").alias("documento_id"), F.posexplode("transacoes").alias("k", "t")).select("conjunto", "com_id", "documento_id", F.concat_ws("/", "com_id", F.col("k").cast("string")).alias("tx_id"), "t.*")
-
-
-def _errors(tests: Sequence[tuple[Column, str]]) -> Column:
-    return F.filter(F.array(*(F.when(test, F.lit(what)) for test, what in tests)), lambda x: x.isNotNull())
-
-
-def validate_flows(datasets: DataFrame, pages: DataFrame) -> DataFrame:
-    """(conjunto, caminho, erro): one row a violation. pages: (documento_id, pagina, texto).
-
-    Quotes are met with their page ignoring white space; a page is brought in that form once.
-    """
-    money = r"^R\$ ?\d{1,3}(\.\d{3})*,\d{2}$"
-    day = lambda c: c.isNotNull() & (~c.rlike(r"^\d{4}-\d{2}-\d{2}$") | F.try_to_timestamp(c, F.lit("yyyy-MM-dd")).isNull())
-    coms = communications(datasets)
-    top = datasets.select("conjunto", F.lit("fonte").alias("caminho"), _errors([(F.col("fonte.tipo").isNull(), "source without type"), (F.col("fonte.identificador").isNull(), "source without identifier"), (F.col("fonte.documento_id").isNull(), "source without document")]).alias("e"))
-    c = coms.select("conjunto", F.col("com_id").alias("caminho"), _errors([(F.col("numero").isNull(), "communication without number"), (~F.col("valor").rlike(money), "malformed amount"), (day(F.col("periodo_inicio")) | day(F.col("periodo_fim")), "malformed date")]).alias("e"))
-    assets = coms.select("com_id", F.transform(F.coalesce("bens", F.array().cast("array<struct<id:string,tipo:string,descricao:string>>")), lambda b: b["id"]).alias("ids"))
-    norm = pages.select("documento_id", "pagina", strip_all_ws(F.col("texto")).alias("_t"))
-    tx = transactions(coms).join(assets, "com_id").join(norm, ["documento_id", "pagina"], "left")
-    t = tx.select(
-        "conjunto",
-        F.col("tx_id").alias("caminho"),
-        _errors([
-            (F.col("origem").isNull() & F.col("destino").isNull(), "both ends missing"),
-            (~F.coalesce(F.col("valor").rlike(money), F.lit(False)), "malformed amount"),
-            (~F.coalesce(F.col("natureza").isin(*NATURES), F.lit(False)), "unknown nature"),
-            (~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)), "unknown status"),
-            (day(F.col("data")), "malformed date"),
-            (F.col("quantidade") < 1, "bad quantity"),
-            (F.col("bem").isNotNull() & ~F.array_contains("ids", F.col("bem")), "unknown asset"),
-            (F.col("_t").isNull(), "no such page"),
-            (F.coalesce(F.length(F.trim("trecho")), F.lit(0)) == 0, "no quote"),
-            (F.col("_t").isNotNull() & ~F.contains("_t", strip_all_ws(F.col("trecho"))), "quote not on page"),
-            (F.col("trecho").rlike(r"\d{3}\.\d{3}\.\d{3}-\d{2}"), "quote shows a personal number"),
-        ]).alias("e"),
-    )
-    return top.unionByName(c).unionByName(t).select("conjunto", "caminho", F.explode("e").alias("erro"))
-
-
-def load_flows(datasets: DataFrame, pages: DataFrame) -> DataFrame:
-    """The datasets without any violation; of each source the one that was loaded last (highest conjunto)."""
-    bad = validate_flows(datasets, pages).select("conjunto").distinct()
-    good = datasets.join(bad, "conjunto", "left_anti")
-    w = W.partitionBy("fonte.tipo", "fonte.identificador").orderBy(F.desc("conjunto"))
-    return good.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+#: Flows that count as money paid: carried out, and not a summary of others.
+COUNTED = f"situacao = 'efetuado' and natureza <> '{SUMMARY}'"
 
 
 def build_actors(refs: DataFrame, entities: DataFrame) -> DataFrame:
@@ -95,7 +29,7 @@ def build_actors(refs: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def actor_totals(tx: DataFrame) -> DataFrame:
-    """(ator, entrada, saida, n_transacoes): paid flows that aren't summaries; a flow to oneself counts at both ends."""
+    """(ator, entrada, saida, n_transacoes): flows carried out that aren't summaries; a flow to oneself counts at both ends."""
     ends = tx.where(COUNTED).select(F.inline(F.array(F.struct(F.col("origem").alias("ator"), F.lit(0).cast("bigint").alias("e"), F.col("centavos").alias("s")), F.struct(F.col("destino").alias("ator"), F.col("centavos").alias("e"), F.lit(0).cast("bigint").alias("s")))))
     return ends.where("ator is not null").groupBy("ator").agg(F.sum("e").alias("entrada"), F.sum("s").alias("saida"), F.count("*").alias("n_transacoes"))
 
@@ -113,13 +47,13 @@ def flow_edges(tx: DataFrame) -> DataFrame:
 
 
 def undirected_edges(coms: DataFrame, participations: DataFrame, tx: DataFrame) -> DataFrame:
-    """(com_id, a, b, centavos): communications with an amount but no flow; the main holder, if among the holders, else the lowest, is tied
-    to every other holder or seller. coms: (com_id, titular, centavos); participations: (com_id, ator, papel)."""
-    bare = coms.where("centavos is not null").join(tx.select("com_id").distinct(), "com_id", "left_anti")
+    """(com_id, a, b, centavos): communications with an amount other than zero but no flow and at least two holders or sellers; the main
+    holder, if it is one of them, else the lowest, is tied to every other. coms: (com_id, titular, centavos); participations: (com_id, ator, papel)."""
+    bare = coms.where("centavos <> 0").join(tx.select("com_id").distinct(), "com_id", "left_anti")
     people = bare.join(participations.where("papel in ('titular', 'vendedor')"), "com_id")
-    own = people.groupBy("com_id", "titular", "centavos").agg(F.sort_array(F.collect_set(F.when(F.col("papel") == "titular", F.col("ator")))).alias("h"), F.sort_array(F.collect_set("ator")).alias("todos"))
-    anchor = F.when(F.array_contains("h", F.col("titular")), F.col("titular")).otherwise(F.get("h", F.lit(0)))
-    return own.withColumn("a", anchor).where("a is not null").select("com_id", "a", F.explode(F.array_remove("todos", F.col("a"))).alias("b"), "centavos")
+    own = people.groupBy("com_id", "titular", "centavos").agg(F.sort_array(F.collect_set("ator")).alias("todos")).where("size(todos) > 1")
+    a = F.when(F.array_contains("todos", F.col("titular")), F.col("titular")).otherwise(F.get("todos", F.lit(0)))
+    return own.withColumn("a", a).select("com_id", "a", F.explode(F.array_remove("todos", F.col("a"))).alias("b"), "centavos")
 
 
 def flow_nodes(actors: DataFrame, edges: DataFrame) -> DataFrame:

@@ -227,18 +227,23 @@ def d3_header(spark, d):
     return diff.diff_header(pairs, e.groupBy("incidente", "coleta_id").agg(F.max("props").alias("props")), ["props"])
 
 
-@registered("SELECT o_custkey AS incidente, count(*) FILTER (o_orderstatus = 'F') AS fato_processual, count(*) FILTER (o_orderstatus = 'O') AS alegacao, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS conclusao FROM orders GROUP BY 1")
+@registered("SELECT o_custkey AS incidente, count(*) FILTER (o_orderstatus = 'F') AS fato_processual, count(*) FILTER (o_orderstatus = 'O') AS alegacao_parte, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS fundamento_decisorio FROM orders GROUP BY 1")
 def s4_kinds(spark, d):
-    kind = F.expr("CASE o_orderstatus WHEN 'F' THEN 'fato_processual' WHEN 'O' THEN 'alegacao' ELSE 'conclusao' END")
+    kind = F.expr("CASE o_orderstatus WHEN 'F' THEN 'fato_processual' WHEN 'O' THEN 'alegacao_parte' ELSE 'fundamento_decisorio' END")
     return assertions.assertion_counts(t(spark, d, "orders").select(c("o_custkey", "incidente"), kind.alias("tipo_epistemico")))
 
 
-@registered("SELECT item_id AS documento_id, CASE WHEN item_id % 7 = 0 THEN 'rejeitada:json' ELSE 'ok' END AS status, (item_id % 7 <> 0 AND item_id % 5 <> 0)::BIGINT AS validas, (item_id % 7 <> 0 AND item_id % 5 = 0)::BIGINT AS descartadas FROM benchmark")
+@registered("SELECT item_id AS documento_id, CASE WHEN item_id % 13 = 0 THEN 'rejeitada:json' WHEN item_id % 13 < 8 THEN 'rejeitada:schema' ELSE 'ok' END AS status, (item_id % 13 >= 8 AND item_id % 5 <> 0)::BIGINT AS validas, (item_id % 13 >= 8 AND item_id % 5 = 0)::BIGINT AS descartadas FROM benchmark")
 def s1_statements(spark, d):
+    """Benchmark texts as pages: each kind of statement and of entity in turn, responses spoilt in each way, every fifth quote elsewhere."""
     b = t(spark, d, "benchmark")
+    spoil = lambda n, bad, good: F.when(F.col("item_id") % 13 == n, bad).otherwise(good)
+    turn = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("item_id") % len(values)).cast("int"))
     quote = F.expr("if(item_id % 5 = 0, 'isto não está na página', substring(text, 1, 80))")
-    item = F.struct(F.lit("alegacao").alias("tipo_epistemico"), F.lit("t").alias("texto"), F.lit(1).alias("pagina"), quote.alias("trecho_fonte"))
-    said = F.when(F.col("item_id") % 7 == 0, "{").otherwise(F.to_json(F.struct(F.array(item).alias("assercoes"))))
+    entity = F.struct(spoil(6, F.lit(""), F.lit("Ana")).alias("nome"), spoil(5, F.lit("zzz"), turn(assertions.ENTITIES)).alias("tipo"))
+    item = F.struct(spoil(1, F.lit("conclusao"), turn(assertions.KINDS)).alias("tipo_epistemico"), spoil(2, F.lit(""), F.lit("t")).alias("texto"), spoil(4, F.lit(0), F.lit(1)).alias("pagina"), spoil(3, F.lit(""), quote).alias("trecho_fonte"), F.array(entity).alias("entidades"))
+    whole = F.when(F.col("item_id") % 13 == 7, F.to_json(F.struct(F.array(item).alias("assercoes"), F.lit(3).alias("observacoes")))).otherwise(F.to_json(F.struct(F.array(item).alias("assercoes"))))
+    said = F.when(F.col("item_id") % 13 == 0, "{").otherwise(whole)
     return assertions.validate_assertions(b.select(c("item_id", "documento_id"), said.alias("resposta")), b.select(c("item_id", "documento_id"), F.lit(1).alias("pagina"), c("text", "texto")))[1]
 
 

@@ -55,14 +55,18 @@ def decision_rows(items: DataFrame, docs: DataFrame, event_docs: DataFrame, even
 
 
 def chronology(events: DataFrame, dates: DataFrame, assertions: DataFrame, decisions: DataFrame, cases: DataFrame, categories: Sequence[str], start: str) -> tuple[DataFrame, DataFrame]:
-    """(rows (data, fonte, incidente, processo, tipo, texto, contexto), totals by source).
+    """(rows (data, fonte, tipo, classe, incidente, processo, texto, contexto), totals by source).
 
-    Portal events of the categories, assertions with exactly one date and dated decisions; contexto is `caso` from the start on and
-    `referencia` before, always `caso` for events.
+    Of the portal come events of the categories (classe: the category), of documents assertions with exactly one date (their kind) and
+    dated decisions (their result). contexto is `caso` from the start on and `referencia` before, always `caso` for events. Rows of
+    cases that aren't known go.
     """
     context = F.when(F.col("data") >= F.lit(start).cast("date"), "caso").otherwise("referencia")
-    a = events.where(F.col("categoria").isin(*categories)).select("data", F.lit("portal").alias("fonte"), "incidente", F.col("categoria").alias("tipo"), F.col("descricao").alias("texto"), F.lit("caso").alias("contexto"))
-    b = dates.where("n_datas = 1").join(assertions.select("assercao_id", "incidente", "tipo_epistemico", F.col("texto").alias("t")), "assercao_id").select("data", F.lit("assercao").alias("fonte"), "incidente", F.col("tipo_epistemico").alias("tipo"), F.col("t").alias("texto"), context.alias("contexto"))
-    c = decisions.where("data is not null").select("data", F.lit("decisao").alias("fonte"), "incidente", F.col("resultado").alias("tipo"), F.col("decisao").alias("texto"), context.alias("contexto"))
+    detail = F.when(F.coalesce("descricao", F.lit("")) != "", F.concat(F.lit(" — "), "descricao")).otherwise("")
+    row = lambda df, source, kind, group, said, where: df.select("data", F.lit(source).alias("fonte"), F.lit(kind).alias("tipo"), F.col(group).alias("classe"), "incidente", said.alias("texto"), where.alias("contexto"))
+    a = row(events.where(F.col("categoria").isin(*categories)), "portal", "andamento", "categoria", F.concat("tipo", detail), F.lit("caso"))
+    said = dates.where("n_datas = 1").select("assercao_id", "data").join(assertions.select("assercao_id", "incidente", "tipo_epistemico", "texto"), "assercao_id")
+    b = row(said, "documento", "assercao", "tipo_epistemico", F.col("texto"), context)
+    c = row(decisions.where("data is not null"), "documento", "decisao", "resultado", F.concat("pedido", F.lit(" → "), "decisao"), context)
     rows = label_case(a.unionByName(b).unionByName(c), cases)
     return rows.orderBy("data", "fonte", "tipo", "incidente"), rows.groupBy("fonte").agg(F.count("*").alias("n"))

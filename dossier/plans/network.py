@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.operators import assertions, diff, entities, flows, graph, references, reports
+from dossier.operators import datasets as tables_of
 from dossier.plans import chronology
 from dossier.plans.archive import c, registered
 from dossier.plans.queries import COUNTED, MONEY, money, t
@@ -68,11 +69,13 @@ def e3_fresh(spark, d):
     return cited(spark, d)[1].select("chave", "origem")
 
 
-@registered("SELECT item_id AS documento_id, CASE item_id % 6 WHEN 0 THEN 'rejeitada:json' WHEN 1 THEN 'rejeitada:schema' ELSE 'ok' END AS status, CASE WHEN item_id % 6 = 2 THEN 1 ELSE 0 END AS validas, CASE WHEN item_id % 6 > 2 THEN 1 ELSE 0 END AS descartadas FROM benchmark")
+@registered("SELECT item_id AS documento_id, CASE WHEN item_id % 11 = 0 THEN 'rejeitada:json' WHEN item_id % 11 < 7 THEN 'rejeitada:schema' ELSE 'ok' END AS status, (item_id % 11 = 7)::BIGINT AS validas, (item_id % 11 > 7)::BIGINT AS descartadas FROM benchmark")
 def e6_decisions(spark, d):
-    quote = "CASE item_id % 6 WHEN 3 THEN 'isto não está' WHEN 4 THEN substr(text, 1, 310) || repeat('x', 301) ELSE upper(substr(text, 1, 60)) END"
-    item = f"named_struct('pedido', 'soltar o réu', 'resultado', if(item_id % 6 = 1, 'talvez', 'deferido'), 'decisao', 'defiro', 'pagina', if(item_id % 6 = 5, 9, 1), 'trecho_fonte', {quote}, 'condicoes', array('fiança'))"
-    said = f"if(item_id % 6 = 0, '[', to_json(named_struct('itens', array({item}))))"
+    """Benchmark texts as pages: each result in turn, responses spoilt in six ways, quotes that are elsewhere, too long or on no page."""
+    results = ", ".join(f"'{r}'" for r in assertions.RESULTS)
+    quote = "CASE item_id % 11 WHEN 8 THEN 'isto não está' WHEN 9 THEN substr(text, 1, 310) || repeat('x', 301) WHEN 6 THEN 'ab' ELSE upper(substr(text, 1, 60)) END"
+    item = f"named_struct('pedido', if(item_id % 11 = 2, 'oi', 'soltar o réu'), 'resultado', if(item_id % 11 = 1, 'deferido_em_parte', element_at(array({results}), cast(item_id % 10 AS int) + 1)), 'decisao', 'defiro', 'quem_decidiu', CASE item_id % 11 WHEN 3 THEN 'X' WHEN 4 THEN null ELSE 'Min. Ana' END, 'pagina', CASE item_id % 11 WHEN 5 THEN 0 WHEN 10 THEN 9 ELSE 1 END, 'trecho_fonte', {quote}, 'condicoes', array('fiança'))"
+    said = f"if(item_id % 11 = 0, '[', to_json(named_struct('itens', array({item}))))"
     b = t(spark, d, "benchmark")
     pages = b.select(c("item_id", "documento_id"), F.lit(1).alias("pagina"), c("text", "texto"))
     return assertions.validate_decisions(b.select(c("item_id", "documento_id"), E(said).alias("resposta")), pages)[1]
@@ -91,7 +94,7 @@ def a15_records(spark, d):
     return got.select("chave", "assercoes", F.coalesce(F.size("mencoes"), F.lit(0)).cast("bigint").alias("mencoes"), "situacao").withColumn("mencoes", F.greatest("mencoes", F.lit(0)))
 
 
-KIND = "CASE o_orderstatus WHEN 'F' THEN 'fato_processual' WHEN 'O' THEN 'alegacao' ELSE 'conclusao' END"
+KIND = "CASE o_orderstatus WHEN 'F' THEN 'fato_processual' WHEN 'O' THEN 'alegacao_parte' ELSE 'fundamento_decisorio' END"
 
 
 @registered(f"WITH v AS (SELECT o_custkey % 100 AS chave, {KIND} AS tipo_epistemico, o_orderpriority AS a, count(*) AS n FROM orders GROUP BY ALL) SELECT chave, tipo_epistemico, sum(n)::BIGINT AS assercoes, string_agg(n || ' ' || a, '|' ORDER BY n DESC, a DESC) AS vozes FROM v GROUP BY ALL")
@@ -229,13 +232,26 @@ def a4_cross_statutes(spark, d):
 # ------------------------------------------------------------ chronology and reports
 
 
-@registered(f"WITH l AS (SELECT c_custkey AS i, {LABEL} AS processo FROM customer), r AS (SELECT ts::DATE AS data, 'portal' AS fonte, user_id AS i, event_type AS tipo, props AS texto, 'caso' AS contexto FROM events WHERE event_type IN ('purchase', 'signup') UNION ALL SELECT o_orderdate::DATE, 'assercao', o_custkey, {KIND}, o_orderpriority, CASE WHEN o_orderdate >= '1997-01-01' THEN 'caso' ELSE 'referencia' END FROM orders WHERE o_orderkey % 3 > 0 UNION ALL SELECT l_shipdate::DATE, 'decisao', l_suppkey, l_returnflag, l_linestatus, CASE WHEN l_shipdate >= '1997-01-01' THEN 'caso' ELSE 'referencia' END FROM lineitem WHERE l_returnflag <> 'N') SELECT data, fonte, i AS incidente, processo, tipo, texto, contexto FROM r JOIN l USING (i)")
-def c1_chronology(spark, d):
-    events = x(spark, d, "events", "to_date(ts) AS data", "user_id AS incidente", "event_type AS categoria", "props AS descricao")
+WHEN = "CASE WHEN {0} >= '1997-01-01' THEN 'caso' ELSE 'referencia' END"
+TOLD = f"l AS (SELECT c_custkey AS i, {LABEL} AS processo FROM customer), r AS (SELECT ts::DATE AS data, 'portal' AS fonte, 'andamento' AS tipo, event_type AS classe, user_id AS i, CASE WHEN event_id % 4 = 0 THEN 'Ato' ELSE 'Ato — ' || props END AS texto, 'caso' AS contexto FROM events WHERE event_type IN ('purchase', 'signup') UNION ALL SELECT o_orderdate::DATE, 'documento', 'assercao', {KIND}, o_custkey, o_orderpriority, {WHEN.format('o_orderdate')} FROM orders WHERE o_orderkey % 3 > 0 UNION ALL SELECT l_shipdate::DATE, 'documento', 'decisao', l_returnflag, l_suppkey, l_linenumber || ' → ' || l_linestatus, {WHEN.format('l_shipdate')} FROM lineitem WHERE l_returnflag <> 'N'), k AS (SELECT data, fonte, tipo, classe, i AS incidente, processo, texto, contexto FROM r JOIN l USING (i))"
+
+
+def told(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    events = x(spark, d, "events", "to_date(ts) AS data", "user_id AS incidente", "event_type AS categoria", "'Ato' AS tipo", "CASE event_id % 8 WHEN 0 THEN null WHEN 4 THEN '' ELSE props END AS descricao")
     dates = x(spark, d, "orders", "o_orderkey AS assercao_id", "to_date(o_orderdate) AS data", "if(o_orderkey % 3 = 0, 2, 1) AS n_datas")
     said = x(spark, d, "orders", "o_orderkey AS assercao_id", "o_custkey AS incidente", f"{KIND} AS tipo_epistemico", "o_orderpriority AS texto")
-    decided = x(spark, d, "lineitem", "if(l_returnflag = 'N', null, to_date(l_shipdate)) AS data", "l_suppkey AS incidente", "l_returnflag AS resultado", "l_linestatus AS decisao")
-    return chronology.chronology(events, dates, said, decided, cases(spark, d), ["purchase", "signup"], "1997-01-01")[0]
+    decided = x(spark, d, "lineitem", "if(l_returnflag = 'N', null, to_date(l_shipdate)) AS data", "l_suppkey AS incidente", "l_returnflag AS resultado", "cast(l_linenumber AS string) AS pedido", "l_linestatus AS decisao")
+    return chronology.chronology(events, dates, said, decided, cases(spark, d), ["purchase", "signup"], "1997-01-01")
+
+
+@registered(f"WITH {TOLD} FROM k")
+def c1_chronology(spark, d):
+    return told(spark, d)[0]
+
+
+@registered(f"WITH {TOLD} SELECT fonte, count(*) AS n FROM k GROUP BY 1")
+def c1_sources(spark, d):
+    return told(spark, d)[1]
 
 
 @registered("SELECT o_custkey AS incidente, o_orderstatus AS funcao, count(*) AS documentos FROM orders GROUP BY ALL")
@@ -292,25 +308,100 @@ def d7_manifest(spark, d):
 # ------------------------------------------------------------ money flows
 
 SETS = "concat('d', lpad(s_suppkey, 6, '0'))"
-
-
-def datasets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Suppliers as datasets of one flow with one of five faults or none, and the page they quote."""
-    tx = "named_struct('origem', if(s_suppkey % 6 = 1, null, '11222333000181'), 'destino', if(s_suppkey % 6 = 1, null, 'nome:Ana'), 'valor', if(s_suppkey % 6 = 2, '12,3', 'R$ 1.234,56'), 'data', '2026-01-02', 'natureza', if(s_suppkey % 6 = 3, 'x', 'outro'), 'status', 'pago', 'quantidade', 1, 'pagina', if(s_suppkey % 6 = 5, 9, 1), 'trecho', if(s_suppkey % 6 = 4, 'recebeu', 'pagou  R$ 1.234,56'))"
-    com = f"named_struct('secao', 'A', 'numero', '1', 'titular', 'x', 'valor', 'R$ 2.000,00', 'transacoes', array({tx}))"
-    value = f"to_json(named_struct('fonte', named_struct('tipo', 'rif', 'identificador', cast(s_suppkey % 5 AS string), 'documento_id', s_suppkey), 'comunicacoes', array({com})))"
-    pages = x(spark, d, "supplier", "s_suppkey AS documento_id", "1 AS pagina", "concat('A ', s_name, ' pagou\\nR$ 1.234,56 a Ana') AS texto")
-    return flows.flow_datasets(x(spark, d, "supplier", f"{SETS} AS conjunto", f"{value} AS value")), pages
-
-
-@registered("SELECT 'd' || lpad(s_suppkey::VARCHAR, 6, '0') AS conjunto, 'd' || lpad(s_suppkey::VARCHAR, 6, '0') || '/0/0' AS caminho, CASE s_suppkey % 6 WHEN 1 THEN 'both ends missing' WHEN 2 THEN 'malformed amount' WHEN 3 THEN 'unknown nature' WHEN 4 THEN 'quote not on page' ELSE 'no such page' END AS erro FROM supplier WHERE s_suppkey % 6 > 0")
+#: The fault that s_suppkey % 40 puts into a dataset: (place, what stands there instead, path, error).
+FAULTS = [
+    ("ftipo", "null", "fonte.tipo", "missing"), ("ftipo", "'carta'", "fonte.tipo", "unknown type"), ("orgao", "''", "fonte.orgao", "missing"), ("inc", "0", "fonte.incidente", "missing"), ("portal", "'?'", "fonte.documento", "unknown document"),
+    ("secao", "'A'", "c.secao", "unknown section"), ("numero", "''", "c.numero", "missing"), ("titular", "'123'", "c.titular", "unknown document"), ("cvalor", "'R$ 2.000,00'", "c.valor", "malformed amount"), ("inicio", "'1/1/2026'", "c.periodo_inicio", "malformed date"), ("pini", "9", "c.pagina_inicio", "no such page"),
+    ("papel", "'dono'", "c.participacoes[0].papel", "unknown role"), ("nome", "''", "c.participacoes[0].nome", "missing"), ("pdoc", "null", "c.participacoes[0].documento", "document missing"),
+    ("btipo", "'barco'", "c.bens[0].tipo", "unknown type"), ("bdesc", "null", "c.bens[0].descricao", "missing"), ("bref", "'12'", "c.bens[0].valor_referencia", "malformed amount"), ("bdata", "'2026'", "c.bens[0].data_negocio", "malformed date"),
+    ("ttipo", "'cripto'", "c.transacoes[1].tipo", "unknown type"), ("nat", "'transacao_identificada'", "c.transacoes[1].natureza", "unknown nature"), ("valor", "''", "c.transacoes[1].valor", "amount missing"), ("valor", "'1234'", "c.transacoes[1].valor", "malformed amount"), ("origem", "'x'", "c.transacoes[1].origem", "unknown document"),
+    ("data", "'x'", "c.transacoes[1].data", "malformed date"), ("sit", "'pago'", "c.transacoes[1].situacao", "unknown status"), ("quant", "0", "c.transacoes[1].quantidade", "bad quantity"), ("bem", "'b2'", "c.transacoes[1].bem", "unknown asset"), ("pagina", "9", "c.transacoes[1].pagina", "no such page"), ("trecho", "'recebeu'", "c.transacoes[1].trecho", "quote not on page"), ("trecho", "'CPF 027.818.816-86'", "c.transacoes[1].trecho", "quote shows a personal number"), ("norma", "''", "c.ocorrencias[0].norma", "missing"),
+]
+RIGHT = {
+    "ftipo": "'rif'", "orgao": "'COAF'", "inc": "7", "portal": "concat('p', s_suppkey)", "secao": "element_at(array('suspeita', 'automatica', 'especie', 'relatorio'), cast(s_suppkey % 4 AS int) + 1)", "numero": "'1'", "titular": "'57.391.420/0001-63'", "cvalor": "'2.000,00'", "inicio": "'2026-01-01'", "pini": "1",
+    "papel": "'titular'", "nome": "'IGREJA'", "pdoc": "'57.391.420/0001-63'", "btipo": "'veiculo'", "bdesc": "'carro'", "bref": "null", "bdata": "'2026-01-03'",
+    "ttipo": "'pix'", "nat": "element_at(array('individual', 'agregado', 'resumo_tipo'), cast(s_suppkey % 3 AS int) + 1)", "valor": "'1.234,56'", "origem": "'027.818.816-86'", "data": "'2026-01-02'", "sit": "CASE s_suppkey % 5 WHEN 0 THEN null WHEN 1 THEN 'efetuado' WHEN 2 THEN 'previsto' WHEN 3 THEN 'cobrado' ELSE 'nao_informado' END", "quant": "1", "bem": "'b1'", "pagina": "1", "trecho": "'pagou  R$ 1.234,56'", "norma": "'Carta'",
+}
+
+
+def datasets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Suppliers as datasets of two flows with one of the faults or none, the pages they quote and the documents they come from."""
+    v = {k: f"CASE s_suppkey % 40 {' '.join(f'WHEN {n} THEN {w}' for n, (p, w, *_) in enumerate(FAULTS) if p == k)} ELSE {right} END" for k, right in RIGHT.items()}
+    flow = lambda x: f"named_struct('origem', {x['origem']}, 'destino', '57.391.420/0001-63', 'valor', {x['valor']}, 'data', {x['data']}, 'tipo', {x['ttipo']}, 'natureza', {x['nat']}, 'situacao', {x['sit']}, 'quantidade', {x['quant']}, 'bem', {x['bem']}, 'pagina', {x['pagina']}, 'trecho', {x['trecho']})"
+    com = f"named_struct('secao', {v['secao']}, 'numero', {v['numero']}, 'titular', {v['titular']}, 'valor', {v['cvalor']}, 'periodo_inicio', {v['inicio']}, 'pagina_inicio', {v['pini']}, 'pagina_fim', 1, 'participacoes', array(named_struct('nome', {v['nome']}, 'documento', {v['pdoc']}, 'papel', {v['papel']})), 'bens', array(named_struct('id', 'b1', 'tipo', {v['btipo']}, 'descricao', {v['bdesc']}, 'valor_referencia', {v['bref']}, 'data_negocio', {v['bdata']})), 'transacoes', array({flow(RIGHT)}, {flow(v)}), 'ocorrencias', array(named_struct('norma', {v['norma']})))"
+    value = f"to_json(named_struct('fonte', named_struct('tipo', {v['ftipo']}, 'identificador', cast(s_suppkey % 5 AS string), 'orgao', {v['orgao']}, 'documento', named_struct('endpoint', 'docs', 'id_portal', {v['portal']}), 'incidente', {v['inc']}), 'comunicacoes', array({com})))"
+    pages = x(spark, d, "supplier", "s_suppkey AS documento_id", "1 AS pagina", "concat('A ', s_name, ' pagou\\nR$ 1.234,56 a Ana, CPF 027.818.816-86') AS texto")
+    known = x(spark, d, "supplier", "s_suppkey AS documento_id", "'docs' AS endpoint", "concat('p', s_suppkey) AS id_portal")
+    return tables_of.flow_datasets(x(spark, d, "supplier", f"{SETS} AS conjunto", f"{value} AS value")), pages, known
+
+
+#: A dataset whose document isn't known has no pages either.
+UNPAGED = ["c.pagina_inicio", "c.pagina_fim", "c.transacoes[0].pagina", "c.transacoes[1].pagina"]
+FAULTY = " UNION ALL ".join(f"SELECT {n} AS r, '{path.replace('c.', 'comunicacoes[0].', 1) if path.startswith('c.') else path}' AS caminho, '{error}' AS erro" for n, (_, _, path, error) in [*enumerate(FAULTS), *((4, ("", "", p, "no such page")) for p in UNPAGED)])
+
+
+@registered(f"SELECT 'd' || lpad(s_suppkey::VARCHAR, 6, '0') AS conjunto, caminho, erro FROM supplier JOIN ({FAULTY}) ON r = s_suppkey % 40")
 def m1_faults(spark, d):
-    return flows.validate_flows(*datasets(spark, d))
+    return tables_of.validate_flows(*datasets(spark, d))
 
 
-@registered("SELECT max('d' || lpad(s_suppkey::VARCHAR, 6, '0')) AS conjunto FROM supplier WHERE s_suppkey % 6 = 0 GROUP BY s_suppkey % 5")
+@registered(f"SELECT max('d' || lpad(s_suppkey::VARCHAR, 6, '0')) AS conjunto FROM supplier WHERE s_suppkey % 40 >= {len(FAULTS)} GROUP BY s_suppkey % 5")
 def m2_loaded(spark, d):
-    return flows.load_flows(*datasets(spark, d)).select("conjunto")
+    return tables_of.load_flows(*datasets(spark, d)).select("conjunto")
+
+
+def block_datasets(spark: SparkSession, d: str, load: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks of fifty customers as datasets: their orders are communications, line items flows and assets. The second load holds every
+    third block, finished orders only; every seventh block of it has a malformed amount."""
+    kept = "true" if load == 1 else "o_orderstatus = 'F' AND o_custkey div 50 % 3 = 0"
+    brl = lambda v: f"replace(translate(format_number({v}, 2), ',.', '.,'), ' ', '')"
+    line = f"named_struct('origem', if(l_linenumber % 2 = 0, null, concat('cpf:', lpad(l_suppkey, 6, '0'))), 'destino', concat('nome:Cliente ', o_custkey), 'valor', if({load} = 2 AND o_custkey div 50 % 7 = 0, '1', {brl('l_extendedprice')}), 'data', date_format(l_shipdate, 'yyyy-MM-dd'), 'tipo', if(l_returnflag = 'R', 'ted', 'pix'), 'natureza', if(l_returnflag = 'R', 'resumo_tipo', 'individual'), 'situacao', if(l_linestatus = 'F', null, 'previsto'), 'quantidade', l_linenumber, 'pagina', o_orderkey, 'trecho', concat('pedido  ', o_orderkey))"
+    lines = t(spark, d, "lineitem").join(t(spark, d, "orders").where(kept), F.col("l_orderkey") == F.col("o_orderkey"))
+    by = ["o_custkey", "o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus"]
+    coms = lines.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", E(line).alias("t"), E("if(l_returnflag = 'R', named_struct('id', concat('b', l_linenumber), 'tipo', 'imovel', 'descricao', concat('lote ', l_partkey)), null)").alias("b")))).alias("l"))
+    com = f"named_struct('secao', 'suspeita', 'numero', cast(o_orderkey AS string), 'titular', concat('nome:Cliente ', o_custkey), 'valor', {brl('o_totalprice')}, 'pagina_inicio', o_orderkey, 'pagina_fim', o_orderkey, 'participacoes', array(named_struct('nome', concat('Cliente ', o_custkey, if(o_orderstatus = 'F', ' S.A.', '')), 'documento', concat('nome:Cliente ', o_custkey), 'papel', 'titular', 'atividade', if(o_orderstatus = 'O', null, o_orderstatus), 'tipo', 'pessoa_juridica')), 'bens', filter(l.b, x -> x is not null), 'transacoes', l.t, 'ocorrencias', array(named_struct('norma', o_orderpriority)))"
+    blocks = coms.groupBy(E("o_custkey div 50").alias("g")).agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", E(com).alias("c")))), lambda s: s["c"]).alias("comunicacoes"))
+    value = F.to_json(F.struct(E("named_struct('tipo', 'rif', 'identificador', cast(g AS string), 'orgao', 'COAF', 'documento', named_struct('endpoint', 'docs', 'id_portal', cast(g AS string)), 'incidente', 7)").alias("fonte"), "comunicacoes"))
+    pages = x(spark, d, "orders", "o_custkey div 50 AS documento_id", "cast(o_orderkey AS int) AS pagina", "concat('o pedido\\n', o_orderkey, ' foi pago') AS texto")
+    known = x(spark, d, "customer", "c_custkey div 50 AS documento_id", "'docs' AS endpoint", "cast(c_custkey div 50 AS string) AS id_portal").distinct()
+    return tables_of.flow_datasets(blocks.select(F.concat(F.lit(f"v{load}-"), F.col("g").cast("string")).alias("conjunto"), value.alias("value"))), pages, known
+
+
+DIGEST = "count(*) AS linhas, sum(('0x' || left(md5({0}), 8))::BIGINT)::BIGINT AS soma"
+BRL = "round({0} * 100)::BIGINT"
+LOADED = f"""k AS (SELECT *, o_custkey // 50 AS g, 'v' || CASE WHEN o_custkey // 50 % 3 = 0 AND o_custkey // 50 % 7 > 0 THEN 2 ELSE 1 END AS v FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+o AS (SELECT * FROM k WHERE v = 'v1' OR o_orderstatus = 'F'), l AS (SELECT * FROM lineitem JOIN o ON l_orderkey = o_orderkey),
+f AS (SELECT g, v || '-' || g AS conjunto FROM o GROUP BY ALL),
+a AS (SELECT o_custkey, arg_min(CASE WHEN o_orderstatus = 'F' THEN ' S.A.' ELSE '' END, o_orderkey) AS fim, coalesce(arg_min(o_orderstatus, o_orderkey) FILTER (o_orderstatus <> 'O'), '-') AS atividade FROM k GROUP BY 1),
+s AS (SELECT DISTINCT l_suppkey FROM lineitem JOIN k ON l_orderkey = o_orderkey WHERE l_linenumber % 2 = 1)"""
+
+
+@registered(f"""WITH {LOADED}
+SELECT 'fontes' AS tabela, {DIGEST.format("g || '|' || conjunto")} FROM f
+UNION ALL SELECT 'comunicacoes', {DIGEST.format(f"g || '|' || o_orderkey || '|' || {BRL.format('o_totalprice')} || '|nome:CLIENTE ' || o_custkey")} FROM o
+UNION ALL SELECT 'participacoes', {DIGEST.format("g || '|nome:CLIENTE ' || o_custkey || '|titular'")} FROM o
+UNION ALL SELECT 'bens', {DIGEST.format("g || '|b' || l_linenumber || '|lote ' || l_partkey")} FROM l WHERE l_returnflag = 'R'
+UNION ALL SELECT 'transacoes', {DIGEST.format(f"g || '|' || CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE 'cpf:' || lpad(l_suppkey::VARCHAR, 6, '0') END || '|nome:CLIENTE ' || o_custkey || '|' || {BRL.format('l_extendedprice')} || '|' || CASE WHEN l_linestatus = 'F' THEN 'efetuado' ELSE 'previsto' END || '|' || l_linenumber || '|' || o_orderkey")} FROM l
+UNION ALL SELECT 'ocorrencias', {DIGEST.format("g || '|' || o_orderpriority")} FROM o
+UNION ALL SELECT 'atores', {DIGEST.format("x")} FROM (SELECT 'nome:CLIENTE ' || o_custkey || '|Cliente ' || o_custkey || fim || '|pessoa_juridica|' || atividade AS x FROM a UNION ALL SELECT 'cpf:' || lpad(l_suppkey::VARCHAR, 6, '0') || '|***.' || left(lpad(l_suppkey::VARCHAR, 6, '0'), 3) || '.' || right(lpad(l_suppkey::VARCHAR, 6, '0'), 3) || '-**|pessoa_fisica|-' FROM s)""")
+def m2_tables(spark, d):
+    """The seven tables after two loads, the second of which replaces some sources, and again after the second has been repeated."""
+    root = folder(spark, "fluxos")
+    for load in (1, 2, 2):
+        tables_of.load(*block_datasets(spark, d, load), root)
+    none = spark.createDataFrame([], "chave string")
+    found = tables_of.tables(spark, root, none)
+    source = found["fontes"].select("fonte", "identificador")
+    texts = {
+        "fontes": "concat_ws('|', identificador, conjunto)", "comunicacoes": "concat_ws('|', identificador, numero, valor_centavos, titular)", "participacoes": "concat_ws('|', identificador, ator, papel)", "bens": "concat_ws('|', identificador, bem, descricao)",
+        "transacoes": "concat_ws('|', identificador, coalesce(origem, '-'), destino, centavos, situacao, quantidade, pagina)", "ocorrencias": "concat_ws('|', identificador, norma)", "atores": "concat_ws('|', chave, nome, tipo, coalesce(atividade, '-'))",
+    }
+    out = None
+    for name, text in texts.items():
+        rows = found[name] if name in ("fontes", "atores") else found[name].join(source, "fonte")
+        one = rows.agg(F.count("*").alias("linhas"), F.sum(E(f"cast(conv(left(md5({text}), 8), 16, 10) AS bigint)")).alias("soma")).select(F.lit(name).alias("tabela"), "linhas", "soma")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @registered("WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS o, CASE l_suppkey % 2 WHEN 0 THEN 'cnpj:' || lpad(l_suppkey::VARCHAR, 14, '7') ELSE 'nome:ACME ' || (l_suppkey % 40) || ' SA' END AS chave, CASE l_suppkey % 2 WHEN 0 THEN 'Empresa ' || l_linenumber ELSE 'Acme ' || (l_suppkey % 40) || ' SA' END AS nome, CASE WHEN l_linenumber > 1 THEN l_returnflag END AS atividade, l_suppkey % 2 AS r, l_suppkey % 40 AS j FROM lineitem) SELECT chave, arg_min(nome, (o, nome)) AS nome, CASE WHEN r = 0 THEN 'pessoa_juridica' ELSE 'desconhecido' END AS tipo, CASE WHEN r = 1 AND j < 30 THEN chave END AS entidade FROM r GROUP BY chave, r, j % 40 * r, CASE WHEN r = 1 AND j < 30 THEN chave END")
@@ -320,9 +411,10 @@ def m3_actors(spark, d):
     return flows.build_actors(refs, known(spark, d)).select("chave", "nome", "tipo", "entidade")
 
 
-@registered("WITH p AS (SELECT DISTINCT l_orderkey AS com, 's' || l_suppkey AS ator, CASE WHEN l_linenumber % 3 = 0 THEN 'vendedor' WHEN l_linenumber % 3 = 1 THEN 'titular' ELSE 'outros' END AS papel FROM lineitem), o AS (SELECT o_orderkey AS com, 's' || (o_custkey % 50) AS titular, round(o_totalprice * 100)::BIGINT AS centavos FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')), h AS (SELECT com, CASE WHEN bool_or(ator = titular AND papel = 'titular') THEN max(titular) ELSE min(ator) FILTER (papel = 'titular') END AS a FROM o JOIN p USING (com) WHERE papel <> 'outros' GROUP BY 1) SELECT DISTINCT o.com AS com_id, h.a, p.ator AS b, o.centavos FROM o JOIN h USING (com) JOIN p ON p.com = o.com WHERE papel <> 'outros' AND h.a IS NOT NULL AND p.ator <> h.a")
+@registered("WITH p AS (SELECT DISTINCT l_orderkey AS com, 's' || l_suppkey AS ator FROM lineitem WHERE l_linenumber % 3 < 2), o AS (SELECT o_orderkey AS com, 's' || (o_custkey % 50) AS titular, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE round(o_totalprice * 100)::BIGINT END AS centavos FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')), h AS (SELECT com, CASE WHEN bool_or(ator = titular) THEN max(titular) ELSE min(ator) END AS a FROM o JOIN p USING (com) WHERE centavos <> 0 GROUP BY 1 HAVING count(*) > 1) SELECT o.com AS com_id, h.a, p.ator AS b, o.centavos FROM o JOIN h USING (com) JOIN p ON p.com = o.com WHERE p.ator <> h.a")
 def m6_undirected(spark, d):
-    coms = x(spark, d, "orders", "o_orderkey AS com_id", "concat('s', o_custkey % 50) AS titular", "if(o_orderkey % 2 = 0, cast(round(o_totalprice * 100) AS bigint), null) AS centavos")
+    """Orders without a returned item: holders and sellers by line, amounts null for odd orders and zero for every fifth."""
+    coms = x(spark, d, "orders", "o_orderkey AS com_id", "concat('s', o_custkey % 50) AS titular", "CASE WHEN o_orderkey % 2 = 1 THEN null WHEN o_orderkey % 5 = 0 THEN 0 ELSE cast(round(o_totalprice * 100) AS bigint) END AS centavos")
     people = x(spark, d, "lineitem", "l_orderkey AS com_id", "concat('s', l_suppkey) AS ator", "CASE l_linenumber % 3 WHEN 0 THEN 'vendedor' WHEN 1 THEN 'titular' ELSE 'outros' END AS papel")
     return flows.undirected_edges(coms, people, t(spark, d, "lineitem").where("l_returnflag = 'R'").select(c("l_orderkey", "com_id")))
 

@@ -122,8 +122,8 @@ def money(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("origem"),
         F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("destino"),
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("centavos"),
-        F.when(F.col("l_returnflag") == "R", flows.SUMMARY).otherwise("transacao_identificada").alias("natureza"),
-        F.when(F.col("l_linestatus") == "F", "pago").otherwise("previsto").alias("status"),
+        F.when(F.col("l_returnflag") == "R", flows.SUMMARY).otherwise("individual").alias("natureza"),
+        F.when(F.col("l_linestatus") == "F", "efetuado").otherwise("previsto").alias("situacao"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("data"),
         F.lit(None).cast("string").alias("periodo_inicio"),
         F.col("l_returnflag").alias("tipo"),
@@ -132,9 +132,9 @@ def money(spark: SparkSession, d: str) -> DataFrame:
 
 
 MONEY = """SELECT 'n' || c_nationkey AS origem, 'n' || s_nationkey AS destino, round(l_extendedprice * 100)::BIGINT AS centavos,
-  CASE WHEN l_returnflag = 'R' THEN 'resumo_tipo' ELSE 'transacao_identificada' END AS natureza, CASE WHEN l_linestatus = 'F' THEN 'pago' ELSE 'previsto' END AS status,
+  CASE WHEN l_returnflag = 'R' THEN 'resumo_tipo' ELSE 'individual' END AS natureza, CASE WHEN l_linestatus = 'F' THEN 'efetuado' ELSE 'previsto' END AS situacao,
   strftime(l_shipdate, '%Y') AS ano FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey"""
-COUNTED = "status = 'pago' AND natureza <> 'resumo_tipo'"
+COUNTED = "situacao = 'efetuado' AND natureza <> 'resumo_tipo'"
 
 
 def m4_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +150,7 @@ def t2_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f5_flows(spark: SparkSession, d: str) -> DataFrame:
-    return filters.filter_flows(money(spark, d), ano="1996", status="pago").groupBy("origem").agg(F.count("*").alias("n"), F.sum("centavos").alias("centavos"))
+    return filters.filter_flows(money(spark, d), ano="1996", status="efetuado").groupBy("origem").agg(F.count("*").alias("n"), F.sum("centavos").alias("centavos"))
 
 
 def g6_cocitation(spark: SparkSession, d: str) -> DataFrame:
@@ -205,7 +205,7 @@ def oracle_sql() -> dict[str, str]:
         "m4_totals": f"WITH m AS ({MONEY}) SELECT ator, sum(e)::BIGINT AS entrada, sum(s)::BIGINT AS saida, count(*) AS n_transacoes FROM ({ends}) GROUP BY 1",
         "m5_edges": f"WITH m AS ({MONEY}) {pairs}",
         "t2_pairs": f"WITH m AS ({MONEY}) SELECT origem, destino, sum(centavos)::BIGINT AS centavos, count(*) AS n FROM m WHERE natureza <> 'resumo_tipo' GROUP BY ALL ORDER BY centavos DESC, origem, destino LIMIT 15",
-        "f5_flows": f"WITH m AS ({MONEY}) SELECT origem, count(*) AS n, sum(centavos)::BIGINT AS centavos FROM m WHERE natureza <> 'resumo_tipo' AND ano = '1996' AND status = 'pago' GROUP BY 1",
+        "f5_flows": f"WITH m AS ({MONEY}) SELECT origem, count(*) AS n, sum(centavos)::BIGINT AS centavos FROM m WHERE natureza <> 'resumo_tipo' AND ano = '1996' AND situacao = 'efetuado' GROUP BY 1",
         "f2_terms": "SELECT doc_id FROM documents WHERE contains(upper(strip_accents(text)), 'THE') AND contains(upper(strip_accents(text)), 'RERE')",
         "g9_distance": "WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'o' || l_orderkey AS b FROM lineitem), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), s AS (SELECT 's1' AS id, 0 AS k UNION SELECT u.b, s.k + 1 FROM s JOIN u ON u.a = s.id WHERE s.k < 6) SELECT id, min(k) AS distancia FROM s GROUP BY 1",
         "x7_pages": r"WITH t AS (SELECT doc_id, list_filter(string_split_regex(upper(strip_accents(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents), n AS (SELECT count(*) AS pages, avg(len(t)) AS mean FROM t), q AS (SELECT unnest(['QUEEN', 'POUR', 'ELLE']) AS q), f AS (SELECT doc_id, len(t) AS n, q, len(list_filter(t, lambda x: x = q)) AS tf FROM t, q), h AS (SELECT * FROM f WHERE tf > 0), d AS (SELECT q, count(*) AS df FROM h GROUP BY 1) SELECT doc_id AS documento_id, round(sum(ln(1 + (pages - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS relevancia FROM h JOIN d USING (q), n GROUP BY 1 ORDER BY sum(ln(1 + (pages - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) DESC, 1 LIMIT 20",

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from dossier.operators import assertions, entities, graph
+from dossier.operators import assertions, flows, entities, graph
 from dossier.plans import chronology
 from dossier.sources import sinks, tabs
 
@@ -154,7 +154,7 @@ def test_speakers(spark):
 
 
 def test_decisions(spark):
-    item = {"pedido": "soltar o réu", "resultado": "deferido", "decisao": "defiro o pedido", "pagina": 1, "trecho_fonte": "Defiro  o pedido"}
+    item = {"pedido": "soltar o réu", "resultado": "deferido", "decisao": "defiro o pedido", "quem_decidiu": "Min. Ana", "pagina": 1, "trecho_fonte": "Defiro  o pedido"}
     data = [(1, json.dumps({"itens": [item, item | {"pagina": 2}, item | {"trecho_fonte": "outro trecho"}]})), (2, json.dumps({"itens": [item | {"resultado": "talvez"}]})), (3, "nada"), (4, None)]
     pages = spark.createDataFrame([(1, 1, "Pelo exposto, DEFIRO o\npedido.")], "documento_id bigint, pagina int, texto string")
     items, status = assertions.validate_decisions(spark.createDataFrame(data, "documento_id bigint, resposta string"), pages)
@@ -163,13 +163,40 @@ def test_decisions(spark):
 
 
 def test_chronology(spark):
-    events = spark.createDataFrame([("2026-01-01", 1, "decisao", "d"), ("2026-01-02", 1, "outros", "o")], "data string, incidente bigint, categoria string, descricao string").withColumn("data", F.to_date("data"))
+    events = spark.createDataFrame([("2026-01-01", 1, "decisao", "Decisão", "d"), ("2026-01-02", 1, "outros", "Juntada", "o"), ("2026-01-03", 2, "decisao", "Voto", None), ("2026-01-04", 9, "decisao", "Voto", "x")], "data string, incidente bigint, categoria string, tipo string, descricao string").withColumn("data", F.to_date("data"))
     dates = spark.createDataFrame([(1, "2025-05-05", 1), (2, "2026-05-05", 2)], "assercao_id bigint, data string, n_datas bigint").withColumn("data", F.to_date("data"))
-    said = spark.createDataFrame([(1, 1, "alegacao", "a"), (2, 1, "alegacao", "b")], "assercao_id bigint, incidente bigint, tipo_epistemico string, texto string")
-    decided = spark.createDataFrame([("2026-02-02", 2, "deferido", "c"), (None, 2, "deferido", "n")], "data string, incidente bigint, resultado string, decisao string").withColumn("data", F.to_date("data"))
+    said = spark.createDataFrame([(1, 1, "alegacao_parte", "a"), (2, 1, "alegacao_parte", "b")], "assercao_id bigint, incidente bigint, tipo_epistemico string, texto string")
+    decided = spark.createDataFrame([("2026-02-02", 2, "deferido", "soltar", "solto"), (None, 2, "deferido", "p", "n")], "data string, incidente bigint, resultado string, pedido string, decisao string").withColumn("data", F.to_date("data"))
     got, totals = chronology.chronology(events, dates, said, decided, cases(spark), ["decisao"], "2026-01-01")
-    assert rows(got, "fonte", "processo", "texto", "contexto") == [("assercao", "Pet 100", "a", "referencia"), ("decisao", "Inq 200", "c", "caso"), ("portal", "Pet 100", "d", "caso")]
-    assert rows(totals, "fonte", "n") == [("assercao", 1), ("decisao", 1), ("portal", 1)]
+    want = [("documento", "assercao", "alegacao_parte", "Pet 100", "a", "referencia"), ("documento", "decisao", "deferido", "Inq 200", "soltar → solto", "caso"), ("portal", "andamento", "decisao", "Inq 200", "Voto", "caso"), ("portal", "andamento", "decisao", "Pet 100", "Decisão — d", "caso")]
+    assert rows(got, "fonte", "tipo", "classe", "processo", "texto", "contexto") == want
+    assert rows(totals, "fonte", "n") == [("documento", 2), ("portal", 2)]
+
+
+def test_statements(spark):
+    """Each word of the reference's lists is taken, others reject the whole response."""
+    item = {"tipo_epistemico": "alegacao_parte", "texto": "t", "pagina": 1, "trecho_fonte": "Pelo", "entidades": [{"nome": "Ana", "tipo": "orgao_publico"}]}
+    good = [item, item | {"tipo_epistemico": "fundamento_decisorio"}, item | {"pagina": "1"}, item | {"pagina": 1.0, "entidades": []}]
+    bad = [{"tipo_epistemico": "alegacao"}, {"texto": ""}, {"trecho_fonte": ""}, {"pagina": 0}, {"pagina": True}, {"pagina": None}, {"entidades": None}, {"entidades": [{"nome": "Ana", "tipo": "zzz"}]}, {"entidades": [{"nome": "", "tipo": "pessoa"}]}, {"atribuida_a": 3}]
+    data = [(0, json.dumps({"assercoes": good, "observacoes": None}))] + [(i, json.dumps({"assercoes": [item, item | x]})) for i, x in enumerate(bad, 1)] + [(99, json.dumps({"assercoes": [item], "observacoes": 1}))]
+    pages = spark.createDataFrame([(i, 1, "Pelo exposto") for i, _ in data], "documento_id bigint, pagina int, texto string")
+    items, status = assertions.validate_assertions(spark.createDataFrame(data, "documento_id bigint, resposta string"), pages)
+    assert items.where("motivo is null").count() == 4
+    assert {r.documento_id for r in status.where("status = 'rejeitada:schema'").collect()} == {i for i, _ in data[1:]}
+    item = {"pedido": "soltar", "decisao": "defiro", "quem_decidiu": "AB", "pagina": 1, "trecho_fonte": "Pelo"}
+    bad = [{"resultado": "determinado"}, {"resultado": "outro", "quem_decidiu": "A"}, {"resultado": "outro", "quem_decidiu": None}, {"resultado": "outro", "condicoes": None}, {"resultado": "outro", "trecho_fonte": "Pe"}, {"resultado": "outro", "pagina": 0}]
+    data = [(0, json.dumps({"itens": [item | {"resultado": r} for r in assertions.RESULTS]}))] + [(i, json.dumps({"itens": [item | x]})) for i, x in enumerate(bad, 1)]
+    status = assertions.validate_decisions(spark.createDataFrame(data, "documento_id bigint, resposta string"), pages)[1]
+    assert rows(status, "documento_id", "validas") == [(0, 10), *((i, 0) for i in range(1, len(data)))]
+
+
+def test_undirected(spark):
+    """Holders and sellers are tied to one of them; an amount of zero, one party alone and communications with flows give nothing."""
+    coms = spark.createDataFrame([(1, "b", 5), (2, "z", 5), (3, "a", 0), (4, "a", 5), (5, "a", 5), (6, "a", None)], "com_id bigint, titular string, centavos bigint")
+    people = [(k, a, p) for k in (1, 2, 3, 5, 6) for a, p in (("a", "vendedor"), ("b", "vendedor"), ("c", "titular"), ("d", "outros"), ("a", "titular"))] + [(4, "a", "titular"), (4, "d", "outros")]
+    parts = spark.createDataFrame(people, "com_id bigint, ator string, papel string")
+    got = flows.undirected_edges(coms, parts, spark.createDataFrame([(5,)], "com_id bigint"))
+    assert rows(got, "com_id", "a", "b") == [(1, "b", "a"), (1, "b", "c"), (2, "a", "b"), (2, "a", "c")]
 
 
 def test_event_payload(spark):
