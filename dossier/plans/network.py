@@ -497,7 +497,7 @@ def q1_ingested(spark, d):
     path = folder(spark, "stream")
     rows = x(spark, d, "events", "'r' AS coleta_id", "user_id AS incidente", "if(event_type = 'view', 'andamentos', event_type) AS aba", "event_id AS sid", "cast(event_id % 100 AS int) AS posicao", "event_type AS tipo", "props AS descricao", "props AS hash_natural")
     rows.repartition(3, "sid").write.json(f"{path}/in")
-    rows.where("sid % 3 = 0").coalesce(1).write.mode("append").json(f"{path}/in")
+    rows.where("sid % 3 = 0").repartition(2, "sid").write.mode("append").json(f"{path}/in")
     ingest.stream_ingest(spark, f"{path}/in", f"{path}/facts", f"{path}/state").awaitTermination()
     return ingest.facts(spark, f"{path}/facts").select("hash_natural", "snapshot_first_seen", "snapshot_last_seen", "posicao")
 

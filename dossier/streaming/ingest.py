@@ -1,16 +1,21 @@
 """Registries that grow: each new file's observations are folded into the tables; a file that comes again changes nothing.
 
-A batch writes a folder of its own (lote=N) and never rewrites another's: a batch that is run again writes the same folder. What
-readers see is put together from the folders when they read.
+Facts are partial folds that readers merge. Changes come from a state for each case, kept by Spark: a batch costs what it holds and the
+runs next to its own, however many runs there have been. Both write through batches, whose folders compact_* fold together.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
-from dossier.operators.diff import diff_runs
+from dossier.streaming import batches
 
 OBSERVATIONS = "coleta_id string, incidente bigint, aba string, sid bigint, posicao int, tipo string, descricao string, hash_natural string"
 ITEMS = "incidente bigint, coleta_id string, lista string, posicao int, hash_natural string, item string"
@@ -18,20 +23,10 @@ PLACE = "struct<sid:bigint,posicao:int>"
 PARTIAL = f"hash_natural string, first_at {PLACE}, whole_at {PLACE}, tipo string, descricao string"
 #: The tab that is a whole list; others hold a part of it and don't move the last sight.
 FULL_TAB = "andamentos"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def parts(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """All batches' rows in a folder, with lote; none if no batch has come yet."""
-    try:
-        return spark.read.schema(f"{schema}, lote bigint").parquet(folder)
-    except Exception as e:  # noqa: BLE001  the first batch finds no folder
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], f"{schema}, lote bigint")
-
-
-def put(df: DataFrame, folder: str, batch: int) -> None:
-    df.write.mode("overwrite").parquet(f"{folder}/lote={batch}")
+# ------------------------------------------------------------ facts
 
 
 def fold(observations: DataFrame) -> DataFrame:
@@ -41,68 +36,154 @@ def fold(observations: DataFrame) -> DataFrame:
     return observations.groupBy("hash_natural").agg(F.min(at).alias("first_at"), whole.alias("whole_at"), F.min_by("tipo", at).alias("tipo"), F.min_by("descricao", at).alias("descricao"))
 
 
+def folded(partial: DataFrame) -> DataFrame:
+    """Partial results as one a hash: minima and maxima, so order, splits and repetition don't matter."""
+    return partial.groupBy("hash_natural").agg(F.min("first_at").alias("first_at"), F.max("whole_at").alias("whole_at"), F.min_by("tipo", "first_at").alias("tipo"), F.min_by("descricao", "first_at").alias("descricao"))
+
+
 def merged(partial: DataFrame) -> DataFrame:
-    """Partial results as one row a hash, as seen.upsert_seen gives it: minima and maxima, so order, splits and repetition don't matter."""
-    out = partial.groupBy("hash_natural").agg(F.min("first_at").alias("f"), F.max("whole_at").alias("w"), F.min_by("tipo", "first_at").alias("tipo"), F.min_by("descricao", "first_at").alias("descricao"))
-    last = F.coalesce("w", "f")
-    return out.select("hash_natural", F.col("f.sid").alias("snapshot_first_seen"), last["sid"].alias("snapshot_last_seen"), last["posicao"].alias("posicao"), "tipo", "descricao")
+    """Partial results as one row a hash, as seen.upsert_seen gives it."""
+    last = F.coalesce("whole_at", "first_at")
+    return folded(partial).select("hash_natural", F.col("first_at.sid").alias("snapshot_first_seen"), last["sid"].alias("snapshot_last_seen"), last["posicao"].alias("posicao"), "tipo", "descricao")
 
 
 def facts(spark: SparkSession, target: str) -> DataFrame:
     """The table of facts that stream_ingest has gathered so far."""
-    return merged(parts(spark, target, PARTIAL))
+    return merged(batches.read(spark, target, PARTIAL))
+
+
+def compact_facts(spark: SparkSession, target: str) -> int | None:
+    return batches.compact(spark, target, PARTIAL, folded)
 
 
 def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
     """Starts a query that folds new files of observations (JSON lines) into partial tables under target, then stops. See facts."""
 
     def each(batch: DataFrame, n: int) -> None:
-        put(fold(batch), target, n)
+        batches.put(fold(batch), target, n)
 
     rows = spark.readStream.schema(OBSERVATIONS).option("maxFilesPerTrigger", 1).json(source)
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def neighbours(new: DataFrame, runs: DataFrame) -> DataFrame:
-    """Pairs (incidente, anterior, coleta_id) of consecutive runs of which one is new: a run that comes late parts its
-    neighbours, so it meets the one before it and the one behind it meets it. Only cases with a new run are looked at."""
-    own = runs.join(new.select("incidente").distinct(), "incidente", "left_semi").unionByName(new).distinct()
-    fresh = new.select("incidente", F.col("coleta_id").alias("nova"))
-    met = fresh.join(own, "incidente")
-    before = met.where("coleta_id < nova").groupBy("incidente", "nova").agg(F.max("coleta_id").alias("anterior")).select("incidente", "anterior", F.col("nova").alias("coleta_id"))
-    behind = met.where("coleta_id > nova").groupBy("incidente", "nova").agg(F.min("coleta_id").alias("coleta_id")).select("incidente", F.col("nova").alias("anterior"), "coleta_id")
-    # Of two new runs side by side both name the pair; between two of them none is skipped, since own holds them all.
-    return before.unionByName(behind).distinct()
+# ------------------------------------------------------------ changes
+
+#: A row of a comparison; efeito is null in the one row that says that a pair was compared. versao counts a case's comparisons.
+CHANGES = "incidente bigint, anterior string, coleta_id string, lista string, efeito string, hash_natural string, item string, posicao int, versao bigint"
+_NAMES = [f.split()[0] for f in CHANGES.split(", ")]
+Held = dict[str, dict[str, tuple[str, int]]]  # list: hash: (item, place)
+
+
+def compared(old: Held, new: Held) -> Iterator[tuple[str, str, str, str, int]]:
+    """(list, effect, hash, item, place) of what appeared and disappeared, in the lists that both runs have."""
+    for name in old.keys() & new.keys():
+        for effect, here, there in (("apareceu", new[name], old[name]), ("sumiu", old[name], new[name])):
+            for h, (item, place) in here.items():
+                if h not in there:
+                    yield name, effect, h, item, place
+
+
+class Comparisons(StatefulProcessor):
+    """A case's runs as state, each by its id; new runs are compared with the runs next to them in time.
+
+    A run that comes late parts two that were compared before: both its pairs are compared, and the later comparison of a run counts.
+    With `quiet`, a timer fires when a case had no new run for so many milliseconds: all its runs but the last are let go, and runs that
+    come later still but lie before it are only compared with those that came since.
+    """
+
+    def __init__(self, quiet: int | None = None) -> None:
+        self.quiet = quiet
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.runs = handle.getMapState("runs", "coleta_id string", "itens string")
+        self.count = handle.getValueState("comparisons", "versao bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        came: dict[str, Held] = {}
+        for pdf in rows:
+            for run, name, place, h, item in zip(pdf["coleta_id"], pdf["lista"], pdf["posicao"], pdf["hash_natural"], pdf["item"], strict=True):
+                own = came.setdefault(run, {}).setdefault(name, {})
+                at = None if pd.isna(place) else int(place)
+                if h not in own or (at is not None and (own[h][1] is None or at < own[h][1])):
+                    own[h] = (item, at)
+        order = sorted({k[0] for k in self.runs.keys()} | came.keys())  # noqa: SIM118
+        known: dict[str, Held] = {}
+
+        def held(run: str) -> Held:
+            if run not in known:
+                known[run] = json.loads(self.runs.getValue((run,))[0]) if self.runs.containsKey((run,)) else {}
+            return known[run]
+
+        changed = set()
+        for run, lists in came.items():
+            before = json.dumps(own := held(run))
+            for name, items in lists.items():
+                for h, x in items.items():
+                    own.setdefault(name, {}).setdefault(h, x)
+            if (now := json.dumps(own)) != before:
+                self.runs.updateValue((run,), (now,))
+                changed.add(run)
+        places = {r: i for i, r in enumerate(order)}
+        pairs = sorted({(i, i + 1) for r in changed for i in (places[r] - 1, places[r]) if 0 <= i < len(order) - 1})
+        if pairs:
+            n = (self.count.get()[0] if self.count.exists() else 0) + 1
+            self.count.update((n,))
+            out = []
+            for i, j in pairs:
+                same = (key[0], order[i], order[j])
+                out.append((*same, None, None, None, None, None, n))
+                out += [(*same, name, effect, h, item, place, n) for name, effect, h, item, place in compared(held(order[i]), held(order[j]))]
+            frame = pd.DataFrame(out, columns=_NAMES)
+            yield frame.astype({"posicao": "Int32"})
+        if self.quiet is not None and changed:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for run in sorted(k[0] for k in self.runs.keys())[:-1]:  # noqa: SIM118
+            self.runs.removeKey((run,))
+        yield pd.DataFrame(columns=_NAMES)
+
+    def close(self) -> None:
+        pass
+
+
+def _last(rows: DataFrame) -> DataFrame:
+    """Of each run of a case the rows of its last comparison."""
+    last = rows.groupBy("incidente", "coleta_id").agg(F.max("versao").alias("versao"))
+    return rows.join(last, ["incidente", "coleta_id", "versao"], "left_semi").select(_NAMES)
 
 
 def changes(spark: SparkSession, target: str) -> DataFrame:
     """The change rows of each run against the one before it, as far as the runs have come: of a run that was compared twice,
     since another came between, the later comparison counts."""
-    pairs = parts(spark, f"{target}/pares", "incidente bigint, anterior string, coleta_id string")
-    last = pairs.groupBy("incidente", "coleta_id").agg(F.max("lote").alias("lote"))
-    rows = parts(spark, f"{target}/changes", "incidente bigint, anterior string, coleta_id string, lista string, efeito string, hash_natural string, item string, posicao int")
-    return rows.join(last, ["incidente", "coleta_id", "lote"], "left_semi")
+    return _last(batches.read(spark, target, CHANGES)).where("efeito is not null").drop("versao")
+
 
+def compact_changes(spark: SparkSession, target: str) -> int | None:
+    return batches.compact(spark, target, CHANGES, _last)
 
-def stream_changes(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Starts a query that compares each new run (a file of list items) with its neighbours in time of the same case.
 
-    Under target: itens, each batch's items; runs, which batch has a run's items; pares, the pairs compared; changes, their rows.
-    A batch reads only the items of batches that hold a run it compares. Read the result with changes().
+def stream_changes(spark: SparkSession, source: str, target: str, checkpoint: str, quiet: int | None = None) -> StreamingQuery:
+    """Starts a query that compares each new run (a file of list items) with its neighbours in time of the same case, then stops; with
+    quiet it goes on until it is stopped, since its timers want a batch even where no file comes.
+
+    The runs are kept as state in RocksDB under the checkpoint, so a query that is started again goes on where it ended; a file that
+    comes twice changes nothing. Items of a run with the same hash in a list count once, at their first place; rows without case, run,
+    list or hash are left out. Read the result with changes(). See Comparisons for quiet.
     """
-    runs = "incidente bigint, coleta_id string"
+    rows = spark.readStream.schema(ITEMS).option("maxFilesPerTrigger", 1).json(source).dropna(subset=["incidente", "coleta_id", "lista", "hash_natural"])
+    found = rows.groupBy("incidente").transformWithStateInPandas(Comparisons(quiet), CHANGES, "Append", "None" if quiet is None else "ProcessingTime")
 
     def each(batch: DataFrame, n: int) -> None:
-        put(batch, f"{target}/itens", n)
-        put(batch.select("incidente", "coleta_id").distinct(), f"{target}/runs", n)
-        known = parts(spark, f"{target}/runs", runs).where(F.col("lote") <= n)
-        new = known.where(F.col("lote") == n).select("incidente", "coleta_id")
-        put(neighbours(new, known.select("incidente", "coleta_id").distinct()), f"{target}/pares", n)
-        pairs = parts(spark, f"{target}/pares", f"{runs}, anterior string").where(F.col("lote") == n).drop("lote")
-        wanted = pairs.select("incidente", "coleta_id").union(pairs.select("incidente", "anterior")).distinct()
-        held = [r["lote"] for r in known.join(wanted, ["incidente", "coleta_id"], "left_semi").select("lote").distinct().collect()]  # batches
-        items = parts(spark, f"{target}/itens", ITEMS).where(F.col("lote").isin(held)).drop("lote").join(wanted, ["incidente", "coleta_id"], "left_semi").distinct()
-        put(diff_runs(pairs, items), f"{target}/changes", n)
-
-    rows = spark.readStream.schema(ITEMS).option("maxFilesPerTrigger", 1).json(source)
-    return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batches.put(batch, target, n)
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:  # a query keeps the settings that it starts with
+        query = found.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+        return (query.trigger(availableNow=True) if quiet is None else query.trigger(processingTime="1 second")).start()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before) if before else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")

@@ -4,7 +4,7 @@ import json
 import shutil
 
 from dossier.operators import datasets, flows
-from dossier.streaming.ingest import stream_changes
+from dossier.streaming.ingest import changes, stream_changes
 
 
 PAGE = "IGREJA TESTE 57.391.420/0001-63 Titular\nFULANO DA SILVA 027.818.816-86 Remetente\n26 lançamento(s)\nno total de: R$19.205.000,00"
@@ -132,5 +132,5 @@ def test_stream_of_changes(spark, tmp_path):
         (tmp_path / "in" / f"{k}.json").write_text("\n".join(map(json.dumps, lines)))
     for _ in range(2):  # started again, it finds nothing new
         stream_changes(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/t", f"file://{tmp_path}/c").awaitTermination()
-    got = spark.read.parquet(f"file://{tmp_path}/t/changes")
+    got = changes(spark, f"file://{tmp_path}/t")
     assert {(r.efeito, r.anterior, r.coleta_id, r.hash_natural) for r in got.collect()} == {("sumiu", "r1", "r2", "hash_natural0"), ("apareceu", "r1", "r2", "hash_natural2")}

@@ -2,13 +2,15 @@
 
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from dossier.operators.diff import diff_runs, previous_run
 from dossier.operators.seen import upsert_seen
-from dossier.streaming.ingest import ITEMS, OBSERVATIONS, changes, facts, stream_changes, stream_ingest
+from dossier.streaming import batches
+from dossier.streaming.ingest import ITEMS, OBSERVATIONS, changes, compact_changes, compact_facts, facts, stream_changes, stream_ingest
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -41,3 +43,100 @@ def test_changes_in_any_order_of_files(spark, tmp_path, order):
     want = diff_runs(previous_run(items.select("incidente", "coleta_id").distinct()), items)
     assert got == sorted(tuple(r) for r in want.select(*names).collect())
     assert len(got) == 10
+
+
+def given(folder, name, rows, at):
+    path = folder / f"{name}.json"
+    path.write_text("\n".join(json.dumps(r) for r in rows))
+    os.utime(path, (1_700_000_000 + 60 * at,) * 2)
+
+
+def run(case, name, own, tab="andamentos"):
+    return [{"incidente": case, "coleta_id": name, "lista": tab, "posicao": p, "hash_natural": h, "item": h * 2} for p, h in enumerate(own)]
+
+
+def told(spark, target):
+    return sorted(tuple(r) for r in changes(spark, target).select("incidente", "anterior", "coleta_id", "lista", "efeito", "hash_natural").collect())
+
+
+def batch(spark, rows):
+    items = spark.createDataFrame([tuple(r.values()) for r in rows], ITEMS)
+    want = diff_runs(previous_run(items.select("incidente", "coleta_id").distinct()), items)
+    return sorted(tuple(r) for r in want.select("incidente", "anterior", "coleta_id", "lista", "efeito", "hash_natural").collect())
+
+
+def test_state_outlives_the_query(spark, tmp_path):
+    """Runs that come before and after a restart and between others; a run in two files; a file that comes twice; compaction between."""
+    (tmp_path / "in").mkdir()
+    source, target, state = (f"file://{tmp_path}/{x}" for x in ("in", "t", "c"))
+    start = lambda: stream_changes(spark, source, target, state).awaitTermination()
+    rows = [*run(1, "r1", "ab"), *run(1, "r5", "xyz"), *run(2, "r1", "q"), *run(1, "r1", "m", "partes"), *run(1, "r5", "n", "partes")]
+    given(tmp_path / "in", "a", rows, 0)
+    start()
+    assert told(spark, target) == batch(spark, rows)
+    late = [*run(1, "r3", "bx"), *run(2, "r2", "")]
+    given(tmp_path / "in", "b", late, 1)
+    given(tmp_path / "in", "again", rows, 2)
+    start()
+    rows += late
+    assert told(spark, target) == batch(spark, rows)
+    assert compact_changes(spark, target) == 2
+    assert compact_changes(spark, target) is None
+    assert told(spark, target) == batch(spark, rows)
+    more = [*run(1, "r3", "abc")[2:], *run(1, "r2", "a"), *run(3, "r1", "a"), *run(3, "r2", "b")]
+    given(tmp_path / "in", "c", more, 3)
+    start()
+    rows += more
+    assert told(spark, target) == batch(spark, rows)
+    assert len(batches.read(spark, target, "incidente bigint").select("lote").distinct().collect()) == 2  # the base and one batch
+    compact_changes(spark, target)
+    assert told(spark, target) == batch(spark, rows)
+    assert sorted(os.listdir(tmp_path / "t")) == ["base=2", "base=3", "lote=3"]
+
+
+def test_quiet_cases_let_go_of_their_runs(spark, tmp_path):
+    """After the timer the runs but the last are gone, so a late one meets that alone."""
+    (tmp_path / "in").mkdir()
+    source, target, state = (f"file://{tmp_path}/{x}" for x in ("in", "t", "c"))
+    given(tmp_path / "in", "a", [*run(1, "r1", "a"), *run(1, "r3", "b")], 0)
+    query = stream_changes(spark, source, target, state, quiet=1)
+    until(lambda: len(told(spark, target)) == 2 and len(os.listdir(tmp_path / "t")) > 3)  # batches without a file fire the timer
+    given(tmp_path / "in", "c", [*run(1, "r2", "c"), *run(1, "r4", "d")], 2)
+    until(lambda: {("r2", "r3"), ("r3", "r4")} <= {r[1:3] for r in told(spark, target)})
+    query.stop()
+    assert ("r1", "r2") not in {r[1:3] for r in told(spark, target)}
+
+
+def until(test, seconds=60):
+    end = time.time() + seconds
+    while not test():
+        assert time.time() < end
+        time.sleep(0.5)
+
+
+def test_compacted_facts(spark, tmp_path):
+    """Reads cost the base and what came since; the facts stay those of all batches."""
+    (tmp_path / "in").mkdir()
+    source, target, state = (f"file://{tmp_path}/{x}" for x in ("in", "t", "c"))
+    assert facts(spark, target).count() == 0 and compact_facts(spark, target) is None
+    rows = []
+    for k in range(6):
+        own = [{"coleta_id": f"r{k}", "incidente": 1, "aba": "decisoes" if k == 3 else "andamentos", "sid": k, "posicao": p, "tipo": f"t{k}", "descricao": f"d{h}", "hash_natural": f"h{h}"} for p, h in enumerate(range(k % 4, k % 4 + 3))]
+        rows += own
+        given(tmp_path / "in", k, own, k)
+        stream_ingest(spark, source, target, state).awaitTermination()
+        if k in (1, 4):
+            assert compact_facts(spark, target) == k
+    names = "hash_natural", "snapshot_first_seen", "snapshot_last_seen", "posicao"
+    want = upsert_seen(spark.createDataFrame([tuple(r.values()) for r in rows], OBSERVATIONS), full=F.col("aba") == "andamentos")
+    assert {tuple(r) for r in facts(spark, target).select(*names).collect()} == {tuple(r) for r in want.select(*names).collect()}
+    assert sorted(x for x in os.listdir(tmp_path / "t")) == ["base=1", "base=4", "lote=2", "lote=3", "lote=4", "lote=5"]
+
+
+def test_a_base_without_its_mark_is_not_read(spark, tmp_path):
+    target = f"file://{tmp_path}/t"
+    for n in range(2):
+        batches.put(spark.range(n, n + 1), target, n)
+    batches.compact(spark, target, "id bigint", lambda df: df)
+    os.remove(tmp_path / "t" / "base=1" / "_SUCCESS")
+    assert sorted(r.lote for r in batches.read(spark, target, "id bigint").collect()) == [0, 1]
