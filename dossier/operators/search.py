@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +28,8 @@ def search_events(events: DataFrame, query: str, limit: int = 50) -> DataFrame:
     return hit.withColumn("trecho", snippet(F.col("descricao"), query)).orderBy(F.desc_nulls_last("data"), "andamento_id").limit(limit)
 
 
-def search_pages(pages: DataFrame, query: str, limit: int = 50, key: tuple[str, ...] = ("documento_id", "pagina")) -> DataFrame:
-    """The pages most relevant to the query by BM25 (k1 1.2, b 0.75); only postings of its words are scored."""
-    counted = pages.select(*key, tokens(F.col("texto")).alias("_t")).withColumn("n", F.size("_t"))
-    whole = counted.agg(F.count("*").alias("pages"), F.avg("n").alias("mean"))
-    wanted = query_tokens(query)
-    postings = counted.select(*key, "n", F.explode(F.filter("_t", lambda t: F.array_contains(wanted, t))).alias("t")).groupBy(*key, "n", "t").agg(F.count("*").alias("tf"))
+def bm25(postings: DataFrame, whole: DataFrame, key: Sequence[str], limit: int) -> DataFrame:
+    """Rows (key, relevancia) from postings (key, t, tf, n) of a question's words and one row (pages, mean) about all texts."""
     often = postings.groupBy("t").agg(F.count("*").alias("df"))
     joined = postings.join(F.broadcast(often), "t").join(F.broadcast(whole))  # one row a word of the query, and one row
     idf = F.log(1 + (F.col("pages") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -39,14 +37,42 @@ def search_pages(pages: DataFrame, query: str, limit: int = 50, key: tuple[str,
     return joined.groupBy(*key).agg(F.sum(score).alias("relevancia")).orderBy(F.desc("relevancia"), *key).limit(limit)
 
 
+def search_pages(pages: DataFrame, query: str, limit: int = 50, key: tuple[str, ...] = ("documento_id", "pagina")) -> DataFrame:
+    """The pages most relevant to the query by BM25 (k1 1.2, b 0.75); only postings of its words are scored. For more than one question
+    on the same pages see postings."""
+    counted = pages.select(*key, tokens(F.col("texto")).alias("_t")).withColumn("n", F.size("_t"))
+    whole = counted.agg(F.count("*").alias("pages"), F.avg("n").alias("mean"))
+    wanted = query_tokens(query)
+    postings = counted.select(*key, "n", F.explode(F.filter("_t", lambda t: F.array_contains(wanted, t))).alias("t")).groupBy(*key, "n", "t").agg(F.count("*").alias("tf"))
+    return bm25(postings, whole, key, limit)
+
+
+def edits(letters: int, fuzz: float = 0.1) -> int:
+    """How many edits a question's word of so many letters allows."""
+    return int(letters * fuzz + 0.5)
+
+
+def deletions(word: Column) -> Column:
+    """The word, and the word without each of its letters: two words one edit apart share one of these."""
+    cut = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+    return F.array_distinct(F.concat(F.array(word), F.when(F.length(word) > 0, cut).otherwise(F.array().cast("array<string>"))))
+
+
 def search_prefix_fuzzy(rows: DataFrame, query: str, limit: int = 100, key: str = "id", fuzz: float = 0.1) -> DataFrame:
     """Rows (id, tipo, texto) of which a word starts with a word of the query or lies within a tenth of its length in edits.
 
-    The vocabulary is matched first, then its postings; the score counts the query's words that were met.
+    Words one edit apart meet by what is left of both without a letter; for more edits, which need fifteen letters, words of about the
+    length are compared. The score counts the query's words that were met. For more than one question see postings.
     """
     postings = rows.select(key, F.explode(F.array_distinct(tokens(F.col("texto")))).alias("t"))
-    words = postings.select("t").distinct().withColumn("q", F.explode(query_tokens(query)))
-    near = F.startswith("t", F.col("q")) | (F.levenshtein("t", "q") <= F.round(F.length("q") * fuzz))
-    met = postings.join(words.where(near), "t").groupBy(key).agg(F.count_distinct("q").alias("pontos"))
+    words = postings.select("t").distinct()
+    asked = rows.sparkSession.range(1).select(F.explode(query_tokens(query)).alias("q")).withColumn("k", F.floor(F.length("q") * fuzz + 0.5).cast("int"))
+    asked = F.broadcast(asked)  # a question's words
+    prefix = words.join(asked, F.startswith("t", F.col("q"))).select("t", "q")
+    left = words.withColumn("v", F.explode(deletions(F.col("t"))))
+    one = left.join(F.broadcast(asked.where("k = 1").withColumn("v", F.explode(deletions(F.col("q"))))), "v").where("levenshtein(t, q) <= 1").select("t", "q")
+    more = words.join(asked.where("k > 1"), F.length("t").between(F.length("q") - F.col("k"), F.length("q") + F.col("k"))).where("levenshtein(t, q) <= k").select("t", "q")
+    near = prefix.union(one).union(more).distinct()
+    met = postings.join(near, "t").groupBy(key).agg(F.count_distinct("q").alias("pontos"))
     best = met.orderBy(F.desc("pontos"), key).limit(limit)
     return rows.join(F.broadcast(best), key).withColumn("trecho", snippet(F.col("texto"), query)).select(key, "tipo", "pontos", "trecho")

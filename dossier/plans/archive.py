@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.operators import assertions, diff, documents, entities, flows, graph, references, reports, search, seen
+from dossier.functions import text
+from dossier.operators import assertions, diff, documents, entities, flows, graph, postings, references, reports, search, seen
 from dossier.plans import chronology
 from dossier.plans.queries import COUNTED, MONEY, money, t
+from dossier.sources.shared import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -273,7 +275,9 @@ def m6_flow_counts(spark, d):
 @registered("SELECT event_id AS andamento_id FROM events WHERE event_type = 'purchase' AND list_contains(regexp_extract_all(props, '[0-9]+'), '42') ORDER BY ts::DATE DESC, event_id LIMIT 50")
 def x6_events(spark, d):
     rows = t(spark, d, "events").select(c("event_id", "andamento_id"), c("event_type", "tipo"), c("props", "descricao"), F.to_date("ts").alias("data"))
-    return search.search_events(rows, "purchase 42").select("andamento_id")
+    found = postings.Postings(spark, folder(spark, "events"), "andamento_id bigint")
+    found.append(rows, F.concat_ws(" ", "tipo", "descricao"))
+    return found.events(rows, "purchase 42").select("andamento_id")
 
 
 @registered("WITH w AS (SELECT p_partkey AS id, string_split(lower(p_name), ' ') AS w FROM part), s AS (SELECT id, len(list_filter(w, lambda x: starts_with(x, 'smal'))) > 0 AS a, len(list_filter(w, lambda x: starts_with(x, 'wid'))) > 0 AS b FROM w) SELECT id, a::BIGINT + b::BIGINT AS pontos FROM s WHERE a OR b ORDER BY 2 DESC, 1 LIMIT 100")
@@ -281,6 +285,20 @@ def x8_prefix(spark, d):
     return search.search_prefix_fuzzy(t(spark, d, "part").select(c("p_partkey", "id"), F.lit("peca").alias("tipo"), c("p_name", "texto")), "smal wid").select("id", "pontos")
 
 
+NEARLY = "WITH d AS (SELECT doc_id, upper(regexp_replace(strip_accents(text), '[^A-Za-z]+', ' ', 'g')) AS texto FROM documents WHERE text IS NOT NULL), w AS (SELECT DISTINCT doc_id AS id, w FROM (SELECT doc_id, unnest(string_split(texto, ' ')) AS w FROM d) WHERE w <> ''), q AS (SELECT unnest({0}) AS q), m AS (SELECT id, q FROM w JOIN q ON starts_with(w, q) OR levenshtein(w, q) <= floor(length(q) * 0.1 + 0.5)) SELECT id, count(DISTINCT q) AS pontos FROM m GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100"
+#: Misspelt words of the texts: a letter missing, changed, added; two edits in one of sixteen letters; one that begins a word.
+MISSPELT = ["DISGUSTNG", "FORRENDSTEX", "LALEENNELLE", "THANONONTIONNERS", "INSTAN"]
+
+
+@registered(NEARLY.format(MISSPELT))
+def x8_fuzzy(spark, d):
+    """Documents, letters without accents, by words near the question's: one edit or, from fifteen letters on, two."""
+    rows = t(spark, d, "documents").where("text is not null").select(c("doc_id", "id"), F.lit("d").alias("tipo"), F.regexp_replace(text.without_marks(c("text", "texto")), "[^A-Za-z]+", " ").alias("texto"))
+    found = postings.Postings(spark, folder(spark, "fuzzy"), "id bigint")
+    found.append(rows, F.col("texto"))
+    return found.fuzzy(rows, " ".join(MISSPELT)).select("id", "pontos")
+
+
 @registered("SELECT ts::DATE AS data, count(*) AS n FROM events GROUP BY 1")
 def y4_days(spark, d):
     rows = t(spark, d, "events").select(F.to_date("ts").alias("data"), c("user_id", "incidente"), c("event_id", "posicao"), c("event_type", "tipo"))
