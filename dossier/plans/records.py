@@ -124,6 +124,43 @@ def s6_petitions(spark, d):
     return got.select("sid", "numero", c("p.data_peticionamento", "peticionado"), F.date_format("p.recebido_em", "yyyy-MM-dd HH:mm:ss").alias("recebido"), c("p.recebido_por", "por"))
 
 
+@registered("SELECT o_orderkey AS sid, k AS posicao, o_custkey || '/' || k AS numero, 'GAB ' || o_orderstatus AS enviado_por, o_orderdate::DATE AS data_envio, CASE WHEN k = 1 THEN o_custkey || '/2024' END AS guia, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate::DATE + 1 END AS recebido_em FROM orders, (SELECT unnest([0, 1]) AS k)")
+def s6_movements(spark, d):
+    """Two movements a page, their details in several elements, the last of which may be missing; elements are left open."""
+    one = lambda k, guide: f"'<div class=lista-dados><br/><SPAN class=\"x processo-detalhes-bold\">', o_custkey, '/{k}</span><p><span class=\"processo-detalhes\">Enviado por <b>GAB</b> ', o_orderstatus, ' em ', {br('o_orderdate')}, '</span>', {guide}, if(o_orderkey % 3 = 0, concat('<span class=\"processo-detalhes\">Recebido em ', {br('date_add(o_orderdate, 1)')}, '</span>'), ''), '<p>x < y</div>'"
+    guide_html = "concat('<p class=processo-detalhes>Guia ', o_custkey, '/2024</p>')"
+    html = f"concat('<!-- <div class=\"lista-dados\"> -->', {one(0, chr(39) * 2)}, {one(1, guide_html)})"
+    got = tabs.parse_details(x(spark, d, "orders", "o_orderkey AS sid", "o_custkey AS incidente", "'deslocamentos' AS aba", f"cast({html} AS binary) AS content"), "deslocamentos")
+    return got.withColumn("m", text.movement_details(F.col("detalhe"))).select("sid", "posicao", "numero", "m.*")
+
+
+@registered("SELECT o_orderkey AS sid, 'DIREITO ' || o_orderstatus || CASE WHEN o_orderkey % 2 = 0 THEN '|Prazo & custas' ELSE '' END AS assuntos, CASE WHEN o_orderkey % 4 > 0 THEN o_orderdate::DATE END AS data_protocolo, CASE WHEN o_orderkey % 3 > 0 THEN 'TRIBUNAL ' || o_orderpriority END AS orgao_origem, o_orderkey || '|' || o_custkey AS numeros_origem, CASE WHEN o_orderkey % 5 > 0 THEN 'DF - ' || o_orderstatus END AS descricao_procedencia, CASE WHEN o_orderkey % 2 = 0 THEN (o_custkey % 9)::INT END AS volumes FROM orders")
+def s6_information(spark, d):
+    """Labels with and without a value, an office that another label follows, empty and missing boxes."""
+    field = lambda label, value: f"'<div class=\"col\"><div class=\"processo-detalhes-bold\">{label}:</div><div> ', {value}, '</div></div>'"
+    day = f"if(o_orderkey % 4 > 0, concat({field('Data de Protocolo', br('o_orderdate'))}), '<div>Data de Protocolo:</div><div></div>')"
+    office = f"if(o_orderkey % 3 > 0, concat({field('Órgão de Origem', chr(39) + 'TRIBUNAL ' + chr(39) + ', o_orderpriority')}), '<div>Órgão de Origem:</div>')"
+    box = "'<div class=\"processo-quadro\"><div class=\"numero\">', {1}, '</div><div class=\"rotulo\">{0}</div></div>'"
+    inner = f"'<div class=\"informacoes__assunto\"><ul><li>DIREITO ', o_orderstatus, if(o_orderkey % 2 = 0, '<li>Prazo &amp;\\n custas</li><li> </li>', '</li>'), '</ul></div>', {day}, {office}, {field('Número de Origem', 'o_orderkey, chr(44), chr(32), chr(44), o_custkey')}, '<div>Origem:</div><div><span id=\"descricao-procedencia\">', if(o_orderkey % 5 > 0, concat('DF - ', o_orderstatus), ' '), '</span></div>', {box.format('Volumes', 'if(o_orderkey % 2 = 0, cast(o_custkey % 9 AS string), chr(32))')}, {box.format('Folhas', chr(39) * 2)}"
+    html = f"concat('<div class=\"fora\"><div>Origem:</div><div>fora</div></div><div class=\"processo-informacoes\">', {inner}, '</div>')"
+    got = tabs.parse_information(x(spark, d, "orders", "o_orderkey AS sid", "o_custkey AS incidente", "'informacoes' AS aba", f"cast({html} AS binary) AS content"))
+    joined = lambda n: F.array_join(n, "|").alias(n)
+    return got.select("sid", joined("assuntos"), "data_protocolo", "orgao_origem", joined("numeros_origem"), "descricao_procedencia", "volumes")
+
+
+@registered("SELECT c_custkey AS sid, c_custkey AS incidente, CASE WHEN c_nationkey % 2 = 0 THEN 'Pet' ELSE 'Inq' END AS classe, 10000 + c_custkey AS numero, 'MIN. ' || upper(c_mktsegment) AS relator, CASE WHEN c_custkey % 3 = 0 THEN 'Pet-AgR' END AS ultimo_incidente, CASE c_custkey % 4 WHEN 0 THEN 'Sigiloso' WHEN 1 THEN 'Público' END AS publicidade, CASE WHEN c_nationkey % 2 = 0 THEN 'Criminal' END AS natureza, c_custkey % 5 = 0 AS reu_preso, CASE WHEN c_custkey % 7 > 0 THEN 'E' END AS meio, 'partes=abaPartes.asp?incidente=' || c_custkey || '|sessao=abaSessao.asp?incidente=' || c_custkey || '&tema=N' || CASE WHEN c_custkey % 2 = 0 THEN '|pautas=abaPautas.asp?x=1' ELSE '' END AS abas FROM customer")
+def s6_headers(spark, d):
+    """Header pages: the script loads a tab twice, an unknown one, and one as text that closes no element."""
+    q = "chr(39)"
+    load = "'$(x).load( ', chr(39), '{0}', {1}, chr(39), ' + y); '"
+    script = f"'<script>if ( ', {q}, CASE c_custkey % 4 WHEN 0 THEN 'Sigiloso' WHEN 1 THEN 'Público' ELSE 'Outro' END, {q}, ' == z) document.write(\"</div>\"); ', {load.format('abaPartes.asp?incidente=', 'c_custkey')}, {load.format('abaNada.asp?a=', '1')}, '$.get(\"abaSessao.asp?incidente=', c_custkey, '&tema=\" + t); ', {load.format('abaPartes.asp?outra=', '2')}, if(c_custkey % 2 = 0, concat({load.format('abaPautas.asp?x=', '1')}), ''), '</script>'"
+    data = "'<div id=\"dados-processo\">', if(c_nationkey % 2 = 0, '<span>Criminal</span> ', ''), if(c_custkey % 5 = 0, 'Réu Preso ', ''), '<div>Relator(a): MIN. ', upper(c_mktsegment), if(c_custkey % 3 = 0, ' Relator(a) do último incidente: MIN. X (Pet-AgR)', ''), '</div> Todos Cível</div>'"
+    case = "'<input type=hidden id=incidente value=', c_custkey, '><INPUT ID=\"classe-numero-processo\" value=\" ', if(c_nationkey % 2 = 0, 'Pet ', 'Inq '), 10000 + c_custkey, '\">', if(c_custkey % 7 > 0, '<input id=\"meio\" value=\"E\"/>', '<input id=\"meio\">')"
+    got = tabs.parse_header(x(spark, d, "customer", "c_custkey AS sid", "c_custkey AS incidente", "'casca' AS aba", f"cast(concat({case}, {data}, {script}) AS binary) AS content"))
+    named = F.array_join(F.transform("abas", lambda a: F.concat(a["nome"], F.lit("="), a["url"])), "|").alias("abas")
+    return got.select("sid", "incidente", "classe", "numero", "relator", "ultimo_incidente", "publicidade", "natureza", "reu_preso", F.nullif("meio", F.lit("")).alias("meio"), named)
+
+
 @registered("SELECT o_orderkey AS sid, o_orderkey + 7 AS objeto_id, 'R' || o_orderstatus AS relator, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS numero, o_orderdate::DATE AS inicio, v.k AS ordem, 'M' || v.k AS ministro, CASE WHEN v.k = 1 THEN o_orderdate::DATE END AS data_voto FROM orders, (SELECT unnest([1, 2]) AS k) v")
 def s4_lists(spark, d):
     """Voting JSON with the minister as an object or as text, and numbers and days that aren't."""

@@ -4,6 +4,7 @@ import csv
 import glob
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from dossier.operators import assertions, flows, entities, graph
@@ -153,6 +154,64 @@ def test_speakers(spark):
     assert rows(graph.cocitation_edges(links, named(spark)), "origem", "destino", "n") == [("entidade:nome:ACME SA", "entidade:nome:BETA LTDA", 1)]
 
 
+HEADER = """<input type="hidden" id="incidente" value="7"><input id="classe-numero-processo" value="Pet 15556"><input id="meio" value="E">
+<div id="dados-processo"><div>Processo Eletrônico Público Criminal Réu Preso</div> Número Único: 0165738-43.2026.1.00.0000 Relator(a): MIN. ANDRÉ
+Relator(a) do último incidente: MIN. ANDRÉ (Pet-AgR-quarto) <ul><li>Todos </li></ul> Cível</div>
+<script>if ('Público' == 'Sigiloso') {} $.get('abaPartes.asp?incidente=7', f); $('#a').load('abaAndamentos.asp?incidente=7&imprimir=true');
+$.get('abaSessao.asp?incidente=7&tema=' + num_tema); $.get('abaPartes.asp?outra=1');</script>"""
+
+
+def test_header(spark):
+    got = tabs.parse_header(captures(spark, "casca", HEADER).where("sid = 1")).first()
+    assert (got.incidente, got.classe, got.numero, got.numero_unico, got.relator) == (7, "Pet", 15556, "0165738-43.2026.1.00.0000", "MIN. ANDRÉ")
+    assert (got.relator_ultimo_incidente, got.ultimo_incidente, got.publicidade, got.natureza, got.reu_preso, got.tipo_tramitacao, got.meio, got.peca) == ("MIN. ANDRÉ", "Pet-AgR-quarto", "Público", "Criminal", True, "Processo Eletrônico", "E", None)
+    assert [(a.nome, a.url) for a in got.abas] == [("partes", "abaPartes.asp?incidente=7"), ("andamentos", "abaAndamentos.asp?incidente=7&imprimir=true"), ("sessao", "abaSessao.asp?incidente=7&tema=N")]
+
+
+@pytest.mark.parametrize("page", ["<html>Sem processo", HEADER.replace("Pet 15556", "15556"), HEADER.replace('id="incidente" value="7"', 'id="incidente"'), ""])
+def test_header_of_no_case(spark, page):
+    with pytest.raises(Exception, match="no header of a case"):
+        tabs.parse_header(captures(spark, "casca", page)).collect()
+
+
+def test_information(spark):
+    pair = "<div class='linha'><div class='processo-detalhes-bold'>{}:</div><div>{}</div></div>".format
+    html = f"<div class='processo-informacoes'><div class='informacoes__assunto'><ul><li>DIREITO | Prisão</li></ul></div>{pair('Data de Protocolo', '27/02/2026')}{pair('Origem', 'DF')}{pair('Número de Origem', '1, 02,, 3 ')}<div>Vazio:</div>{pair('Órgão de Origem', 'STF')}{pair('Origem', 'SP')}<span id='descricao-procedencia'>DF - X</span></div><div class='processo-quadro'><div class='numero'>4</div><div class='rotulo'>Volumes</div></div><div class='processo-quadro'><div class='numero'></div><div class='rotulo'>Folhas</div></div>"
+    got = tabs.parse_information(captures(spark, "informacoes", html)).first()
+    assert (got.assuntos, str(got.data_protocolo), got.orgao_origem, got.origem, got.numeros_origem, got.descricao_procedencia, got.volumes, got.folhas) == (["DIREITO | Prisão"], "2026-02-27", "STF", "SP", ["1", "02", "3"], "DF - X", 4, None)
+    got = tabs.parse_information(captures(spark, "informacoes", "")).first()
+    assert (got.assuntos, got.data_protocolo, got.numeros_origem, got.volumes) == ([], None, [], None)
+
+
+def test_scanner():
+    """Comments, raw elements, quotes with brackets, stray brackets; long pages take linear time."""
+    from dossier.sources.markup import Scanner
+
+    class Kept(Scanner):
+        def __init__(self):
+            self.out = []
+
+        def start(self, tag, own):
+            self.out.append((tag, own))
+
+        def end(self, tag):
+            self.out.append("/" + tag)
+
+        def data(self, text):
+            self.out.append(text)
+
+    def read(page):
+        k = Kept()
+        k.feed(page)
+        return k.out
+
+    assert read("<!DOCTYPE x><A HREF='a>b' x=1 y>t &amp; < u</A><!-- <b> -->") == [("a", {"href": "a>b", "x": "1", "y": ""}), "t & < u", "/a"]
+    assert read("<script>a < '</div>' &amp;</SCRIPT >x<style>y") == [("script", {}), "a < '</div>' &amp;", "/script", "x", ("style", {}), "y"]
+    assert read("<a href=http://x/>z") == [("a", {"href": "http://x/"}), "z"]
+    for page in ("<" * 200_000, "<a " * 200_000, "<!--" * 100_000, "<p>" * 200_000):
+        read(page)
+
+
 def test_decisions(spark):
     item = {"pedido": "soltar o réu", "resultado": "deferido", "decisao": "defiro o pedido", "quem_decidiu": "Min. Ana", "pagina": 1, "trecho_fonte": "Defiro  o pedido"}
     data = [(1, json.dumps({"itens": [item, item | {"pagina": 2}, item | {"trecho_fonte": "outro trecho"}]})), (2, json.dumps({"itens": [item | {"resultado": "talvez"}]})), (3, "nada"), (4, None)]
