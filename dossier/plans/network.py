@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.operators import assertions, diff, entities, flows, graph, references, reports
+from dossier.operators import assertions, diff, entities, flows, graph, integrity, references, reports
 from dossier.operators import datasets as tables_of
 from dossier.plans import chronology
 from dossier.plans.archive import c, registered
 from dossier.plans.queries import COUNTED, MONEY, money, t
 from dossier.plans.records import LABEL, cases, folder, x
+from dossier.sources.shared import save
 from dossier.streaming import ingest
 
 E = F.expr
@@ -305,6 +306,47 @@ def d7_manifest(spark, d):
     return diff.integrity_manifest(t(spark, d, "nation"), ["n_nationkey"], "n_regionkey")
 
 
+#: Width of the manifest's ranges over the test tables, so that there are several levels.
+RANGE = 64
+KEPT_SQL = """SELECT 'registros_de_coleta' AS conteudo, row_number() OVER (ORDER BY c) - 1 AS chave, '{"id":"' || c || '","arquivo":"a/' || c || '.jsonl","sha256":"' || sha256(c) || '","linhas":' || n || '}' AS linha FROM (SELECT event_type || '-' || user_id AS c, count(*) AS n FROM events GROUP BY 1)
+UNION ALL SELECT 'snapshots', event_id, '{"id":' || event_id || ',"coleta_id":"' || event_type || '","incidente":' || user_id || ',"aba":"x","url":"u' || event_id || '","fetched_at":"' || strftime(ts, '%Y-%m-%d') || '","http_status":200,"sha256":"' || sha256(props) || '","bytes":' || length(props) || '}' FROM events
+UNION ALL SELECT 'documentos', o_orderkey, '{"id":' || o_orderkey || ',"incidente":' || o_custkey || ',"titulo":"' || o_orderpriority || '","url":"d","formato":"pdf","sha256":"' || sha256(o_orderpriority) || '","paginas":null,"baixado_em":"' || strftime(o_orderdate, '%Y-%m-%d') || '","codigo_autenticacao":null,"senha_autenticacao":"s","processo":' || CASE WHEN o_custkey % 4 > 0 THEN '"Pet ' || o_custkey || '"' ELSE 'null' END || '}' FROM orders WHERE o_orderstatus <> 'P'
+UNION ALL SELECT 'fontes_externas', p_partkey, '{"id":' || p_partkey || ',"fonte_id":"f","url":"' || p_name || '","fetched_at":"2026-01-01","http_status":' || p_size || ',"sha256":"' || sha256(p_name) || '","bytes":null,"content_type":"t"}' FROM part"""
+
+
+def kept(spark: SparkSession, d: str) -> DataFrame:
+    """Users' events by type as registries, events as captures, orders as documents of their customers' cases, parts as external captures."""
+    runs = x(spark, d, "events", "concat(event_type, '-', user_id) AS id").groupBy("id").agg(F.count("*").alias("linhas")).selectExpr("id", "concat('a/', id, '.jsonl') AS arquivo", "sha2(id, 256) AS sha256", "linhas")
+    shots = x(spark, d, "events", "event_id AS id", "event_type AS coleta_id", "user_id AS incidente", "'x' AS aba", "concat('u', event_id) AS url", "date_format(ts, 'yyyy-MM-dd') AS fetched_at", "200 AS http_status", "sha2(props, 256) AS sha256", "length(props) AS bytes")
+    docs = x(spark, d, "orders", "o_orderkey AS id", "o_custkey AS incidente", "o_orderpriority AS titulo", "'d' AS url", "'pdf' AS formato", "if(o_orderstatus = 'P', null, sha2(o_orderpriority, 256)) AS sha256", "cast(null AS int) AS paginas", "date_format(o_orderdate, 'yyyy-MM-dd') AS baixado_em", "cast(null AS string) AS codigo_autenticacao", "'s' AS senha_autenticacao")
+    known = x(spark, d, "customer", "c_custkey AS incidente", "'Pet' AS classe", "c_custkey AS numero").where("incidente % 4 > 0")
+    others = x(spark, d, "part", "p_partkey AS id", "'f' AS fonte_id", "p_name AS url", "'2026-01-01' AS fetched_at", "p_size AS http_status", "sha2(p_name, 256) AS sha256", "cast(null AS int) AS bytes", "'t' AS content_type")
+    return integrity.manifest_rows(runs, shots, docs, known, others)
+
+
+TREE_SQL = f"""r AS ({KEPT_SQL}), l AS (SELECT conteudo, chave // {RANGE} AS bloco, count(*) AS linhas, sha256(string_agg(sha256(linha), chr(10) ORDER BY chave)) AS h FROM r GROUP BY ALL),
+n AS (SELECT *, 0 AS nivel, (SELECT max(bloco) FROM l) AS maior FROM l UNION ALL SELECT conteudo, bloco // {RANGE}, sum(linhas)::BIGINT, sha256(string_agg(h, chr(10) ORDER BY bloco)), nivel + 1, maior // {RANGE} FROM n WHERE maior > 0 GROUP BY conteudo, bloco // {RANGE}, nivel, maior)"""
+
+
+@registered(f"WITH RECURSIVE {TREE_SQL} SELECT conteudo, nivel, bloco, linhas, h AS sha256 FROM n UNION ALL SELECT NULL, nivel + 1, 0, sum(linhas)::BIGINT, sha256(string_agg(h, chr(10) ORDER BY conteudo)) FROM n WHERE maior = 0 GROUP BY nivel")
+def d7_tree(spark, d):
+    return integrity.digest_tree(kept(spark, d), RANGE)
+
+
+@registered(f"SELECT conteudo, count(*) AS linhas FROM ({KEPT_SQL}) GROUP BY 1")
+def d7_totals(spark, d):
+    return integrity.totals(integrity.digest_tree(kept(spark, d), RANGE))
+
+
+@registered(f"SELECT conteudo, chave, CASE chave % 300 WHEN 1 THEN 'sumiu' WHEN 2 THEN 'apareceu' ELSE 'mudou' END AS estado FROM ({KEPT_SQL}) WHERE chave % 300 BETWEEN 1 AND 3")
+def d7_changed(spark, d):
+    """Rows that went, came and changed between two manifests, met by going down two trees."""
+    rows = save(kept(spark, d), "kept")
+    old, new = rows.where("chave % 300 <> 2"), rows.where("chave % 300 <> 1").withColumn("sha256", E("if(chave % 300 = 3, 'x', sha256)"))
+    leaves = integrity.differing_leaves(integrity.digest_tree(old, RANGE), integrity.digest_tree(new, RANGE), RANGE)
+    return integrity.differing_rows(old, new, leaves, RANGE)
+
+
 # ------------------------------------------------------------ money flows
 
 SETS = "concat('d', lpad(s_suppkey, 6, '0'))"
