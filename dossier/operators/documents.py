@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dossier.functions.text import Rules, document_function, extract
@@ -58,27 +60,40 @@ def text_lines(pages: DataFrame) -> DataFrame:
 def chunk_pages(pages: DataFrame, max_chars: int = 1800) -> DataFrame:
     """(documento_id, ordem, pagina_inicio, pagina_fim, secao, texto, chars): greedy chunks of whole lines.
 
-    A chunk ends before a heading, before a numbered paragraph and before it would grow too long; footers are skipped. First every
-    line gets the number of its chunk, by one walk over the document's line lengths; chunks are then plain groups of lines.
+    A chunk ends before a heading, before a numbered paragraph and before it would grow too long; footers are skipped. A document's
+    lines meet in one task in order, which Spark sorts on disk if it must, and one pass over them holds a chunk at a time.
     """
-    lines = text_lines(pages)
-    walk = F.struct(F.lit(0).alias("n"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("of"))
-
-    def step(acc: Column, x: Column) -> Column:
-        size = F.length(x["linha"]) + 1
-        opens = (acc["size"] > 0) & (x["abre"] | (acc["size"] + x["cru"] > max_chars))
-        n = acc["n"] + opens.cast("int")
-        return F.struct(n.alias("n"), F.when(opens, size).otherwise(acc["size"] + size).alias("size"), F.concat(acc["of"], F.array(n)).alias("of"))
-
-    docs = lines.groupBy("documento_id").agg(F.sort_array(F.collect_list(F.struct("pagina", "at", "linha", "cru", "titulo", "abre"))).alias("l"))
-    dealt = docs.select("documento_id", F.inline(F.arrays_zip("l", F.aggregate("l", walk, step, lambda acc: acc["of"]).alias("ordem"))))
-    rows = dealt.select("documento_id", "ordem", "l.*")
-    place = F.struct("pagina", "at")
-    ahead = W.partitionBy("documento_id").orderBy("pagina", "at")
-    named = rows.withColumn("secao", F.last("titulo", ignorenulls=True).over(ahead))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pagina", "at", "linha"))), lambda x: x["linha"]), "\n")
-    out = named.groupBy("documento_id", "ordem").agg(F.min("pagina").alias("pagina_inicio"), F.max("pagina").alias("pagina_fim"), F.min_by("secao", place).alias("secao"), F.regexp_replace(text, r"(?U)^\s+", "").alias("texto"))
-    return out.withColumn("chars", F.length("texto"))
+    lines = text_lines(pages).repartition("documento_id").sortWithinPartitions("documento_id", "pagina", "at")
+    kinds = {n: lines.schema[n].dataType for n in ("documento_id", "pagina")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc = open_ = None  # the chunk: its number, first and last page, section, lines
+        size, section = 0, None
+        for b in batches:
+            out = []
+            for d, page, line, raw, title, opens in zip(*(b.column(n).to_pylist() for n in ("documento_id", "pagina", "linha", "cru", "titulo", "abre")), strict=True):
+                new = open_ is None or d != doc
+                if new or (size > 0 and (opens or size + raw > max_chars)):
+                    if open_:
+                        out.append((doc, *open_))
+                    section = title if title is not None else None if new else section
+                    open_, doc, size = [0 if new else open_[0] + 1, page, page, section, []], d, 0
+                section = title if title is not None else section
+                open_[2] = page
+                open_[4].append(line)
+                size += len(line) + 1
+            yield rows(out, b.schema)
+        if open_:
+            yield rows([(doc, *open_)], b.schema)
+
+    def rows(chunks: list[tuple], given: pa.Schema) -> pa.RecordBatch:
+        cols = list(zip(*chunks, strict=True)) or [()] * 6
+        types = [given.field("documento_id").type, pa.int32(), *[given.field("pagina").type] * 2, pa.string()]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types, strict=False)), pa.array(["\n".join(x) for x in cols[5]], pa.string())], names=["documento_id", "ordem", "pagina_inicio", "pagina_fim", "secao", "texto"])
+
+    page = kinds["pagina"].simpleString()
+    found = lines.mapInArrow(run, f"documento_id {kinds['documento_id'].simpleString()}, ordem int, pagina_inicio {page}, pagina_fim {page}, secao string, texto string")
+    return found.withColumn("texto", F.regexp_replace("texto", r"(?U)^\s+", "")).withColumn("chars", F.length("texto"))
 
 
 def pending_downloads(docs: DataFrame) -> DataFrame:
