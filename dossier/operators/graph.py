@@ -110,11 +110,28 @@ def speaker_edges(assertions: DataFrame, entities: DataFrame) -> DataFrame:
     return got.select(entity_id().alias("origem"), case_id().alias("destino"), F.concat(F.lit("afirma_em:"), "tipo_epistemico").alias("tipo"), "n", F.array().cast("array<string>").alias("fontes"))
 
 
+#: Members of a group that meet in one key at most, about; larger groups are dealt into tiles, and pairs of tiles are the keys.
+TILE = 500
+
+
+def pairs_within(members: DataFrame, group: str, name: str, tile: int = TILE) -> DataFrame:
+    """(group, a, b), a < b: all pairs of different members (group, name) of a group, whose names are distinct in it.
+
+    A group of n members has n / tile tiles; each member goes to the pairs of its own tile with the others, so a key holds two tiles
+    however large its group is.
+    """
+    sizes = members.groupBy(group).agg(F.ceil(F.count("*") / tile).cast("int").alias("_k"))
+    dealt = members.join(sizes, group).withColumn("_t", F.pmod(F.xxhash64(name), F.col("_k")).cast("int"))
+    left = dealt.select(group, F.col(name).alias("_l"), F.col("_t").alias("_i"), F.explode(F.expr("sequence(_t, _k - 1)")).alias("_j"))
+    right = dealt.select(group, F.col(name).alias("_r"), F.explode(F.expr("sequence(0, _t)")).alias("_i"), F.col("_t").alias("_j"))
+    met = left.join(right, [group, "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col("_l") < F.col("_r")))
+    return met.select(group, F.least("_l", "_r").alias("a"), F.greatest("_l", "_r").alias("b"))
+
+
 def cocitation_edges(links: DataFrame, entities: DataFrame, most: int = 10) -> DataFrame:
     """Unordered pairs of entities in the same assertion; ministers and lawyers are left out."""
     own = links.join(entities.where("tipo not in ('ministro', 'advogado')").select("chave"), "chave").select("assercao_id", "chave").distinct()
-    pairs = own.select("assercao_id", F.col("chave").alias("a")).join(own.select("assercao_id", F.col("chave").alias("b")), "assercao_id").where("a < b")
-    got = first_sources(pairs, ["a", "b"], F.col("assercao_id").cast("string"), ["assercao_id"], most)
+    got = first_sources(pairs_within(own, "assercao_id", "chave"), ["a", "b"], F.col("assercao_id").cast("string"), ["assercao_id"], most)
     return _edge(got, entity_id("a"), entity_id("b"), "co_citacao", F.col("n"), F.col("fontes"))
 
 
