@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 import itertools
 from collections.abc import Iterator
 
@@ -21,6 +22,8 @@ from dossier.llm.common import tidy
 QUERY_PIECES, WAITING, REMEMBERED, KEPT = 20_000, 150_000, 220_000, 40_000
 #: Bytes from which a piece is encoded with all occurrences of its least pair at once.
 LONG = 256
+#: Bytes from which a piece is encoded by a heap of its pairs: a recursive query keeps all its rounds, too many for such a piece.
+HUGE = 8192
 
 # Token-position rows (key: piece and byte position) join the merge table; each round contracts every piece's leftmost pair of
 # minimum rank; pieces without a pair drop out, so a piece's last round holds its tokens.
@@ -89,6 +92,7 @@ class Coder:
         self.db.register("tokens_in", tokens)
         self.db.execute("CREATE TABLE merges AS FROM merges_in")
         self.db.execute("CREATE TABLE tokens AS FROM tokens_in")
+        self.pairs = pairs
         self.byte = np.array([self.ranks[bytes([k])] for k in range(256)], np.int32)
 
     def merged(self, pieces: list[bytes], query: str) -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +111,40 @@ class Coder:
         order = np.argsort(key)
         return np.bincount(key >> 32, minlength=len(pieces)), token[order]
 
+    @functools.cached_property
+    def merges(self) -> dict[int, int]:
+        """The merge table as a dictionary, for huge pieces alone."""
+        return {a << 32 | b: r for a, b, r in self.pairs}
+
+    def heaped(self, piece: bytes) -> np.ndarray:
+        """A piece's tokens: the least pair, of equal ones the leftmost, is contracted as long as there is one.
+
+        Pairs wait in a heap as rank and position; one that has changed meanwhile is passed over. Time grows as n log n, memory is
+        about 150 bytes for each byte of the piece.
+        """
+        n, get = len(piece), self.merges.get
+        token = self.byte[np.frombuffer(piece, np.uint8)].tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [r << 32 | i for i in range(n - 1) if (r := get(token[i] << 32 | token[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            best = heapq.heappop(heap)
+            i = best & 0xFFFFFFFF
+            j = after[i]
+            if token[i] < 0 or j >= n or get(token[i] << 32 | token[j]) != best >> 32:
+                continue
+            token[i], token[j] = best >> 32, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := get(token[i] << 32 | token[k])) is not None:
+                    heapq.heappush(heap, r << 32 | i)
+            h = before[i]
+            if h >= 0 and (r := get(token[h] << 32 | token[i])) is not None:
+                heapq.heappush(heap, r << 32 | h)
+        found = np.array(token, np.int32)
+        return found[found >= 0]
+
     def learn(self, pieces: list[str]) -> None:
         """Encodes and decodes pieces. One that is a token itself needs no merge; the others go through the queries."""
         data = list(map(str.encode, pieces))
@@ -114,10 +152,14 @@ class Coder:
         whole = [(p, r) for p, r in zip(pieces, rank, strict=True) if r is not None]
         rest = [(p, b) for p, b, r in zip(pieces, data, rank, strict=True) if r is None]
         self.keep([p for p, _ in whole], np.ones(len(whole), np.int64), np.array([r for _, r in whole], np.int32))
-        for query, some in ((ENCODE, [x for x in rest if len(x[1]) < LONG]), (ENCODE_LONG, [x for x in rest if len(x[1]) >= LONG])):
+        for query, some in ((ENCODE, [x for x in rest if len(x[1]) < LONG]), (ENCODE_LONG, [x for x in rest if LONG <= len(x[1]) < HUGE])):
             for lo in range(0, len(some), QUERY_PIECES):
                 part = some[lo : lo + QUERY_PIECES]
                 self.keep([p for p, _ in part], *self.merged([b for _, b in part], query))
+        for p, b in rest:
+            if len(b) >= HUGE:
+                found = self.heaped(b)
+                self.keep([p], np.array([len(found)]), found)
 
     def keep(self, pieces: list[str], size: np.ndarray, token: np.ndarray) -> None:
         data = self.decode(size, token)
@@ -174,7 +216,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("
     """For each row of docs the columns in keep, n_tokens, ids (if asked for), ids_sha256 and decoded_sha256.
 
     Each match of the pattern is encoded by itself; null text counts as empty and has no tokens. ids_sha256 is of the decimal
-    ids joined by commas, decoded_sha256 of the bytes that the ids decode to. path is a rank file that all executors see.
+    ids joined by commas, decoded_sha256 of the bytes that the ids decode to. A match may be as long as its text (see HUGE). path is a rank file that all executors see.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
