@@ -47,7 +47,8 @@ class Block(NamedTuple):
     element: int  # the block element it stands in
     text: str
     linked: int  # characters inside links
-    out: bool  # in an element that is named as no part of an article
+    out: bool  # in an element that is no part of an article by its tag, role or style
+    named: int  # the innermost element around it whose class or id says so, by number; 0 is none
 
 
 class Page:
@@ -57,7 +58,8 @@ class Page:
         self.blocks: list[Block] = []
         self.tags, self.parents, self.paths = [""], [0], [0]
         numbers: dict[tuple[int, str], int] = {}  # (path of the parent, tag): path
-        stack: list[tuple[str, int, bool]] = []  # tag, block element, in something outside
+        self.around = [0]  # of each element with such a class or id the next one around it
+        stack: list[tuple[str, int, bool, int]] = []  # tag, block element, in something outside, innermost such element
         opened: Counter[str] = Counter()
         text: list[str] = []
         linked = at = 0
@@ -67,8 +69,8 @@ class Page:
             nonlocal linked
             words = entities.unescape("".join(text)).split()
             if words:
-                element, out = (stack[-1][1], stack[-1][2]) if stack else (0, False)
-                self.blocks.append(Block(self.paths[element], element, " ".join(words), linked, out))
+                element, out, named = stack[-1][1:] if stack else (0, False, 0)
+                self.blocks.append(Block(self.paths[element], element, " ".join(words), linked, out, named))
             text.clear()
             linked = 0
 
@@ -131,14 +133,17 @@ class Page:
                 text.append(" ")
             if tag in VOID or attributes.endswith("/"):
                 continue
-            element, out = (stack[-1][1], stack[-1][2]) if stack else (0, False)
+            element, out, named = stack[-1][1:] if stack else (0, False, 0)
             out = out or outside(tag, attributes, bool(opened["article"] or opened["main"]))
+            if not out and misnamed(tag, attributes):
+                self.around.append(named)
+                named = len(self.around) - 1
             if tag in BLOCKS:
                 self.tags.append(tag)
                 self.parents.append(element)
                 self.paths.append(numbers.setdefault((self.paths[element], tag), len(numbers) + 1))
                 element = len(self.tags) - 1
-            stack.append((tag, element, out))
+            stack.append((tag, element, out, named))
             opened[tag] += 1
         flush()
 
@@ -158,7 +163,7 @@ class Page:
 
 
 def outside(tag: str, attributes: str, inner: bool) -> bool:
-    """Whether an element is named as a menu, footer, advert or the like. inner: it stands in an article."""
+    """Whether an element is a menu, footer, form or the like by its tag, role or style. inner: it stands in an article."""
     if tag in OUTSIDE or tag == "header" and not inner:
         return True
     for name, *values in ATTRIBUTE.findall(attributes):
@@ -167,11 +172,39 @@ def outside(tag: str, attributes: str, inner: bool) -> bool:
             return True
         if name == "role" and value.lower() in ROLES or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and not WORDS.isdisjoint(x.lower() for x in SPLIT.split(value)):
-            return True
     return False
 
 
+def misnamed(tag: str, attributes: str) -> bool:
+    """Whether a class or id of the element has a word for a menu, footer, advert or the like."""
+    if tag in ("html", "body", "article", "main"):
+        return False
+    return any(name.lower() in ("class", "id") and not WORDS.isdisjoint(x.lower() for x in SPLIT.split(next((v for v in values if v), ""))) for name, *values in ATTRIBUTE.findall(attributes))
+
+
+#: Share of a page's text that must be left once elements with such names are gone; else those of them that hold most of it stay.
+LEFT = 0.1
+
+
+def unnamed(page: Page) -> list[Block]:
+    """The blocks that stand in nothing outside, by tag, role, style, class or id. If hardly any text is left, a name was misread:
+    an element that holds more than half of the text stays whatever it is called."""
+    inner = [b for b in page.blocks if not b.out]
+    left = [b for b in inner if not b.named]
+    total = sum(len(b.text) for b in inner)
+    if sum(len(b.text) for b in left) >= LEFT * total:
+        return left
+    held = [0] * len(page.around)
+    for b in inner:
+        held[b.named] += len(b.text)
+    for e in range(len(held) - 1, 0, -1):
+        held[page.around[e]] += held[e] * (page.around[e] > 0)
+    gone = [False]
+    for e in range(1, len(held)):
+        gone.append(gone[page.around[e]] or held[e] <= total / 2)
+    return [b for b in inner if not gone[b.named]]
+
+
 def scores(blocks: list[Block]) -> tuple[dict[int, float], dict[int, float]]:
     """(fused ratio, share of text in links) of each path.
 
@@ -200,10 +233,10 @@ def content(page: Page) -> list[Block]:
     The paths whose fused ratio is over the threshold are content; the element that holds most of their text is the article.
     Where the page doesn't mark it as one (article or main), it goes from the first block of a content path, with the headings
     right before it, to the last, so that what stands before and behind falls away without any name. Inside, short blocks
-    belong to it, but for those of paths that are mostly links. Blocks in elements named as no part of an article (by tag, role, class
-    or id) take no part at all.
+    belong to it, but for those of paths that are mostly links. Blocks in elements that are no part of an article (see unnamed) take no
+    part at all.
     """
-    left = [b for b in page.blocks if not b.out]
+    left = unnamed(page)
     if not left:
         return []
     score, links = scores(left)
