@@ -14,7 +14,7 @@ from dossier.operators import assertions, documents, filters, references, seen
 from dossier.plans import chronology
 from dossier.plans.archive import CHUNKS, c, registered
 from dossier.plans.queries import t
-from dossier.sources import registry, sinks, tabs
+from dossier.sources import prose, registry, sinks, tabs
 from dossier.sources.shared import folder
 
 E = F.expr
@@ -271,10 +271,47 @@ def p14_types(spark, d):
     return t(spark, d, "supplier").select("s_suppkey", F.inline(extract.extract_type_summaries(page, {"PIX": "pix", "TED": "transferencia"})))
 
 
-@registered("SELECT o_orderkey AS documento_id, 0 AS ordem, 'mensagem' AS tipo, 'Ana Lima' AS de, 'Rui Dias' AS para, 'valor ' || o_custkey AS texto, strftime(o_orderdate, '%Y-%m-%d') AS data, 'enviada' AS lado FROM orders WHERE o_orderkey % 3 < 2 UNION ALL SELECT o_orderkey, 1, 'relato', NULL, NULL, 'Nada mais foi achado.', NULL, NULL FROM orders WHERE o_orderkey % 3 < 2")
+@registered("SELECT o_orderkey AS documento_id, 0 AS ordem, 'mensagem' AS tipo, 'ANA LIMA' AS de, 'RUI DIAS' AS para, 'valor ' || o_custkey AS texto, strftime(o_orderdate, '%Y-%m-%d') AS data, 'enviada' AS lado FROM orders WHERE o_orderkey % 3 < 2 UNION ALL SELECT o_orderkey, 1, 'relato', NULL, NULL, 'Nada mais foi achado.', NULL, NULL FROM orders WHERE o_orderkey % 3 < 2")
 def p15_messages(spark, d):
-    page = f"CASE o_orderkey % 3 WHEN 2 THEN 'Sem conversa alguma.' ELSE concat('Página 1 de 2\\nEm ', {br('o_orderdate')}, ', às 10:20, Ana Lima envia para Rui Dias\\n“valor ', o_custkey, '”. Nada mais foi achado.') END"
-    return tabs.conversation_items(x(spark, d, "orders", "o_orderkey AS documento_id", "1 AS pagina", f"{page} AS texto"), ("Ana Lima",)).select("documento_id", "ordem", "tipo", "de", "para", "texto", "data", "lado")
+    page = f"CASE o_orderkey % 3 WHEN 2 THEN 'Sem conversa alguma.' ELSE concat('Página 1 de 2\\nEm ', {br('o_orderdate')}, ', às 10:20, ANA LIMA envia para RUI DIAS\\n“valor ', o_custkey, '”. Nada mais foi achado.') END"
+    return prose.conversation_items(x(spark, d, "orders", "o_orderkey AS documento_id", "1 AS pagina", f"{page} AS texto"), ("Ana Lima",)).select("documento_id", "ordem", "tipo", "de", "para", "texto", "data", "lado")
+
+
+#: A page by the order's place modulo the number of shapes, # being the customer, and what it must give in order:
+#: tipo, de, para, verbo, texto, hora, fuso, lado, numero, citacoes and falas (joined by a bar). The second has no message, since a
+#: colon ends its sentence, so it is no conversation.
+PAGES = (
+    ("Às 10:20:30 -03:00, “Rui Feira” solicita a \"Ana Casa\" que “Traga a caixa #”.\nPágina 2 de 9", ("mensagem", "Rui Feira", "Ana Casa", "solicita", "Traga a caixa #", "10:20", "-03:00", "recebida", None, None, None)),
+    ("Logo depois, às 10:20 UTC, ANA LIMA escreve: “b#”.",),
+    ("Minutos depois, às 10:20 UTC, ANA LIMA escreve o texto “c#”.", ("mensagem", "ANA LIMA", None, "escreve", "c#", "10:20", "UTC", "enviada", None, None, None)),
+    ("RUI DIAS diz que “não # quer”, depois acrescenta “nem pode”.", ("relato", "RUI DIAS", None, None, "RUI DIAS diz que “não # quer”, depois acrescenta “nem pode”.", None, None, "recebida", None, "não # quer|nem pode", "não # quer|nem pode")),
+    ("ANA LIMA retoma o caso # com RUI, que afirma que vai “pagar já”:", ("relato", None, None, None, "ANA LIMA retoma o caso # com RUI, que afirma que vai “pagar já”:", None, None, None, None, "pagar já", "")),
+    ("RUI explica que, segundo “Beto #”, o “prazo acabou”.", ("relato", "RUI", None, None, "RUI explica que, segundo “Beto #”, o “prazo acabou”.", None, None, "recebida", None, "Beto #|prazo acabou", "prazo acabou")),
+    ("O contato salvo como “Lia Paz” (terminal 5511912345678), envia texto no qual “a minuta # segue”.", ("relato", "Lia Paz", None, None, "O contato salvo como “Lia Paz” (terminal 5511•••••••••), envia texto no qual “a minuta # segue”.", None, None, "recebida", None, "Lia Paz|a minuta # segue", "a minuta # segue")),
+    ("RUI envia a caixa # a “Beto da Silva”.", ("relato", None, None, None, "RUI envia a caixa # a “Beto da Silva”.", None, None, None, None, "Beto da Silva", "")),
+    ("RUI envia “caixa #” e “ABC1D23”.", ("relato", "RUI", None, None, "RUI envia “caixa #” e “[placa omitida]”.", None, None, "recebida", None, "caixa #|[placa omitida]", "caixa #|[placa omitida]")),
+    ("RUI explica que ANA responde que “não há #”.", ("relato", None, None, None, "RUI explica que ANA responde que “não há #”.", None, None, None, None, "não há #", "")),
+    (
+        "5.4 Cobranças do contrato # com\no escritório\nFigura 12 – RUI diz a ANA LIMA que o contrato # é o\nmais caro\nSegundo a perícia, nada consta.\nFigura 13 - Nota #",
+        ("secao", None, None, None, "5.4 Cobranças do contrato # com o escritório", None, None, None, None, None, None), ("figura", None, None, None, "RUI diz a ANA LIMA que o contrato # é o mais caro", None, None, None, 12, None, None),
+        ("relato", None, None, None, "Segundo a perícia, nada consta.", None, None, None, None, "", ""), ("figura", None, None, None, "Nota #", None, None, None, 13, None, None),
+    ),
+    ("A pasta # chama-se “tmp”.\nFigura 9 – Ordem dos fatos",),
+    (None,),
+)
+_value = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+GIVEN = ", ".join(f"({n}, {k}, {', '.join(map(_value, i))})" for n, (_, *items) in enumerate(PAGES) for k, i in enumerate(items))
+
+
+@registered(
+    "SELECT o_orderkey AS documento_id, ordem, tipo, de, para, verbo, replace(texto, '#', o_custkey::VARCHAR) AS texto, hora, fuso, lado, numero::BIGINT AS numero, replace(citacoes, '#', o_custkey::VARCHAR) AS citacoes, replace(falas, '#', o_custkey::VARCHAR) AS falas "
+    f"FROM orders JOIN (VALUES {GIVEN}) v(forma, ordem, tipo, de, para, verbo, texto, hora, fuso, lado, numero, citacoes, falas) ON forma = o_orderkey % {len(PAGES)}"
+)
+def p15_items(spark, d):
+    shape = F.get(F.array(*(F.lit(p[0]) for p in PAGES)), (F.col("o_orderkey") % len(PAGES)).cast("int"))
+    pages = t(spark, d, "orders").select(F.col("o_orderkey").alias("documento_id"), F.lit(1).alias("pagina"), F.replace(shape, F.lit("#"), F.col("o_custkey").cast("string")).alias("texto"))
+    joined = [F.array_join(k, "|").alias(k) for k in ("citacoes", "falas")]
+    return prose.conversation_items(pages, ("ANA LIMA",)).select("documento_id", "ordem", "tipo", "de", "para", "verbo", "texto", "hora", "fuso", "lado", "numero", *joined)
 
 
 # ------------------------------------------------------------ names, masks, quotes

@@ -1,11 +1,9 @@
-"""Case tabs, voting and bill JSON, police prose: raw captures to rows."""
+"""Case tabs, voting and bill JSON: raw captures to rows."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -296,74 +294,3 @@ def parse_bills(json_df: DataFrame) -> DataFrame:
     get = lambda *ps: F.coalesce(*(F.try_variant_get("i", f"$.{p}", "string") for p in ps))
     number = lambda c: F.when(c.rlike(r"^\d+$"), c.cast("bigint"))
     return rows.select("sid", "casa", get("Codigo", "id").alias("codigo"), get("Sigla", "siglaTipo").alias("sigla"), number(get("Numero", "numero")).alias("numero"), number(get("Ano", "ano")).alias("ano"), clean_ws(get("Ementa", "ementa")).alias("ementa"), get("Autor").alias("autor"), F.to_date(F.try_to_timestamp(F.substring(get("Data", "dataApresentacao"), 1, 10), F.lit("yyyy-MM-dd"))).alias("data")).where("codigo is not null")
-
-
-# ------------------------------------------------------------ police prose
-
-# Verbs of speech and the shapes of captions, section titles and footers.
-VERBS = r"(?:envia|enviou|responde|respondeu|diz|disse|afirma|afirmou|escreve|escreveu|pergunta|perguntou|acrescenta|acrescentou|complementa|informa|informou|encaminha|encaminhou)"
-NAME = r"(?:[A-ZÀ-Ú][\w.À-ú]+(?:\s+(?:d[aeo]s?\s+)?[A-ZÀ-Ú][\w.À-ú]+){0,5}|[“\"][^“”\"]{2,40}[”\"])"
-FIGURE = re.compile(r"^Figura (\d+)\s+[–\-]\s+(.+)$")
-SECTION = re.compile(r"^\d{1,2}(?:\.\d{1,2}){0,3}\.?\s+[A-ZÀ-Ú][^.]{3,140}$")
-PAGE_FOOTER = re.compile(r"^(?:Página \d+ de \d+|IPJ-A nº .+)$")
-MESSAGE = re.compile(
-    rf"^(?:[Ee]m (?P<data>\d{{2}}/\d{{2}}/\d{{4}}),?\s*)?(?:[Àà]s (?P<hora>\d{{2}}:\d{{2}})(?::\d{{2}})?,?\s*)?(?P<de>{NAME})\s+(?P<verbo>{VERBS})\s+"
-    rf"(?:(?:a|para|ao|à)\s+(?P<para>{NAME})\s*,?\s*)?(?:(?:que|a mensagem|a seguinte mensagem)\s+|:\s*)?[“\"](?P<texto>[^“”\"]+)[”\"](?P<resto>.*)$"
-)
-QUOTED = re.compile(r"[“\"]([^“”\"]+)[”\"]")
-
-
-def prose_items(text: str | None, owners: tuple[str, ...]) -> list[dict]:
-    """Ordered items of a page: messages, reports, captions and section titles; none if the page tells of no conversation."""
-    lines = [x.strip() for x in (text or "").splitlines()]
-    out: list[dict] = []
-    prose: list[str] = []
-
-    def item(**x: object) -> None:
-        out.append({k: x.get(k) for k in ("tipo", "de", "para", "texto", "data", "hora", "lado", "numero")})
-
-    def side(name: str) -> str:
-        return "enviada" if name.casefold() in {o.casefold() for o in owners} else "recebida"
-
-    def flush() -> None:
-        for s in re.split(r"(?<=[.!?:;])\s+(?=[A-ZÀ-Ú“\"(])", " ".join(prose)):
-            if not s.strip():
-                continue
-            m, quotes = MESSAGE.match(s), QUOTED.findall(s)
-            strip = lambda x: x.strip("“”\"") if x else None
-            if m and [q for q in quotes if q not in (strip(m["de"]), strip(m["para"]))] == [m["texto"]]:
-                day = "-".join(m["data"].split("/")[::-1]) if m["data"] else None
-                item(tipo="mensagem", de=strip(m["de"]), para=strip(m["para"]), texto=m["texto"].strip(), data=day, hora=m["hora"], lado=side(strip(m["de"])))
-            else:
-                # Attributed only where one name with a verb of speech comes before the first quote and no other speaks.
-                said = list(re.finditer(rf"({NAME})\s*,?\s+{VERBS}\b", s))
-                names = {x[1].strip("“”\"") for x in said}
-                one = names.pop() if quotes and len(names) == 1 and len(re.findall(rf"\b{VERBS}\b", s)) == len(said) and said[0].start() < s.find(quotes[0]) else None
-                item(tipo="relato", texto=s.strip(), de=one, lado=side(one) if one else None, numero=len(quotes))
-        prose.clear()
-
-    for x in lines:
-        if not x or PAGE_FOOTER.match(x):
-            continue
-        if f := FIGURE.match(x):
-            flush()
-            item(tipo="figura", numero=int(f[1]), texto=f[2])
-        elif SECTION.match(x):
-            flush()
-            item(tipo="secao", texto=x)
-        else:
-            prose.append(x)
-    flush()
-    talks = any(i["tipo"] == "mensagem" or i["tipo"] == "relato" and i["de"] or i["tipo"] == "figura" and re.search(rf"{NAME}\s+{VERBS}\b", i["texto"]) for i in out)
-    return out if talks else []
-
-
-def conversation_items(pages: DataFrame, owners: tuple[str, ...] = ()) -> DataFrame:
-    """(documento_id, pagina, ordem, tipo, de, para, texto, data, hora, lado, numero) of pages (documento_id, pagina, texto)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(d, p, k, *i.values()) for d, p, t in pdf[["documento_id", "pagina", "texto"]].itertuples(index=False) for k, i in enumerate(prose_items(t, owners))]
-            yield pd.DataFrame(rows, columns=["documento_id", "pagina", "ordem", "tipo", "de", "para", "texto", "data", "hora", "lado", "numero"])
-
-    return pages.select("documento_id", "pagina", "texto").mapInPandas(run, "documento_id bigint, pagina int, ordem int, tipo string, de string, para string, texto string, data string, hora string, lado string, numero int")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dossier.operators import assertions, flows, entities, graph
 from dossier.plans import chronology
-from dossier.sources import sinks, tabs
+from dossier.sources import prose, sinks, tabs
 
 MENTIONS = [("nome:ACME SA", 1, 1, "requerente", 1), ("oab:1/SP", 2, 1, "advogado", 2), ("nome:BETA LTDA", 3, 1, "requerido", 3), ("oab:1/SP", 4, 2, "advogado", 2), ("nome:ACME SA", 5, 2, "requerido", 1)]
 CASES = [(1, "Pet", 100, "MIN. ANA LIMA"), (2, "Inq", 200, None)]
@@ -79,10 +79,10 @@ def test_bills(spark):
 
 
 def test_prose(spark):
-    page = "1. Conversas do aparelho\nJoão Silva envia para Ana Lima “bom dia”. Nada mais foi achado."
+    page = "1. Conversas do aparelho\nJOÃO SILVA envia para ANA LIMA “bom dia”. Nada mais foi achado."
     df = spark.createDataFrame([(1, 1, page), (1, 2, "Sem conversa."), (1, 3, None)], "documento_id bigint, pagina int, texto string")
-    got = rows(tabs.conversation_items(df, ("João Silva",)), "pagina", "ordem", "tipo", "de", "para", "texto", "lado")
-    assert got[:2] == [(1, 0, "secao", None, None, "1. Conversas do aparelho", None), (1, 1, "mensagem", "João Silva", "Ana Lima", "bom dia", "enviada")]
+    got = rows(prose.conversation_items(df, ("João Silva",)), "pagina", "ordem", "tipo", "de", "para", "texto", "lado")
+    assert got[:2] == [(1, 0, "secao", None, None, "1. Conversas do aparelho", None), (1, 1, "mensagem", "JOÃO SILVA", "ANA LIMA", "bom dia", "enviada")]
     assert {g[0] for g in got} == {1}
 
 
