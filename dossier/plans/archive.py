@@ -51,6 +51,15 @@ def c2_statutes(spark, d):
     return references.statute_summary(references.cited_statutes(cited_pages(spark, d))).drop("lista")
 
 
+LAW_PAGES = "SELECT l_orderkey AS d, l_linenumber AS p, unnest(['art. ' || (1 + l_suppkey % 300) || ' CPP', 'art. 319 CPP', 'art. ' || (1 + l_linenumber) || ' Lei 6.385/1976']) AS dispositivo FROM lineitem"
+
+
+@registered(f"WITH h AS ({LAW_PAGES}) SELECT dispositivo, d AS documento_id, min(p) AS pagina, count(*) AS ocorrencias FROM h GROUP BY ALL")
+def a1_statute_documents(spark, d):
+    """The documents of each statute, with first page and occurrences."""
+    return references.statute_summary(references.cited_statutes(cited_pages(spark, d))).select("dispositivo", F.inline("lista"))
+
+
 @registered(f"WITH h AS ({LAWS}) SELECT diploma, count(DISTINCT d) AS documentos FROM h GROUP BY 1")
 def c3_codes(spark, d):
     return references.count_by_code(references.cited_statutes(cited_pages(spark, d)))
@@ -146,6 +155,20 @@ def e6_many_cases(spark, d):
     return entities.entities_in_many_cases(mentions(spark, d)).select("chave", "processos")
 
 
+@registered(f"WITH m AS ({MENTIONS}), p AS (SELECT DISTINCT k, i, CASE WHEN adv THEN 'advogado' ELSE 'requerente' END AS papel FROM m) SELECT k AS chave, i AS incidente, string_agg(papel, '|' ORDER BY papel) AS papeis FROM p WHERE k IN (SELECT k FROM m GROUP BY 1 HAVING count(DISTINCT i) > 1) GROUP BY ALL")
+def a5_roles(spark, d):
+    """The roles by case of entities in several cases."""
+    return entities.entities_in_many_cases(mentions(spark, d)).select("chave", F.inline("onde")).withColumn("papeis", F.array_join("papeis", "|"))
+
+
+@registered(f"WITH m AS ({MENTIONS}) SELECT 'entidade:' || k AS id, count(DISTINCT i) AS grau FROM m GROUP BY 1 ORDER BY grau DESC, id LIMIT 30")
+def a13_entities(spark, d):
+    """The entities of highest degree: a report of the top 30."""
+    own = mentions(spark, d)
+    named = own.select("chave", F.lit("parte").alias("tipo"), c("chave", "nome")).distinct()
+    return graph.top_hubs(graph.entity_nodes(named, own), graph.party_edges(own))[0].select("id", "grau")
+
+
 @registered(f"WITH m AS ({MENTIONS}) SELECT 'entidade:' || k AS origem, 'caso:' || i AS destino, 'parte_em' AS tipo, count(*) AS n FROM m GROUP BY ALL")
 def g4_parties(spark, d):
     return graph.party_edges(mentions(spark, d)).drop("fontes")

@@ -41,6 +41,25 @@ def known(spark: SparkSession, d: str) -> DataFrame:
 KNOWN = f"p AS (SELECT *, {KEY} AS chave, {SPELLED} AS nome FROM ({PARTIES})), n AS (SELECT chave, nome, r = 2 AS adv, count(*) AS n, min(id) AS f FROM p GROUP BY ALL), k AS (SELECT chave, CASE WHEN adv THEN 'advogado' ELSE 'parte' END AS tipo, nome FROM n QUALIFY row_number() OVER (PARTITION BY chave ORDER BY n DESC, f) = 1 UNION ALL SELECT DISTINCT 'ministro:ANA ' || (s_suppkey % 3), 'ministro', 'Ana ' || (s_suppkey % 3) FROM supplier)"
 
 
+# Pairs of suppliers 2j and 2j + 1: names that differ in the last letter, one name inside the other, and names that have a word in common.
+NAMES = (
+    "WITH w AS (SELECT s_suppkey AS id, s_suppkey div 2 AS j, translate(md5(cast(s_suppkey div 2 AS string)), '0123456789abcdef', 'BCDFGHJKLMNPQRTV') AS h FROM suppliers), "
+    "p AS (SELECT id, j, substr(h, 1, 8) AS a, substr(h, 9, 8) AS b, substr(h, 17, 8) AS c, substr(h, 25, 8) AS d FROM w) "
+    "SELECT cast(id AS bigint) AS id, 'parte' AS tipo, concat('nome:', id) AS chave, CASE j % 3 WHEN 0 THEN concat_ws(' ', a, b, concat(c, if(id % 2 = 0, 'X', 'Y'))) "
+    "WHEN 1 THEN if(id % 2 = 0, concat_ws(' ', a, b, c), concat_ws(' ', a, b, d, c)) ELSE if(id % 2 = 0, concat_ws(' ', a, b, c), concat_ws(' ', d, c, b)) END AS nome FROM p"
+)
+
+
+@registered(
+    "SELECT a.s_suppkey AS a, b.s_suppkey AS b, CASE (a.s_suppkey // 2) % 3 WHEN 0 THEN round(26 / 27, 6) ELSE round(52 / 61, 6) END AS semelhanca, (a.s_suppkey // 2) % 3 = 1 AS contido "
+    "FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1 WHERE a.s_suppkey % 2 = 0 AND (a.s_suppkey // 2) % 3 < 2"
+)
+def e4_aliases(spark, d):
+    """Aliases proposed among suppliers' made-up names; what each shape must give is known from the lengths of its words."""
+    named = spark.sql(NAMES.replace("FROM suppliers", "FROM {suppliers}"), suppliers=t(spark, d, "supplier"))
+    return entities.propose_aliases(named).select("a", "b", F.round("semelhanca", 6).alias("semelhanca"), "contido")
+
+
 @registered(f"WITH {KNOWN} SELECT chave, tipo, nome, CASE WHEN tipo = 'parte' THEN 'pessoa_juridica' END AS natureza_provavel, CASE tipo WHEN 'parte' THEN 'empresa' WHEN 'ministro' THEN 'Supremo Tribunal Federal' END AS grupo, CASE WHEN tipo = 'ministro' THEN 'portal' ELSE 'partes' END AS origem FROM k")
 def e1_entities(spark, d):
     return known(spark, d)
@@ -552,3 +571,14 @@ def q2_changes(spark, d):
     rows.repartition(8, "coleta_id").write.json(f"{path}/in")
     ingest.stream_changes(spark, f"{path}/in", f"{path}/t", f"{path}/state").awaitTermination()
     return ingest.changes(spark, f"{path}/t").select("incidente", "anterior", "coleta_id", "efeito", "item")
+
+
+MONEY_KEYS = MONEY.replace(" FROM lineitem JOIN", ", l_orderkey || '-' || l_linenumber AS tx_id, l_returnflag AS tipo, l_linestatus AS secao FROM lineitem JOIN")
+GATHERED = ", ".join(f"string_agg(DISTINCT {a}, '|' ORDER BY {a}) AS {b}" for a, b in (("natureza", "naturezas"), ("tipo", "tipos"), ("secao", "secoes")))
+
+
+@registered(f"WITH m AS ({MONEY_KEYS}) SELECT origem, destino, sum(centavos)::BIGINT AS centavos, count(*) AS n, md5(string_agg(tx_id, '|' ORDER BY tx_id)) AS transacoes, {GATHERED} FROM m WHERE {COUNTED} GROUP BY ALL")
+def m5_contents(spark, d):
+    """What each directed pair holds: its flows' ids as a digest, natures, types and sections."""
+    joined = [F.array_join(k, "|").alias(k) for k in ("naturezas", "tipos", "secoes")]
+    return flows.flow_edges(money(spark, d)).select("origem", "destino", "centavos", "n", F.md5(F.array_join("transacoes", "|")).alias("transacoes"), *joined)

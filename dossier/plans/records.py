@@ -84,6 +84,25 @@ def s10_flow_sheets(spark, d):
     return spark.read.option("header", "true").csv(f"{path}/fluxos").selectExpr("cast(tx_id AS bigint) AS tx_id", "valor_centavos")
 
 
+@registered("SELECT 'fluxos' AS planilha, o_orderkey::VARCHAR AS chave, printf('%.2f', o_totalprice) AS valor, 'a | b, \"c\"' AS resto, 4::BIGINT AS colunas FROM orders UNION ALL SELECT 'atores', c_custkey::VARCHAR, printf('%.2f', c_acctbal), c_mktsegment, 4 FROM customer UNION ALL SELECT 'comunicacoes', s_suppkey::VARCHAR, printf('%.2f', s_acctbal), 'com ' || s_suppkey, 4 FROM supplier UNION ALL SELECT 'bens', p_partkey::VARCHAR, NULL, p_brand, 4 FROM part")
+def s10_four_sheets(spark, d):
+    """All four sheets written and read again; colunas counts a sheet's columns, of which the private one isn't."""
+    money = lambda k: f"cast(round({k} * 100) AS bigint) AS valor_centavos"
+    sheets = {
+        "fluxos": x(spark, d, "orders", "o_orderkey AS chave", money("o_totalprice"), "array('a', 'b, \"c\"') AS resto", "o_orderstatus AS situacao", "o_orderpriority AS identificacao"),
+        "atores": x(spark, d, "customer", "c_custkey AS chave", money("c_acctbal"), "c_mktsegment AS resto", "c_nationkey AS pais", "c_name AS identificacao"),
+        "comunicacoes": x(spark, d, "supplier", "s_suppkey AS chave", money("s_acctbal"), "concat('com ', s_suppkey) AS resto", "s_nationkey AS pais"),
+        "bens": x(spark, d, "part", "p_partkey AS chave", "cast(NULL AS bigint) AS valor_centavos", "p_brand AS resto", "p_size AS tamanho", "p_name AS identificacao"),
+    }
+    path = folder(spark, "sheets")
+    sinks.write_flow_csvs(sheets, path)
+    parts = []
+    for name in sheets:
+        back = spark.read.option("header", "true").option("escape", '"').csv(f"{path}/{name}")
+        parts.append(back.select(F.lit(name).alias("planilha"), "chave", F.col("valor_centavos").alias("valor"), "resto", F.lit(len(back.columns)).cast("bigint").alias("colunas")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @registered("SELECT user_id::VARCHAR AS coleta_id, event_type AS aba, min(event_id) AS sid FROM events WHERE value > 100 GROUP BY ALL")
 def f1_first_ok(spark, d):
     rows = x(spark, d, "events", "cast(user_id AS string) AS coleta_id", "event_type AS aba", "event_id AS sid", "if(value > 100, 200, 500) AS http_status")
