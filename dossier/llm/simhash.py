@@ -88,34 +88,42 @@ def forest(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
 
 
 def linked(keyed: DataFrame, distance: int, largest: int) -> DataFrame:
-    """From rows (mask, part, fp), edges (a, b) of each block that is small enough, and rows (a, mask) of the others."""
+    """From rows (mask, part, fp), edges (a, b) of each block that is small enough, and rows (a, mask) of the others.
 
-    def close(mask: int, fp: np.ndarray) -> tuple[list, list, list]:
-        if len(fp) > largest and int(mask).bit_count() < 64 - 11:
-            return fp.tolist(), [None] * len(fp), [int(mask)] * len(fp)
-        pairs = forest(fp.view(np.uint64), distance)
-        return [int(fp[i]) for i, _ in pairs], [int(fp[j]) for _, j in pairs], [None] * len(pairs)
+    A block is held until it has more than `largest` members; from then on its rows are handed on as they come.
+    """
+
+    def splits(mask: int) -> bool:
+        return mask.bit_count() < 64 - 11
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.empty((3, 0), np.int64)
-        for b in itertools.chain(batches, [None]):
-            new = np.array([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]) if b is not None else np.empty((3, 0), np.int64)
+        rest, handed = np.empty((3, 0), np.int64), None  # rows of a block that may go on; the block that is handed on
+        for batch in itertools.chain(batches, [None]):
+            new = np.array([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]) if batch is not None else np.empty((3, 0), np.int64)
             x = np.concatenate([rest, new], axis=1)
+            rest = x[:, :0]
             if not x.shape[1]:
                 continue
-            cut = np.flatnonzero(np.any(x[:2, 1:] != x[:2, :-1], axis=0)) + 1
-            edge = np.concatenate([[0], cut, [x.shape[1]]])
-            if b is not None:  # the last block may go on in the next batch
-                rest, edge = x[:, edge[-2] :], edge[:-1]
-            size = np.diff(edge)
+            edge = np.concatenate([[0], np.flatnonzero(np.any(x[:2, 1:] != x[:2, :-1], axis=0)) + 1, [x.shape[1]]])
+            size, last = np.diff(edge), len(edge) - 2
+            goes_on = tuple(x[:2, 0]) == handed
             a, c, m = [], [], []
-            for k in np.flatnonzero(size > 1):
-                got = close(int(x[0, edge[k]]) & ((1 << 64) - 1), np.ascontiguousarray(x[2, edge[k] : edge[k + 1]]))
-                a += got[0]
-                c += got[1]
-                m += got[2]
+            for k in sorted({*np.flatnonzero(size > 1).tolist(), 0, last}):
+                mask, fp = int(x[0, edge[k]]) & ((1 << 64) - 1), np.ascontiguousarray(x[2, edge[k] : edge[k + 1]])
+                if (k == 0 and goes_on) or (len(fp) > largest and splits(mask)):
+                    handed = tuple(x[:2, edge[k]])
+                    a += fp.tolist()
+                    c += [None] * len(fp)
+                    m += [signed(mask)] * len(fp)
+                elif k == last and batch is not None:
+                    rest = x[:, edge[k] :]
+                else:
+                    pairs = forest(fp.view(np.uint64), distance)
+                    a += [int(fp[i]) for i, _ in pairs]
+                    c += [int(fp[j]) for _, j in pairs]
+                    m += [None] * len(pairs)
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array([None if v is None else signed(v) for v in m], pa.int64())], names=["a", "b", "mask"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(m, pa.int64())], names=["a", "b", "mask"])
 
     n = parts(keyed.sparkSession)
     return keyed.repartition(n, "mask", "part").sortWithinPartitions("mask", "part").mapInArrow(run, "a bigint, b bigint, mask bigint")

@@ -52,7 +52,18 @@ def test_simhash(docs, texts, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_hot_blocks_are_split(spark):
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_hot_blocks_are_split(spark, batch):
+    """With batches of three rows a block of more than eight is handed on over many batches."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        check_hot_blocks(spark)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def check_hot_blocks(spark):
     base = int(RNG.integers(0, 2**62))
     fps = sorted({base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in RNG.integers(0, 62, (200, 2))})
     edges = simhash.close_edges(spark.createDataFrame([(x,) for x in fps], "fp bigint"), 3, largest=8).collect()
