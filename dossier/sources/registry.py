@@ -57,14 +57,16 @@ def first_ok_per_tab(registry: DataFrame) -> DataFrame:
 
 
 def register_archive(files: DataFrame) -> DataFrame:
-    """Documents of an unpacked bundle (path, content): folder/NNNNN title_hash8.pdf or .rtf; other files are left out."""
+    """Documents of unpacked bundles (path, content, acervo if there are several): folder/NNNNN title_hash8.pdf or .rtf; other files are
+    left out. Of a bundle's files with the same folder, number and hash the first counts; bundles number their files by themselves."""
     name = F.element_at(F.split("path", "/"), -1)
     folder = F.element_at(F.split("path", "/"), -2)
     pattern = r"(?i)^(\d{5}) (.+)_([0-9a-f]{8})\.(pdf|rtf)$"
     got = files.where(name.rlike(pattern))
     part = lambda i: F.regexp_extract(name, pattern, i)
-    rows = got.select(F.concat(folder, F.lit("/"), part(1), F.lit("_"), part(3)).alias("id_portal"), part(2).alias("titulo"), F.lower(part(4)).alias("formato"), F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("bigint").alias("bytes"), "path")
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy("id_portal").orderBy("path"))).where("_n = 1").drop("_n", "path")
+    bundle = ["acervo"] if "acervo" in files.columns else []
+    rows = got.select(F.concat(folder, F.lit("/"), part(1), F.lit("_"), part(3)).alias("id_portal"), part(2).alias("titulo"), F.lower(part(4)).alias("formato"), F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("bigint").alias("bytes"), "path", *bundle)
+    return rows.withColumn("_n", F.row_number().over(W.partitionBy(*bundle, "id_portal").orderBy("path"))).where("_n = 1").drop("_n", "path", *bundle)
 
 
 def recently_captured(registry: DataFrame, now, max_age_hours: int = 12) -> DataFrame:
