@@ -8,10 +8,10 @@ from collections.abc import Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dossier.functions.text import Rules, classify_first_match, entity_key, entity_type, likely_company, minister_key, minister_name, name_key, normalize_key, normalize_name
+from dossier.sources.shared import save
 
 
 def canonical_name(mentions: DataFrame, key: str = "chave") -> DataFrame:
@@ -57,27 +57,43 @@ def resolve_cited_entities(cited: DataFrame, entities: DataFrame, aliases: Mappi
     return found.select("assercao_id", "chave").distinct(), fresh.withColumn("origem", F.lit("documento"))
 
 
+def _share_a_piece(names: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: ids of names (id, norm, len), of which the longer holds one of the shorter's pieces about where it stands there.
+
+    A name of n characters has the pieces that its longest partner needs, n * (2 / threshold - 1): one more than may break.
+    """
+    stretch, slack = 2 / threshold - 1, 1e-9
+    broken = lambda n: F.floor((1 - threshold) * (1 + stretch) * n + slack).cast("int")
+    start = lambda n, i: F.floor(i * n / (broken(n) + 1)).cast("int")
+    cut = lambda n, i: start(n, i + 1) - start(n, i)
+    key = lambda n, i, at: F.xxhash64(n, i, F.substring(F.col("norm"), at + 1, cut(n, i)))
+    length = F.col("len")
+    own = names.select("id", "len", F.explode(F.transform(F.sequence(F.lit(0), broken(length)), lambda i: key(length, i, start(length, i)))).alias("k"))
+
+    # A longer name of m characters asks for each length n of a partner, each piece i and each place that it may have moved to.
+    partners = names.select("id", "norm", "len", F.explode(F.sequence(F.ceil(length / stretch - slack).cast("int"), length)).alias("n"))
+    n = F.col("n")
+    most = F.floor((1 - threshold) * (length + n) + slack)
+    back, on = F.floor((most - (length - n)) / 2).cast("int"), F.floor((most + (length - n)) / 2).cast("int")
+    pieces = partners.select("id", "norm", "len", "n", back.alias("back"), on.alias("on"), F.explode(F.sequence(F.lit(0), broken(n))).alias("i")).where("back >= 0")
+    at, i = start(n, F.col("i")), F.col("i")
+    low, high = F.greatest(at - F.col("back"), F.lit(0)), F.least(at + F.col("on"), length - cut(n, i))
+    asked = pieces.withColumns({"low": low, "high": high}).where("low <= high").select("id", "n", F.explode(F.array_distinct(F.transform(F.sequence("low", "high"), lambda p: key(n, i, p)))).alias("k"))
+    met = own.select(F.col("id").alias("x"), F.col("len").alias("n"), "k").join(asked.select(F.col("id").alias("y"), "n", "k"), ["n", "k"]).where("x <> y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def propose_aliases(entities: DataFrame, threshold: float = 0.9, least: int = 12) -> DataFrame:
     """(a, b, semelhanca, contido): pairs of entities (id, tipo, chave, nome) whose normalised names are alike; proposals only.
 
     Alike: a matching-blocks ratio of at least the threshold, or one name's words all in the other's with the same first and
-    last. Names under `least` characters and lawyers are left out. Candidates come without loss: M matching characters in at
-    most T - 2M + 1 blocks share that many character pairs less one a block, so in an order by rarity the first pairs of both
-    (a prefix as long as the bound allows) meet; names are unified first, so equal ones are never paired.
+    last. Names under `least` characters and lawyers are left out. Names are unified first, so equal ones are never paired.
+    Candidates come without loss: of T characters in both at most d = (1 - threshold) * T match nothing, each of which breaks one of
+    the shorter name's pieces; cut into more pieces than that, one stands whole in the longer name, at most d places off.
     """
-    gap = 2 * (1 - threshold)  # unmatched characters over the length of both, twice
     names = entities.where("tipo <> 'advogado'").withColumn("norm", normalize_key(F.col("nome"))).where(F.length("norm") >= least)
-    one = names.groupBy("norm").agg(F.min("id").alias("id")).withColumn("len", F.length("norm"))
-    grams = one.select("id", "len", F.explode(F.transform(F.sequence(F.lit(1), F.col("len") - 1), lambda i: F.substring(F.col("norm"), i, F.lit(2)))).alias("g"))
-    tokens = grams.withColumn("k", F.row_number().over(W.partitionBy("id", "g").orderBy("g")))
-    often = tokens.groupBy("g", "k").agg(F.count("*").alias("n"))
-    ranked = tokens.join(often, ["g", "k"]).withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("n", "g", "k")))
-    # T is at least len * (1 + shortest partner / len); shared pairs are at least threshold * T / 2 - (gap / 2 * T + 1).
-    total = F.col("len") * (1 + threshold / (2 - threshold))
-    shared = F.ceil(total * (threshold / 2 - gap / 2) - 1)
-    prefix = ranked.where(F.col("r") <= F.greatest(F.lit(1), F.col("len") - 1 - shared + 1)).select("id", "len", "g", "k")
-    near = prefix.alias("x").join(prefix.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id")))
-    near = near.where(F.least("x.len", "y.len") >= F.greatest("x.len", "y.len") * (threshold / (2 - threshold))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    one = save(names.groupBy("norm").agg(F.min("id").alias("id")).withColumn("len", F.length("norm")), "names")
+    near = _share_a_piece(one, threshold)
     # A name inside another has all its words there: its rarest one, with the first and last, meets only names that may hold it.
     words = one.withColumn("w", F.split("norm", " ")).where("size(w) >= 2").select("id", "w", F.get("w", F.lit(0)).alias("f"), F.element_at("w", -1).alias("l"))
     each = words.select("id", "f", "l", F.explode(F.array_distinct("w")).alias("t"))
