@@ -15,17 +15,16 @@ from dossier.llm.blocks import ROWS, Batch, answered, as_batch, chunks, scored,
 from dossier.llm.common import parts, save
 
 ORDER = 3
-#: Trusted documents of a language that its model is trained on, about, at most; of a language with ENOUGH or more at most SHARE of
-#: them, so that its threshold comes from others.
-TRUSTED, ENOUGH, SHARE = 20_000, 100, 0.8
+#: Of a language with ENOUGH trusted documents or more its model is trained on SHARE of them, so that its threshold comes from the
+#: others; TRUSTED, if set, bounds how many that are, about. None: all of them.
+TRUSTED, ENOUGH, SHARE = None, 100, 0.8
 #: Document ids that are broadcast, at most.
 MOST_IDS = 1_000_000
 #: A document is rejected if its perplexity is over this quantile of its language's trusted documents, raised by the margin.
 QUANTILE, MARGIN = 0.995, 1.15
-#: Texts labelled toxic, and trusted ones that they are compared with, about, at most; how many different toxic texts a suspect word
-#: is in at least, how many times more often than in trusted ones, and how many such words count at most, how many a
-#: text needs at least to be rejected.
-FLAGGED, IN_TEXTS, ODDS, SUSPECTS, HELD = 20_000, 5, 20.0, 10_000, 2
+#: How many different toxic texts a suspect word is in at least, how many times more often than in trusted ones, how many such words
+#: count at most, and how many a text needs at least to be rejected.
+IN_TEXTS, ODDS, SUSPECTS, HELD = 5, 20.0, 10_000, 2
 _letters = regex.compile(r"\p{L}+").findall
 
 
@@ -40,26 +39,23 @@ def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     its language has too few for any to be kept apart."""
     rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang")).join(trusted_ids(labels), "doc_id").distinct()
     # One row for each language.
-    share = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.col("n") < ENOUGH).alias("alone"), F.least(F.lit(SHARE), TRUSTED / F.col("n")).alias("share"))
+    part = F.least(F.lit(SHARE), TRUSTED / F.col("n")) if TRUSTED else F.lit(SHARE)
+    share = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.col("n") < ENOUGH).alias("alone"), part.alias("share"))
     fitted = F.col("alone") | (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
     return rows.join(F.broadcast(share), "lang").select("doc_id", "lang", fitted.alias("fitted"), "alone")
 
 
 def suspect_words(docs: DataFrame, labels: DataFrame, trusted: DataFrame) -> frozenset[str]:
-    """Words that set texts labelled toxic apart from trusted ones (see FLAGGED), lower case.
+    """Words that set texts labelled toxic apart from trusted ones (see IN_TEXTS), lower case.
 
-    Few words decide toxicity, which a perplexity over whole texts can't see. Equal texts count once; a bounded sample of labelled
-    documents, chosen by the hash of their ids, is all that is looked at.
+    Few words decide toxicity, which a perplexity over whole texts can't see. Equal texts count once.
     """
     toxic = labels.where("toxic = 1 and doc_id is not null").select("doc_id", F.lit(1).alias("toxic")).distinct()
     marked = toxic.unionByName(trusted.where("fitted").select("doc_id", F.lit(0).alias("toxic")).distinct())
     sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}  # two numbers
     if not sizes.get(1) or not sizes.get(0):
         return frozenset()
-    share = F.when(F.col("toxic") == 1, FLAGGED / sizes[1]).otherwise(FLAGGED / sizes[0])
-    chosen = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    if sum(min(n, 2 * FLAGGED) for n in sizes.values()) <= MOST_IDS:
-        chosen = F.broadcast(chosen)
+    chosen = F.broadcast(marked) if sum(sizes.values()) <= MOST_IDS else marked
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy(F.md5("text").alias("d")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
     texts = save(texts.select("toxic", F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")).alias("words")), "labelled")
     n = texts.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("g")).first()
