@@ -22,7 +22,9 @@ def write_csv_semicolon(df: DataFrame, path: str) -> None:
 
 
 def amount(c: str) -> F.col:
-    return (F.col(c).cast("decimal(20,0)") / 100).cast("decimal(18,2)")
+    """Cents as an amount with two decimals. Cents that are a double keep the sign of what was rounded to zero, as printf does: -0.00."""
+    whole = (F.col(c).cast("decimal(20,0)") / 100).cast("decimal(18,2)").cast("string")
+    return F.when(F.col(c).cast("string") == "-0.0", F.concat(F.lit("-"), whole)).otherwise(whole)
 
 
 def write_flow_csvs(tables: dict[str, DataFrame], path: str, private: tuple[str, ...] = ("identificacao",)) -> None:
