@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dossier.functions.text import minister_key, name_key
-from dossier.sources.shared import save
+from dossier.sources.shared import save, spread
 
 
 def case_id(incidente: str = "incidente") -> F.col:
@@ -79,25 +79,31 @@ def representation_edges(mentions: DataFrame) -> DataFrame:
     return _edge(got, entity_id("advogado"), entity_id("representado"), "representa", F.col("n"))
 
 
-def first_sources(df: DataFrame, key: list[str], source, order: list[str], most: int) -> DataFrame:
-    """For each key n rows and the first `most` sources: ranked before they are collected, so no list grows beyond it."""
-    ranked = df.withColumn("_s", source).withColumn("_r", F.row_number().over(W.partitionBy(*key).orderBy(*order)))
-    return ranked.groupBy(*key).agg(F.count("*").alias("n"), F.transform(F.sort_array(F.collect_list(F.when(F.col("_r") <= most, F.struct("_r", "_s")))), lambda x: x["_s"]).alias("fontes"))
+def first_sources(df: DataFrame, rows: int, key: list[str], source, order: list[str], most: int, different: bool = False) -> DataFrame:
+    """For each key of df, which has about so many rows, n rows and the first `most` sources: ranked before they are collected, so no list
+    grows beyond it. With `different` n is how many values the first column of the order has."""
+    w = W.partitionBy(*key).orderBy(*order)
+    ranked = spread(df.select(*dict.fromkeys([*key, *order])), rows, *key).withColumn("_r", F.row_number().over(w))
+    n = F.count("*")
+    if different:
+        ranked = ranked.withColumn("_new", ~F.col(order[0]).eqNullSafe(F.lag(order[0]).over(w)) & F.col(order[0]).isNotNull())
+        n = F.count_if("_new")
+    return ranked.groupBy(*key).agg(n.alias("n"), F.transform(F.sort_array(F.collect_list(F.when(F.col("_r") <= most, F.struct("_r", source.alias("_s"))))), lambda x: x["_s"]).alias("fontes"))
 
 
 def citation_edges(citations: DataFrame, docs: DataFrame, cases: DataFrame, most: int = 25) -> DataFrame:
     """Case to cited case: n documents; sources are document and page. Citations of the case itself don't count."""
-    own = target(citations.join(docs.select("documento_id", "incidente"), "documento_id"), cases, "classe", "numero").withColumn("origem_id", case_id()).where("origem_id <> destino_id")
+    met = citations.select("documento_id", "pagina", "classe", "numero").join(docs.select("documento_id", "incidente"), "documento_id")
+    own = save(target(met, cases, "classe", "numero").where(case_id() != F.col("destino_id")).select("incidente", "destino_id", "documento_id", "pagina"), "cited")
     page = F.concat_ws(":", F.col("documento_id").cast("string"), F.col("pagina").cast("string"))
-    got = first_sources(own, ["origem_id", "destino_id"], page, ["documento_id", "pagina"], most).drop("n")
-    n = own.groupBy("origem_id", "destino_id").agg(F.count_distinct("documento_id").alias("n"))
-    return _edge(got.join(n, ["origem_id", "destino_id"]), F.col("origem_id"), F.col("destino_id"), "cita_processo", F.col("n"), F.col("fontes"))
+    got = first_sources(own, own.count(), ["incidente", "destino_id"], page, ["documento_id", "pagina"], most, different=True)
+    return _edge(got, case_id(), F.col("destino_id"), "cita_processo", F.col("n"), F.col("fontes"))
 
 
 def cited_in_edges(links: DataFrame, assertions: DataFrame, most: int = 25) -> DataFrame:
     """Entity to the case whose assertions cite it."""
-    own = links.join(assertions.select("assercao_id", "incidente"), "assercao_id")
-    got = first_sources(own, ["chave", "incidente"], F.col("assercao_id").cast("string"), ["assercao_id"], most)
+    own = save(links.join(assertions.select("assercao_id", "incidente"), "assercao_id").select("chave", "incidente", "assercao_id"), "cited")
+    got = first_sources(own, own.count(), ["chave", "incidente"], F.col("assercao_id").cast("string"), ["assercao_id"], most)
     return _edge(got, entity_id(), case_id(), "citado_em", F.col("n"), F.col("fontes"))
 
 
@@ -114,24 +120,31 @@ def speaker_edges(assertions: DataFrame, entities: DataFrame) -> DataFrame:
 TILE = 500
 
 
-def pairs_within(members: DataFrame, group: str, name: str, tile: int = TILE) -> DataFrame:
-    """(group, a, b), a < b: all pairs of different members (group, name) of a group, whose names are distinct in it.
+def pairs_within(members: DataFrame, group: str, name: str, tile: int = TILE, rows: int | None = None) -> DataFrame:
+    """(group, a, b), a < b: all pairs of different members (group, name) of a group, whose names are distinct in it; rows is
+    how many members there are about, counted if not given.
 
     A group of n members has n / tile tiles; each member goes to the pairs of its own tile with the others, so a key holds two tiles
     however large its group is.
     """
-    sizes = members.groupBy(group).agg(F.ceil(F.count("*") / tile).cast("int").alias("_k"))
-    dealt = members.join(sizes, group).withColumn("_t", F.pmod(F.xxhash64(name), F.col("_k")).cast("int"))
+    members = spread(members, members.count() if rows is None else rows, group)
+    sizes = members.groupBy(group).agg(F.count("*").alias("_n")).withColumn("_k", F.ceil(F.col("_n") / tile).cast("int"))
+    n = sizes.agg(F.sum(F.col("_n") * F.col("_k"))).first()[0] or 0
+    dealt = members.join(sizes.select(group, "_k"), group).withColumn("_t", F.pmod(F.xxhash64(name), F.col("_k")).cast("int"))
     left = dealt.select(group, F.col(name).alias("_l"), F.col("_t").alias("_i"), F.explode(F.expr("sequence(_t, _k - 1)")).alias("_j"))
     right = dealt.select(group, F.col(name).alias("_r"), F.explode(F.expr("sequence(0, _t)")).alias("_i"), F.col("_t").alias("_j"))
-    met = left.join(right, [group, "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col("_l") < F.col("_r")))
+    met = spread(left, n, group, "_i", "_j").join(spread(right, n, group, "_i", "_j"), [group, "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col("_l") < F.col("_r")))
     return met.select(group, F.least("_l", "_r").alias("a"), F.greatest("_l", "_r").alias("b"))
 
 
 def cocitation_edges(links: DataFrame, entities: DataFrame, most: int = 10) -> DataFrame:
     """Unordered pairs of entities in the same assertion; ministers and lawyers are left out."""
-    own = links.join(entities.where("tipo not in ('ministro', 'advogado')").select("chave"), "chave").select("assercao_id", "chave").distinct()
-    got = first_sources(pairs_within(own, "assercao_id", "chave"), ["a", "b"], F.col("assercao_id").cast("string"), ["assercao_id"], most)
+    others = entities.where("tipo not in ('ministro', 'advogado')").select("chave").hint("shuffle_hash")  # hashed, so the links aren't sorted
+    met = save(links.join(others, "chave").select("assercao_id", "chave"), "met")
+    own = save(spread(met, rows := met.count(), "assercao_id").distinct(), "members")
+    groups = spread(own, rows, "assercao_id").groupBy("assercao_id").agg(F.count("*").alias("n"))
+    pairs = groups.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("bigint")).first()[0] or 0
+    got = first_sources(pairs_within(own, "assercao_id", "chave", rows=rows), pairs, ["a", "b"], F.col("assercao_id").cast("string"), ["assercao_id"], most)
     return _edge(got, entity_id("a"), entity_id("b"), "co_citacao", F.col("n"), F.col("fontes"))
 
 
@@ -155,14 +168,18 @@ def build_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def seed_distance(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """(id, distancia): least number of undirected edges (origem, destino) from any seed (id); unreachable nodes have no row.
 
-    A frontier is joined with the edges until nothing new is met, each round written to the shared folder.
+    A frontier is joined with the edges until nothing new is met, each round written to the shared folder. The frontier's ids are
+    hashed, so a node's edges only pass by, however many it has.
     """
-    both = save(edges.select(F.col("origem").alias("id"), F.col("destino").alias("next")).union(edges.select("destino", "origem")).distinct(), "edges")
+    both = save(edges.select(F.col("origem").alias("id"), F.col("destino").alias("next")).union(edges.select("destino", "origem")), "edges")
+    both = save(spread(both, n := both.count(), "id", "next").distinct(), "edges")
+    dealt = spread(both, n, "id")
     reached = save(seeds.select("id").distinct().withColumn("distancia", F.lit(0)), "reached")
     frontier, d = reached.select("id"), 0
     while most is None or d < most:
         d += 1
-        step = frontier.join(both, "id").select(F.col("next").alias("id")).distinct().join(reached.select("id"), "id", "left_anti").withColumn("distancia", F.lit(d))
+        met = dealt.join(frontier.hint("shuffle_hash"), "id").select(F.col("next").alias("id"))
+        step = spread(met, n, "id").distinct().join(reached.select("id"), "id", "left_anti").withColumn("distancia", F.lit(d))
         step = save(step, "frontier")
         if step.isEmpty():
             break

@@ -32,6 +32,15 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a task in steps that sort or hold them.
+ROWS = 500_000
+
+
+def spread(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """df, which has about so many rows, dealt by the columns to tasks of ROWS rows: what a task holds doesn't grow with the table."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS)), *by)
+
+
 def opened(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table at path, whose partition columns are in the schema too; no rows if nothing was written there yet."""
     try:
