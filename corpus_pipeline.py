@@ -19,7 +19,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies: linked SimHash fingerprints and MinHash bands, then a Jaccard similarity of 0.8 or
+    more of five-word shingles."""
     return copies.drop_near_copies(docs, stable=True)
 
 

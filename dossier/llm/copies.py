@@ -1,4 +1,4 @@
-"""Near copies by exact Jaccard similarity of word shingles; MinHash bands say which documents are compared."""
+"""Near copies by exact Jaccard similarity of word shingles; SimHash links and MinHash bands say which documents are compared."""
 
 from __future__ import annotations
 
@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.common import blob, components, numbered, save, tidy
+from dossier.llm.simhash import close_edges, fingerprint
 
 SEED = 42
 #: Two documents are compared if one of the bands, each the least values of WIDTH hash functions, is the same in both: at a
 #: similarity of 0.8 all but 5 in 100,000 pairs are.
 BANDS, WIDTH = 25, 5
+#: Bits in which linked SimHash fingerprints differ at most, and words of their shingles, as in op1.
+DISTANCE, FINGER = 3, 3
 #: Near copies have at least NUM / DEN of their distinct shingles in common.
 NUM, DEN = 4, 5
 #: Members of a bucket that are compared with one another in one task; larger buckets are dealt into pieces, each pair of which is compared.
@@ -47,7 +50,8 @@ def similar(both, a, b):
 def near_copies(rows: DataFrame, width: int = 5) -> DataFrame:
     """For each of rows (doc_id, text, _rid) its _rid, doc_id, set (a digest of its shingles) and root.
 
-    Rows with the same root are those that chains of near copies reach. Every bucket's members are compared until the exact
+    Rows with the same root are those that chains of near copies reach. A bucket holds what agrees in a MinHash band, or a component of
+    SimHash fingerprints that link: so what SimHash links is compared too, even where no band is the same. Every bucket's members are compared until the exact
     comparisons connect them or none is left: first with the bucket's least member, then, in buckets that this leaves in
     several components, each member outside the largest component with every other.
     """
@@ -57,14 +61,19 @@ def near_copies(rows: DataFrame, width: int = 5) -> DataFrame:
             sets = [shingles(x, width) for x in b.column("_text").to_pylist()]
             own = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
             keys = pa.array([bands(x) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("_rid"), b.column("doc_id"), pa.array(own, pa.binary()), pa.array(list(map(len, sets)), pa.int32()), keys], names=["_rid", "doc_id", "set", "n", "bands"])
+            fps = pa.array([fingerprint(x, FINGER) for x in b.column("_text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("_rid"), b.column("doc_id"), pa.array(own, pa.binary()), pa.array(list(map(len, sets)), pa.int32()), keys, fps], names=["_rid", "doc_id", "set", "n", "bands", "fp"])
         tidy()
 
     texts = rows.select("_rid", "doc_id", blob().alias("_text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    signed = save(texts.mapInArrow(sign, f"_rid bigint, doc_id {kind}, set binary, n int, bands array<bigint>"), "bands")
+    signed = save(texts.mapInArrow(sign, f"_rid bigint, doc_id {kind}, set binary, n int, bands array<bigint>, fp bigint"), "bands")
     own = signed.groupBy("set").agg(F.min("_rid").alias("_rid"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    keyed = save(own.select("set", "_rid", "n", F.posexplode("bands").alias("band", "key")), "keyed")
+    fps = save(signed.select("set", "fp").distinct(), "fingerprints")  # of equal sets too fingerprints may differ
+    linked = components(close_edges(fps.select("fp").distinct(), DISTANCE)).withColumnRenamed("node", "fp")
+    linked = fps.join(linked, "fp", "left").select("set", F.coalesce("root", "fp").alias("key")).distinct().join(own, "set")
+    keyed = own.select("set", "_rid", "n", F.posexplode("bands").alias("band", "key")).unionByName(linked.select("set", "_rid", "n", F.lit(BANDS).alias("band"), "key"))
+    keyed = save(keyed, "keyed")
     bucket = save(keyed.groupBy("band", "key").agg(F.count("*").alias("members"), F.min(F.struct("set", "n")).alias("center")).where("members > 1"), "buckets")
     members = save(keyed.join(bucket, ["band", "key"]).select("band", "key", "set", "_rid", "n", "members", "center"), "members")
 
