@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
 import hashlib
 import heapq
 import itertools
@@ -64,10 +65,11 @@ WITH RECURSIVE step(round, key, token) AS (
 )
 SELECT round, key, token FROM step
 """
-# Ordered aggregation puts the tokens' bytes together.
+# Ordered aggregation puts the tokens' bytes together. All rows are sorted at once, which one thread then aggregates in their order:
+# an order inside the aggregate sorts each piece's few rows by itself, at seven times the cost.
 DECODE = """
-SELECT piece, unhex(string_agg(hex(t.bytes), '' ORDER BY i.at)) AS bytes
-FROM ids i JOIN tokens t ON t.token = i.token GROUP BY piece
+SELECT piece, unhex(string_agg(hex, '')) AS bytes
+FROM (SELECT i.piece, t.hex FROM ids i JOIN tokens t ON t.token = i.token ORDER BY i.piece, i."at") GROUP BY piece
 """
 
 
@@ -91,8 +93,9 @@ class Coder:
         self.db.register("merges_in", table)
         self.db.register("tokens_in", tokens)
         self.db.execute("CREATE TABLE merges AS FROM merges_in")
-        self.db.execute("CREATE TABLE tokens AS FROM tokens_in")
-        self.pairs = pairs
+        self.db.execute("CREATE TABLE tokens AS SELECT token, hex(bytes) AS hex FROM tokens_in")
+        self.db.unregister("merges_in")
+        self.db.unregister("tokens_in")
         self.byte = np.array([self.ranks[bytes([k])] for k in range(256)], np.int32)
 
     def merged(self, pieces: list[bytes], query: str) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +117,8 @@ class Coder:
     @functools.cached_property
     def merges(self) -> dict[int, int]:
         """The merge table as a dictionary, for huge pieces alone."""
-        return {a << 32 | b: r for a, b, r in self.pairs}
+        got = self.db.sql("SELECT pair, token FROM merges").to_arrow_table()
+        return dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
 
     def heaped(self, piece: bytes) -> np.ndarray:
         """A piece's tokens: the least pair, of equal ones the leftmost, is contracted as long as there is one.
@@ -221,6 +225,15 @@ def encoded(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
+        gc.disable()  # the remembered pieces are no cycles, but a search for some would go through them over and over
+        try:
+            yield from coded(c, batches)
+        finally:
+            gc.enable()
+        c.rest()
+        tidy()
+
+    def coded(c: Coder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, ids, digests, decoded = [], [], [], []
             for pieces in c.encode(b.column("_text").to_pylist()):
@@ -233,8 +246,6 @@ def encoded(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("
                     ids.append([int(x) for x in text.split(",")] if text else [])
             own = [pa.array(counts, pa.int64()), *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), pa.array(digests), pa.array(decoded)]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *own], names=[*keep, "n_tokens", *(["ids"] if with_ids else []), "ids_sha256", "decoded_sha256"])
-        c.rest()
-        tidy()
 
     chosen = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
     kinds = ", ".join(f"`{k}` {chosen.schema[k].dataType.simpleString()}" for k in keep)
