@@ -46,7 +46,7 @@ class _Page(Scanner):
     def start(self, tag: str, own: dict[str, str]) -> None:
         if tag == "li" and next((x.tag for x in reversed(self.stack) if x.tag in ("li", "ul", "ol")), None) == "li":
             self.end("li")  # an item ends the one before it in its list
-        element = self.opened(tag, own, own.get("class", "").split())
+        element = self.opened(tag, own, own["class"].split() if "class" in own else [])
         if tag in VOID:
             return
         self.stack.append(element)
@@ -54,13 +54,16 @@ class _Page(Scanner):
             self.wanted.append(element)
 
     def end(self, tag: str) -> None:
-        if any(x.tag == tag for x in self.stack):
+        stack = self.stack
+        if stack and stack[-1].tag == tag:
+            self._pop()
+        elif any(x.tag == tag for x in stack):
             while self._pop().tag != tag:
                 pass
 
     def _pop(self) -> _Open:
         element = self.stack.pop()
-        if self.wanted and self.wanted[-1] is element:
+        if element.field is not None and self.wanted and self.wanted[-1] is element:
             self.wanted.pop()
         self.closed(element)
         return element
@@ -104,6 +107,10 @@ class _Tab(_Page):
         self.inside -= element.mark is True
 
 
+#: An element with none of the classes that count.
+PLAIN = (False, False, False)
+
+
 class _Leaves(_Page):
     """Of the header and information pages the texts that count, in the order in which their elements end: inputs by id, scripts, and
     the innermost divs of the information, among others."""
@@ -128,9 +135,10 @@ class _Leaves(_Page):
             field = "rotulo" if "rotulo" in classes else "numero"
         elif self.info and tag == "div":
             field = "div"
-        if tag == "div":
-            for x in self.stack[-1:]:
-                x.item = True  # it holds a div, so it is no leaf
+        if tag == "div" and self.stack:
+            self.stack[-1].item = True  # it holds a div, so it is no leaf
+        if not classes:
+            return _Open(tag, field, False, PLAIN)
         names = ("processo-informacoes" in classes, "informacoes__assunto" in classes, "processo-quadro" in classes)
         self.info += names[0]
         self.subjects += names[1]
