@@ -9,8 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
@@ -71,6 +70,7 @@ def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str
 #: A row of a comparison; efeito is null in the one row that says that a pair was compared. versao counts a case's comparisons.
 CHANGES = "incidente bigint, anterior string, coleta_id string, lista string, efeito string, hash_natural string, item string, posicao int, versao bigint"
 _NAMES = [f.split()[0] for f in CHANGES.split(", ")]
+Change = Row(*_NAMES)
 Held = dict[str, dict[str, tuple[str, int]]]  # list: hash: (item, place)
 
 
@@ -97,54 +97,56 @@ class Comparisons(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.runs = handle.getMapState("runs", "coleta_id string", "itens string")
-        self.count = handle.getValueState("comparisons", "versao bigint")
+        self.known = handle.getValueState("known", "coletas array<string>, versao bigint")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
         came: dict[str, Held] = {}
-        for pdf in rows:
-            for run, name, place, h, item in zip(pdf["coleta_id"], pdf["lista"], pdf["posicao"], pdf["hash_natural"], pdf["item"], strict=True):
-                own = came.setdefault(run, {}).setdefault(name, {})
-                at = None if pd.isna(place) else int(place)
-                if h not in own or (at is not None and (own[h][1] is None or at < own[h][1])):
-                    own[h] = (item, at)
-        order = sorted({k[0] for k in self.runs.keys()} | came.keys())  # noqa: SIM118
-        known: dict[str, Held] = {}
-
-        def held(run: str) -> Held:
-            if run not in known:
-                known[run] = json.loads(self.runs.getValue((run,))[0]) if self.runs.containsKey((run,)) else {}
-            return known[run]
+        for r in rows:
+            own = came.setdefault(r["coleta_id"], {}).setdefault(r["lista"], {})
+            h, at = r["hash_natural"], r["posicao"]
+            if h not in own or (at is not None and (own[h][1] is None or at < own[h][1])):
+                own[h] = (r["item"], at)
+        # Each question to the state is a message to the JVM, so a case's ids and its count lie together and are asked for once.
+        runs, n = self.known.get() or ([], 0)
+        before, held = set(runs), {}
+
+        def items(run: str) -> Held:
+            if run not in held:
+                held[run] = json.loads(self.runs.getValue((run,))[0]) if run in before else {}
+            return held[run]
 
         changed = set()
         for run, lists in came.items():
-            before = json.dumps(own := held(run))
-            for name, items in lists.items():
-                for h, x in items.items():
-                    own.setdefault(name, {}).setdefault(h, x)
-            if (now := json.dumps(own)) != before:
-                self.runs.updateValue((run,), (now,))
+            own, more = items(run), run not in before
+            for name, new in lists.items():
+                there = own.setdefault(name, {})
+                for h, x in new.items():
+                    if h not in there:
+                        there[h], more = x, True
+            if more:
+                self.runs.updateValue((run,), (json.dumps(own),))
                 changed.add(run)
+        order = sorted(before | came.keys())
         places = {r: i for i, r in enumerate(order)}
         pairs = sorted({(i, i + 1) for r in changed for i in (places[r] - 1, places[r]) if 0 <= i < len(order) - 1})
-        if pairs:
-            n = (self.count.get()[0] if self.count.exists() else 0) + 1
-            self.count.update((n,))
-            out = []
-            for i, j in pairs:
-                same = (key[0], order[i], order[j])
-                out.append((*same, None, None, None, None, None, n))
-                out += [(*same, name, effect, h, item, place, n) for name, effect, h, item, place in compared(held(order[i]), held(order[j]))]
-            frame = pd.DataFrame(out, columns=_NAMES)
-            yield frame.astype({"posicao": "Int32"})
+        if pairs or len(order) > len(before):
+            self.known.update((order, n := n + bool(pairs)))
+        for i, j in pairs:
+            same = (key[0], order[i], order[j])
+            yield Change(*same, None, None, None, None, None, n)
+            for name, effect, h, item, place in compared(items(order[i]), items(order[j])):
+                yield Change(*same, name, effect, h, item, place, n)
         if self.quiet is not None and changed:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for run in sorted(k[0] for k in self.runs.keys())[:-1]:  # noqa: SIM118
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        runs, n = self.known.get() or ([], 0)
+        for run in runs[:-1]:
             self.runs.removeKey((run,))
-        yield pd.DataFrame(columns=_NAMES)
+        self.known.update((runs[-1:], n))
+        yield from ()
 
     def close(self) -> None:
         pass
@@ -175,7 +177,7 @@ def stream_changes(spark: SparkSession, source: str, target: str, checkpoint: st
     list or hash are left out. Read the result with changes(). See Comparisons for quiet.
     """
     rows = spark.readStream.schema(ITEMS).option("maxFilesPerTrigger", 1).json(source).dropna(subset=["incidente", "coleta_id", "lista", "hash_natural"])
-    found = rows.groupBy("incidente").transformWithStateInPandas(Comparisons(quiet), CHANGES, "Append", "None" if quiet is None else "ProcessingTime")
+    found = rows.groupBy("incidente").transformWithState(Comparisons(quiet), CHANGES, "Append", "None" if quiet is None else "ProcessingTime")
 
     def each(batch: DataFrame, n: int) -> None:
         batches.put(batch, target, n)

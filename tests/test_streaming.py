@@ -140,3 +140,46 @@ def test_a_base_without_its_mark_is_not_read(spark, tmp_path):
     batches.compact(spark, target, "id bigint", lambda df: df)
     os.remove(tmp_path / "t" / "base=1" / "_SUCCESS")
     assert sorted(r.lote for r in batches.read(spark, target, "id bigint").collect()) == [0, 1]
+
+
+def test_few_questions_to_the_state():
+    """A case's batch costs a few messages to the JVM, however many runs the case has; before it was one for each of them and more."""
+    from dossier.streaming.ingest import Comparisons
+
+    asked = []
+
+    class Map(dict):
+        def getValue(self, key):  # noqa: N802
+            asked.append(("get", key))
+            return self.get(key)
+
+        def updateValue(self, key, value):  # noqa: N802
+            asked.append(("put", key))
+            self[key] = value
+
+    class Value:
+        held = None
+
+        def get(self):
+            asked.append(("get", None))
+            return self.held
+
+        def update(self, value):
+            asked.append(("put", None))
+            self.held = value
+
+    class Handle:
+        def getMapState(self, *_a):  # noqa: N802
+            return Map()
+
+        def getValueState(self, *_a):  # noqa: N802
+            return Value()
+
+    of = Comparisons()
+    of.init(Handle())
+    for n in range(40):
+        asked.clear()
+        rows = [{"coleta_id": f"r{n:02}", "lista": "andamentos", "hash_natural": str(i), "item": str(i), "posicao": 0} for i in (n, n + 1)]
+        got = [(r["efeito"], r["hash_natural"]) for r in of.handleInputRows((1,), iter(rows), None)]
+        assert len(asked) <= 4
+        assert set(got) == (set() if not n else {(None, None), ("apareceu", str(n + 1)), ("sumiu", str(n - 1))})
