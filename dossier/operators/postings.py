@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.operators.filters import snippet
-from dossier.operators.search import bm25, deletions, edits, query_tokens, tokens
+from dossier.operators.search import bm25, deletions, edits, once, query_tokens, tokens
 from dossier.sources.shared import opened
 
 #: Buckets of words. A bucket grows with the corpus, but a word's rows lie together in it, and Parquet skips the others.
@@ -54,12 +54,13 @@ class Postings:
         Null text has no words. A word that very many rows hold is split over tasks when it is written.
         """
         lote = F.lit(number := max(self.appends(), default=0) + 1).cast("bigint").alias("lote")
-        counted = rows.select(*self.names, tokens(text).alias("w")).select(*self.names, F.greatest(F.size("w"), F.lit(0)).alias("n"), F.explode("w").alias("t"))
+        # Dealt by key, texts are split by as many tasks as there are, however few files hold them, and counted where they are split.
+        counted = rows.select(*self.names, text.alias("x")).repartition(*self.names).select(*self.names, once(tokens(F.col("x"))).alias("w")).select(*self.names, F.greatest(F.size("w"), F.lit(0)).alias("n"), F.explode("w").alias("t"))
         found = counted.groupBy(*self.names, "n", "t").agg(F.count("*").alias("tf")).select("t", *self.names, "tf", "n", lote, bucket(F.col("t")).alias("balde"))
         self._write(found.hint("rebalance", "balde").sortWithinPartitions("balde", "t"), "postings", "balde")
         mine = opened(self.spark, f"{self.root}/postings", _schema("postings", self.key)).where(F.col("lote") == number)
-        words = mine.select("t").distinct()
-        self._write(words.repartitionByRange("t").sortWithinPartitions("t").select("t", lote), "palavras")
+        self._write(mine.select("t").distinct().repartitionByRange("t").sortWithinPartitions("t").select("t", lote), "palavras")
+        words = opened(self.spark, f"{self.root}/palavras", _schema("palavras", self.key)).where(F.col("lote") == number)
         left = words.where(F.length("t") >= SHORTEST).select("t", F.explode(deletions(F.col("t"))).alias("variante"))
         self._write(left.select("variante", "t", lote, bucket(F.col("variante")).alias("balde")).hint("rebalance", "balde").sortWithinPartitions("balde", "variante"), "vizinhas", "balde")
         self._write(mine.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("palavras")).select(F.lit(rows.count()).cast("bigint").alias("textos"), "palavras", lote), "lotes")

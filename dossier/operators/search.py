@@ -7,14 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.functions.text import normalize_name
+from dossier.functions.text import without_marks
 from dossier.operators.filters import snippet
 
 K1, B = 1.2, 0.75
 
 
 def tokens(c: Column) -> Column:
-    return F.filter(F.split(normalize_name(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """A text's words, folded as normalize_name does; white space parts words anyway, so it isn't collapsed first."""
+    return F.filter(F.split(F.upper(without_marks(c)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
+def once(c: Column) -> Column:
+    """c as the output of a generator: columns made of it take the value, where a plain column would be worked out in each of them."""
+    return F.explode(F.array(c))
 
 
 def query_tokens(query: str) -> Column:

@@ -89,3 +89,26 @@ def test_an_append_that_dies_is_not_seen(spark, tmp_path):
 
 def test_folding_keeps_letters_letters():
     assert all(a.isalnum() == b.isalnum() for a, b in zip(text._FROM, text._TO, strict=True) if a != "\xa0")
+
+
+def test_a_text_is_split_once(spark, tmp_path, monkeypatch):
+    """The plan of an append folds each text in one place: it stood in the length, the words and a filter on their number."""
+    from pyspark.sql import DataFrame
+
+    from dossier.operators import postings
+
+    plans = []
+    write = postings.Postings._write
+
+    def seen(self, df: DataFrame, name: str, *by: str) -> None:
+        if name == "postings":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        write(self, df, name, *by)
+
+    monkeypatch.setattr(postings.Postings, "_write", seen)
+    rows = spark.createDataFrame([(1, "Été à Paris, l'été"), (2, None), (3, "x y")], "id bigint, texto string")
+    found = postings.Postings(spark, f"file://{tmp_path}/p", "id bigint")
+    found.append(rows, rows["texto"])
+    assert plans[0].count("split(") == 1
+    assert plans[0].count("hashpartitioning(id") == 1
+    assert sorted(map(tuple, found.table("postings").select("id", "t", "tf", "n").collect())) == [(1, "A", 1, 5), (1, "ETE", 2, 5), (1, "L", 1, 5), (1, "PARIS", 1, 5), (3, "X", 1, 2), (3, "Y", 1, 2)]
