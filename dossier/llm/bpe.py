@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from dossier.llm.common import tidy
 
 #: Pieces that one recursive query encodes, pieces that texts wait with until their new ones are encoded together, and pieces that
-#: a worker remembers, within a task and from task to task.
-QUERY_PIECES, WAITING, REMEMBERED, KEPT = 20_000, 150_000, 220_000, 40_000
+#: a worker remembers, within a task, from task to task, and as met more than once.
+QUERY_PIECES, WAITING, REMEMBERED, KEPT, OFTEN = 20_000, 150_000, 220_000, 40_000, 80_000
 #: Bytes from which a piece is encoded with all occurrences of its least pair at once.
 LONG = 256
 #: Bytes from which a piece is encoded by a heap of its pairs: a recursive query keeps all its rounds, too many for such a piece.
@@ -43,7 +43,10 @@ WITH RECURSIVE step(round, key, token) AS (
 )
 SELECT round, key, token FROM step
 """
-# The same for long pieces, with every occurrence of the least pair in a round if the pair is calm: no merge of the new token
+# The same without a sort in each round: a join hands the rounds' rows on in the order of its larger side, by key like the first ones.
+# Coder.merged looks at every round's rows and asks ENCODE again if any are out of order.
+UNSORTED = ENCODE.replace("WINDOW o AS (ORDER BY key)", "WINDOW o AS ()")
+# ENCODE for long pieces, with every occurrence of the least pair in a round if the pair is calm: no merge of the new token
 # ranks before it, so a contraction makes no pair that comes before the occurrences still to be contracted. Of occurrences
 # that overlap, every other one counts from the left. Of a pair that isn't calm, only the leftmost is contracted.
 ENCODE_LONG = """
@@ -84,6 +87,7 @@ class Coder:
         self.split = regex.compile(pattern).findall
         self.known: dict[str, tuple[str, int, bytes]] = {}
         self.recent: set[str] = set()
+        self.often: set[str] = set()  # pieces met again after they were learned: most are met once and never asked for again
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         pairs = [(self.ranks[x[:i]], self.ranks[x[i:]], r) for x, r in self.ranks.items() for i in range(1, len(x)) if x[:i] in self.ranks and x[i:] in self.ranks]
         uneasy = {x for a, b, r in pairs for x in (a, b) if r < x}
@@ -106,6 +110,8 @@ class Coder:
         self.db.register("first_tokens", pa.table({"key": key, "token": self.byte[np.frombuffer(b"".join(pieces), np.uint8)]}))
         got = self.db.sql(query).to_arrow_table()
         round_, key, token = (got.column(i).to_numpy() for i in range(3))
+        if query == UNSORTED and not ((np.diff(round_) > 0) | (np.diff(round_) == 0) & (np.diff(key) > 0)).all():
+            return self.merged(pieces, ENCODE)
         piece = key >> 32
         last = np.zeros(len(pieces), round_.dtype)
         np.maximum.at(last, piece, round_)
@@ -156,7 +162,7 @@ class Coder:
         whole = [(p, r) for p, r in zip(pieces, rank, strict=True) if r is not None]
         rest = [(p, b) for p, b, r in zip(pieces, data, rank, strict=True) if r is None]
         self.keep([p for p, _ in whole], np.ones(len(whole), np.int64), np.array([r for _, r in whole], np.int32))
-        for query, some in ((ENCODE, [x for x in rest if len(x[1]) < LONG]), (ENCODE_LONG, [x for x in rest if LONG <= len(x[1]) < HUGE])):
+        for query, some in ((UNSORTED, [x for x in rest if len(x[1]) < LONG]), (ENCODE_LONG, [x for x in rest if LONG <= len(x[1]) < HUGE])):
             for lo in range(0, len(some), QUERY_PIECES):
                 part = some[lo : lo + QUERY_PIECES]
                 self.keep([p for p, _ in part], *self.merged([b for _, b in part], query))
@@ -197,17 +203,22 @@ class Coder:
 
     def ready(self, held: list[list[str]]) -> Iterator[list[str]]:
         self.recent = pieces = set().union(*held)
-        new = pieces.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:  # frequent pieces are among those just met
-            self.known = {p: self.known[p] for p in pieces.difference(new)}
+        again = pieces.intersection(self.known)
+        new = pieces.difference(again)
+        self.often |= again
+        if len(self.often) > OFTEN:
+            self.often = again
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known = {p: self.known[p] for p in again | self.often}
         self.learn(list(new))
         yield from held
 
     def rest(self) -> None:
-        """Between tasks a worker remembers some of the pieces met last."""
+        """Between tasks a worker remembers some of the pieces: those met more than once first, then those met last."""
         if len(self.known) > KEPT:
-            some = itertools.islice(self.recent & self.known.keys(), KEPT)
-            self.known = {p: self.known[p] for p in some}
+            some = itertools.islice(itertools.chain(self.often, self.recent - self.often), KEPT)
+            self.known = {p: self.known[p] for p in some if p in self.known}
+            self.often &= self.known.keys()
         self.recent = set()
 
 

@@ -27,3 +27,26 @@ def test_worker_holds_merges_once():
     assert not [k for k, v in vars(c).items() if isinstance(v, list) and len(v) > 1000]
     want = c.heaped(b"ab" * 5000)
     assert c.decode(np.array([len(want)]), want) == [b"ab" * 5000]
+
+
+def test_rounds_without_a_sort(monkeypatch):
+    """Rows handed on in order give the tokens of the sorting query; rows out of order are noticed and sorted."""
+    c, rng = coder(), np.random.default_rng(5)
+    pieces = [bytes(rng.choice(list(b"abcdeinrst "), int(n))) for n in rng.integers(2, 250, 300)]
+    assert "ORDER BY" not in bpe.UNSORTED
+    want = [x.tolist() for x in c.merged(pieces, bpe.ENCODE)]
+    assert [x.tolist() for x in c.merged(pieces, bpe.UNSORTED)] == want
+    monkeypatch.setattr(bpe, "UNSORTED", bpe.UNSORTED + " ORDER BY hash(key)")
+    assert [x.tolist() for x in c.merged(pieces, bpe.UNSORTED)] == want
+
+
+def test_pieces_met_again_are_remembered_first(monkeypatch):
+    """From task to task a worker keeps the pieces that texts share, not any that were met last."""
+    monkeypatch.setattr(bpe, "KEPT", 50)
+    monkeypatch.setattr(bpe, "WAITING", 200)
+    c = bpe.Coder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    for _ in c.encode(["shared " + " ".join(f"q{chr(97 + t)}{chr(97 + i // 26)}{chr(97 + i % 26)}zz" for i in range(300)) for t in range(6)]):
+        pass
+    c.rest()
+    assert len(c.known) <= 50
+    assert "shared" in c.known
