@@ -27,6 +27,8 @@ from dossier.operators.order import placed
 
 #: Bytes of text in a shard, about; a longer document is a shard of its own.
 SHARD = 4_000_000
+#: Parquet asks for the size of what it holds after a hundred rows at the soonest, and a row group is read at once. A shard is one by itself.
+ROW_GROUPS = {"parquet.block.row.count.limit": "1"}
 #: Documents in a block.
 BLOCK = 64
 #: Distinct terms of the questions that one job takes, about: what a worker holds of them. More questions go in further jobs.
@@ -107,7 +109,7 @@ def index(docs: DataFrame, size: int = SHARD) -> DataFrame:
                 yield row
             tidy()
 
-    return save(docs.select(F.col("doc_id").cast("bigint"), blob("text").alias("_text")).mapInArrow(build, SCHEMA), "shards")
+    return save(docs.select(F.col("doc_id").cast("bigint"), blob("text").alias("_text")).mapInArrow(build, SCHEMA), "shards", **ROW_GROUPS)
 
 
 class Shard:

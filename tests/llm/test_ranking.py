@@ -3,9 +3,11 @@
 import math
 import re
 from collections import Counter
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from dossier.llm import ranking
@@ -81,3 +83,12 @@ def test_block_bounds_spare_blocks():
     got = ranking.asked(again, np.array([0, 1]), weights, want, 5)
     assert len(again.open) < len(shard.open) / 3
     assert got[0][0] == want[0][0]
+
+
+def test_a_shard_is_a_row_group(spark):
+    """Readers hold a row group at once, writers a hundred rows or a row group."""
+    texts = spark.createDataFrame(DOCS, "doc_id bigint, text string").coalesce(1)
+    files = ranking.index(texts, 900).inputFiles()
+    found = [pq.ParquetFile(unquote(urlparse(f).path)).metadata for f in files]
+    assert sum(m.num_rows for m in found) > 20
+    assert all(m.row_group(i).num_rows == 1 for m in found for i in range(m.num_row_groups))
