@@ -1,9 +1,15 @@
 """Datasets of money flows and proofs, and the stream of changes, on rows of known result."""
 
 import json
+import random
 import shutil
+from pathlib import Path
+from urllib.parse import urlparse
+
+import pyarrow.parquet as pq
 
 from dossier.operators import datasets, flows
+from dossier.sources.shared import shared_dir
 from dossier.streaming.ingest import changes, stream_changes
 
 
@@ -134,3 +140,18 @@ def test_stream_of_changes(spark, tmp_path):
         stream_changes(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/t", f"file://{tmp_path}/c").awaitTermination()
     got = changes(spark, f"file://{tmp_path}/t")
     assert {(r.efeito, r.anterior, r.coleta_id, r.hash_natural) for r in got.collect()} == {("sumiu", "r1", "r2", "hash_natural0"), ("apareceu", "r1", "r2", "hash_natural2")}
+
+
+def test_a_load_holds_few_datasets_at_once(spark, tmp_path):
+    """What a load keeps of its datasets is read by row groups, whose rows a reader holds together: 12 MB of text take several."""
+    draw = random.Random(4)
+    sets = [(f"d{i}", dataset(str(i), informacoes="".join(draw.choices("abcdefgh ", k=400_000)))) for i in range(30)]
+    found, text, documents = given(spark, *sets)
+    before = set(Path(urlparse(shared_dir(spark)).path).glob("datasets-*"))
+    assert datasets.load(found.coalesce(1), text, documents, f"file://{tmp_path}/fluxos").count() == 0
+    (kept,) = set(Path(urlparse(shared_dir(spark)).path).glob("datasets-*")) - before
+    meta = [pq.ParquetFile(f).metadata for f in kept.glob("*.parquet")]
+    groups = [m.row_group(i) for m in meta for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 30
+    assert max(g.num_rows for g in groups) <= 20
+    assert datasets.table(spark, f"file://{tmp_path}/fluxos", "comunicacoes").agg({"informacoes": "max"}).first()[0] == max(x["comunicacoes"][0]["informacoes"] for _, x in sets)
